@@ -8,6 +8,8 @@ import public_tokenizers
 
 from casemill.llm.bpe import bpe_digests
 from casemill.llm.common import read_table, shared_dir
+from casemill.llm.fingerprints import edited_fingerprints
+from casemill.llm.simhash import near_duplicates
 from casemill.llm.token_counts import token_counts
 
 
@@ -17,12 +19,20 @@ def op2_token_counts(spark, sf_dir):
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}")
 
 
+def op3_simhash(spark, sf_dir):
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op8_fingerprints(spark, sf_dir):
+    return edited_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark, sf_dir):
     return bpe_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries():
-    return {f.__name__: f for f in (op2_token_counts, op10_bpe)}
+    return {f.__name__: f for f in (op2_token_counts, op3_simhash, op8_fingerprints, op10_bpe)}
 
 
 def oracle_sql():
