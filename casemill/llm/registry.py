@@ -8,6 +8,8 @@ import public_tokenizers
 
 from casemill.llm.bpe import bpe_digests
 from casemill.llm.common import read_table, shared_dir
+from casemill.llm.decontamination import ORACLE as CONTAMINATION_SQL
+from casemill.llm.decontamination import contamination
 from casemill.llm.fingerprints import edited_fingerprints
 from casemill.llm.simhash import near_duplicates
 from casemill.llm.token_counts import token_counts
@@ -23,6 +25,10 @@ def op3_simhash(spark, sf_dir):
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark, sf_dir):
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("item_ids")
+
+
 def op8_fingerprints(spark, sf_dir):
     return edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
@@ -32,8 +38,8 @@ def op10_bpe(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_token_counts, op3_simhash, op8_fingerprints, op10_bpe)}
+    return {f.__name__: f for f in (op2_token_counts, op3_simhash, op6_decontamination, op8_fingerprints, op10_bpe)}
 
 
 def oracle_sql():
-    return {}
+    return {"op6_decontamination": CONTAMINATION_SQL}
