@@ -11,8 +11,10 @@ from casemill.llm.common import read_table, shared_dir
 from casemill.llm.decontamination import ORACLE as CONTAMINATION_SQL
 from casemill.llm.decontamination import contamination
 from casemill.llm.fingerprints import edited_fingerprints
+from casemill.llm.quality import quality
 from casemill.llm.simhash import near_duplicates
 from casemill.llm.token_counts import token_counts
+from casemill.llm.toxicity import toxicity
 
 
 def op2_token_counts(spark, sf_dir):
@@ -25,6 +27,14 @@ def op3_simhash(spark, sf_dir):
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark, sf_dir):
+    return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op5_toxicity(spark, sf_dir):
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_decontamination(spark, sf_dir):
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("item_ids")
 
@@ -38,7 +48,7 @@ def op10_bpe(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_token_counts, op3_simhash, op6_decontamination, op8_fingerprints, op10_bpe)}
+    return {f.__name__: f for f in (op2_token_counts, op3_simhash, op4_quality, op5_toxicity, op6_decontamination, op8_fingerprints, op10_bpe)}
 
 
 def oracle_sql():
