@@ -13,10 +13,16 @@ from casemill.llm.decontamination import contamination
 from casemill.llm.fingerprints import edited_fingerprints
 from casemill.llm.quality import quality
 from casemill.llm.simhash import near_duplicates
+from casemill.llm.suffix_dedup import repeat_digests
 from casemill.llm.token_counts import token_counts
+from casemill.llm.token_files import token_file_digests, write_token_files
 from casemill.llm.toxicity import toxicity
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return repeat_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark, sf_dir):
     """A new cache each time, so that every distinct text is encoded."""
     docs = read_table(spark, sf_dir, "documents")
@@ -39,6 +45,12 @@ def op6_decontamination(spark, sf_dir):
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
+def op7_token_files(spark, sf_dir):
+    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    write_token_files(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), 2)
+    return token_file_digests(spark, path)
+
+
 def op8_fingerprints(spark, sf_dir):
     return edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
@@ -48,7 +60,7 @@ def op10_bpe(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_token_counts, op3_simhash, op4_quality, op5_toxicity, op6_decontamination, op8_fingerprints, op10_bpe)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_simhash, op4_quality, op5_toxicity, op6_decontamination, op7_token_files, op8_fingerprints, op10_bpe)}
 
 
 def oracle_sql():
