@@ -4,12 +4,16 @@ A byte goes if a 100-byte string that covers it also starts earlier: in a smalle
 full order of all suffixes is never needed for that. As in induced sorting, a sparse set of suffixes is chosen by
 content alone, sorted and named, and everything else follows from it:
 
-1. A window (100 bytes) is named by the least hash of the 40-byte strings in it. Neighbouring windows of one name
-   make a unit, about 31 windows long; equal texts are cut into equal units. Unit tuples (name, content, place) go
+1. A window (100 bytes) is named by the least hash of the 32-byte strings in it. Neighbouring windows of one name
+   make a unit, about 35 windows long; equal texts are cut into equal units. Unit tuples (name, content, place) go
    through Spark's shuffle and disk-backed sort, and one pass in sorted order finds the units that occur earlier.
 2. Units that do not, but share their name with a different unit (or repeat within themselves), are where repeats begin
-   and end. Only their windows are taken one level down: tuples (content, name, place), sorted and passed in the same way.
-3. Repeated units and windows induce the covered bytes of each document.
+   and end. Only their windows go one level down: named by 80-byte strings, cut into smaller units, sorted, passed.
+3. What is open still goes down once more, as single windows.
+4. Repeated units and windows induce the covered bytes of each document.
+
+The levels below the first, and the result, need texts beside places found by sorting. The texts are written once,
+bucketed by doc_id, and joined there each time without another shuffle.
 
 Contents are compared by 128 bits of hash. Tasks hold a bounded piece of text, or one sorted batch and the state
 at its edge, never a whole group; equal units are reduced before the shuffle.
@@ -21,18 +25,19 @@ An empty table gives no rows. A very long text is cut into ranges of windows wit
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import flat_bytes, pieces, staged
+from casemill.llm.common import flat_bytes, pieces, shared_dir, staged
 
 WINDOW = 100
-PROBE = 40
-SPAN = WINDOW - PROBE + 1  # probes in a window
+PROBES = (32, 80)  # bytes of the strings that name a window, by level; single windows come below
+#: Files of the bucketed texts that tasks may write without a shuffle before.
+FILES = 4096
 CHUNK = 1 << 18
 ROW_BITS = (1 << 23) - 1
 
@@ -65,31 +70,33 @@ def _sliding(x: np.ndarray, width: int, least) -> np.ndarray:
     return least(x[: len(x) - (width - done)], x[width - done :]) if width > done else x
 
 
-def window_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every window start: its name, the hash of its bytes; and for every probe start whether near equals tie."""
-    h, n = BYTES[data], len(data)
+def window_hashes(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every window start: its name by strings of `width` bytes, the hash of its bytes; then a running count of tied names."""
+    h, n, span = BYTES[data], len(data), WINDOW - width + 1
     for step in (1, 2, 4, 8, 16):
         h = _joined(h[:-step], h[step:])
-    probe = _joined(h[: n - PROBE + 1], h[PROBE - 32 : PROBE - 32 + n - PROBE + 1])
+    half = h
+    h = _joined(h[:-32], h[32:])
+    base, short = (h, 64) if width >= 64 else (half, 32)
+    probe = _joined(base[: n - width + 1], base[width - short : n - short + 1])
     probe *= _B
     probe ^= probe >> np.uint64(32)
-    h = _joined(h[:-32], h[32:])
-    whole = _joined(h[: n - WINDOW + 1], h[WINDOW - 64 : WINDOW - 64 + n - WINDOW + 1])
-    name = _sliding(probe, SPAN, np.minimum)
-    edge = np.zeros(SPAN - 1, np.uint64)
-    anchors = np.flatnonzero(_sliding(np.concatenate([edge, name, edge]), SPAN, np.maximum) == probe)
+    whole = _joined(h[: n - WINDOW + 1], h[WINDOW - 64 : n - 63])
+    name = _sliding(probe, span, np.minimum)
+    edge = np.zeros(span - 1, np.uint64)
+    anchors = np.flatnonzero(_sliding(np.concatenate([edge, name, edge]), span, np.maximum) == probe)
     tie = np.zeros(len(probe) + 1, np.int32)
-    tie[1:][anchors[1:][(probe[anchors[1:]] == probe[anchors[:-1]]) & (np.diff(anchors) < SPAN)]] = 1
+    tie[1:][anchors[1:][(probe[anchors[1:]] == probe[anchors[:-1]]) & (np.diff(anchors) <= span)]] = 1
     return name, whole, np.cumsum(tie)
 
 
-def text_units(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+def text_units(data: np.ndarray, offsets: np.ndarray, width: int = PROBES[0]) -> dict[str, np.ndarray]:
     """Units of all texts of a piece: text index, start, windows, name, content, and whether it may repeat in itself."""
     owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     out = []
     for a in range(0, max(0, len(data) - WINDOW + 1), CHUNK):
         b = min(a + CHUNK, len(data) - WINDOW + 1)
-        name, whole, ties = window_hashes(data[a : b + WINDOW - 1])
+        name, whole, ties = window_hashes(data[a : b + WINDOW - 1], width)
         valid = np.flatnonzero(owner[a:b] == owner[a + WINDOW - 1 : b + WINDOW - 1])
         if not len(valid):
             continue
@@ -102,7 +109,7 @@ def text_units(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         first, last = valid[starts], valid[np.r_[starts[1:], len(valid)] - 1]
         content = _joined(whole[first], whole[last])
         content ^= (last - first).astype(np.uint64) * _B
-        out.append((own[starts], first + a - offsets[own[starts]], last - first + 1, named[starts], content, ties[last + SPAN] > ties[first]))
+        out.append((own[starts], first + a - offsets[own[starts]], last - first + 1, named[starts], content, ties[last + WINDOW - width + 1] > ties[first]))
     columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, t) for t in (np.int32, np.int64, np.int64, np.uint64, np.uint64, bool)]
     return dict(zip(("text", "start", "windows", "name", "content", "tied"), columns))
 
@@ -187,8 +194,8 @@ def repeated_tuples(tuples: DataFrame) -> DataFrame:
     return tuples.repartition(route).sortWithinPartitions("name", "content", "doc_id", "place").mapInArrow(run, "doc_id long, place long, again boolean")
 
 
-def window_tuples(docs: DataFrame) -> DataFrame:
-    """Tuples of single windows, of the units named in column places of rows (doc_id, text, row, places)."""
+def deeper_tuples(docs: DataFrame, width: int | None) -> DataFrame:
+    """Tuples of smaller units (of single windows without a width) of the units in places of rows (doc_id, text, row, places)."""
 
     def run(batches):
         for batch in batches:
@@ -197,20 +204,37 @@ def window_tuples(docs: DataFrame) -> DataFrame:
                 doc, row, lists = part.column(0).to_numpy(), part.column(2).to_numpy(), part.column(3)
                 places = lists.flatten().to_numpy()
                 text = np.repeat(np.arange(len(doc)), lists.value_lengths().to_numpy())
-                start, windows = (places >> 8) & 0xFFFFFFFF, (places >> 1) & 127
                 for a in range(0, len(places), 20_000):
-                    s, w, t = start[a : a + 20_000] + offsets[text[a : a + 20_000]], windows[a : a + 20_000], text[a : a + 20_000]
-                    size = w + WINDOW - 1
+                    p, t = places[a : a + 20_000], text[a : a + 20_000]
+                    start, windows = (p >> 8) & 0xFFFFFFFF, (p >> 1) & 127
+                    size = windows + WINDOW - 1
                     ends = np.cumsum(size)
-                    at = np.arange(ends[-1]) + np.repeat(s - (ends - size), size)
-                    name, whole, _ = window_hashes(data[at])
-                    first = np.repeat(ends - size, w) + (np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w))
-                    t, p = np.repeat(t, w), at[first] - offsets[np.repeat(t, w)]
-                    yield _tuples(whole[first].view(np.int64), name[first].view(np.int64), doc[t], placed(row[t], p, np.ones(len(p), np.int64), np.zeros(len(p), np.int64)))
+                    own = data[np.arange(ends[-1]) + np.repeat(start + offsets[t] - (ends - size), size)]
+                    if width:
+                        u = text_units(own, np.r_[0, ends], width)
+                        name, content, f, at, n, tied = (u[k] for k in ("name", "content", "text", "start", "windows", "tied"))
+                    else:
+                        least, whole, _ = window_hashes(own, PROBES[0])
+                        f = np.repeat(np.arange(len(p)), windows)
+                        at = np.arange(len(f)) - np.repeat(np.cumsum(windows) - windows, windows)
+                        name, content = (x[(ends - size)[f] + at] for x in (whole, least))
+                        n, tied = np.ones(len(f), np.int64), np.zeros(len(f), np.int64)
+                    yield _tuples(name.view(np.int64), content.view(np.int64), doc[t[f]], placed(row[t[f]], start[f] + at, n, tied))
 
     return docs.mapInArrow(run, TUPLES)
 
 
+def bucketed(rows: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, bucketed by doc_id for joins without a shuffle."""
+    spark = rows.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if rows.rdd.getNumPartitions() * buckets > FILES:
+        rows = rows.repartition(buckets, "doc_id")
+    name = f"texts_{uuid.uuid4().hex}"
+    rows.write.bucketBy(buckets, "doc_id").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def by_document(places: DataFrame) -> DataFrame:
     return places.withColumn("row", F.shiftright("place", 40)).groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("place")).alias("places"))
 
@@ -218,10 +242,15 @@ def by_document(places: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, text, row), and places by (doc_id, row): starts of repeated windows, in runs."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("text").bitwiseAND(F.lit(ROW_BITS)))
-    units = staged(repeated_tuples(unit_tuples(rows)), "units")
-    edges = by_document(units.where("not again"))
-    windows = repeated_tuples(window_tuples(rows.join(edges, ["doc_id", "row"]).select("doc_id", "text", "row", "places"))).where("again")
-    return rows, by_document(units.where("again").union(windows))
+    found = [staged(repeated_tuples(unit_tuples(rows)), "units")]
+    texts = bucketed(rows)
+    for width in (*PROBES[1:], None):
+        open_units = texts.join(by_document(found[-1].where("not again")), ["doc_id", "row"]).select("doc_id", "text", "row", "places")
+        found.append(staged(repeated_tuples(deeper_tuples(open_units, width)), "units"))
+    again = found[0].where("again")
+    for f in found[1:]:
+        again = again.union(f.where("again"))
+    return texts, by_document(again)
 
 
 def removed_spans(size: int, places: np.ndarray) -> list[tuple[int, int]]:

@@ -32,7 +32,7 @@ def corpus(seed):
     rng = random.Random(seed)
     words = ["the", "of", "é", "wörld", "日本", "x"] + ["".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 9))) for _ in range(80)]
     text = lambda n: " ".join(rng.choice(words) for _ in range(n))
-    shared = [text(rng.randrange(5, 80)) for _ in range(8)] + ["ab" * 90, "a" * 104, "line repeated\n" * 30]
+    shared = [text(rng.randrange(5, 80)) for _ in range(8)] + ["ab" * 90, "a" * 104, *["".join(random.Random(n).choice("pqrs") for _ in range(n)) * 5 for n in (21, 61, 69)], "line repeated\n" * 30]
     docs = [None, "", "short", "a" * 99, "a" * 100, "a" * 101, "abc" * 400, "x" * 3000]
     for _ in range(60):
         parts = []
