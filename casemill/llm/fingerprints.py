@@ -6,7 +6,7 @@ differing bits stand for, max(0, cos(pi * bits / 128)). near_pairs() finds all f
 block tables: of r + 1 blocks of bits one at least is equal; each table has its block in front and is joined on it.
 
 Cases: null and empty texts have the zero fingerprint, like one another (1) and unlike texts (0). Ties in doc_id are
-put in order by text. Repeated rows each give a row. One row is its own next. Extra columns are not read.
+put in order by text. Repeated rows each give a row; rows without a doc_id have no place in the order and give none. One row is its own next. Extra columns are not read.
 Empty tables give no rows. Texts are taken whole.
 """
 

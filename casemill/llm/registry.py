@@ -11,6 +11,7 @@ from casemill.llm.common import read_table, shared_dir
 from casemill.llm.decontamination import ORACLE as CONTAMINATION_SQL
 from casemill.llm.decontamination import contamination
 from casemill.llm.fingerprints import edited_fingerprints
+from casemill.llm.html_text import main_text
 from casemill.llm.quality import quality
 from casemill.llm.simhash import near_duplicates
 from casemill.llm.suffix_dedup import repeat_digests
@@ -55,12 +56,16 @@ def op8_fingerprints(spark, sf_dir):
     return edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op9_html_text(spark, sf_dir):
+    return main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark, sf_dir):
     return bpe_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_simhash, op4_quality, op5_toxicity, op6_decontamination, op7_token_files, op8_fingerprints, op10_bpe)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_simhash, op4_quality, op5_toxicity, op6_decontamination, op7_token_files, op8_fingerprints, op9_html_text, op10_bpe)}
 
 
 def oracle_sql():

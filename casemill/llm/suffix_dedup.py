@@ -39,6 +39,8 @@ PROBES = (32, 80)  # bytes of the strings that name a window, by level; single w
 #: Files of the bucketed texts that tasks may write without a shuffle before.
 FILES = 4096
 CHUNK = 1 << 18
+#: Stands for a null doc_id, before all others.
+NO_ID = -(2**63) + 1
 ROW_BITS = (1 << 23) - 1
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -225,13 +227,13 @@ def deeper_tuples(docs: DataFrame, width: int | None) -> DataFrame:
 
 
 def bucketed(rows: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder, bucketed by doc_id for joins without a shuffle."""
+    """The rows as a table in the shared folder, bucketed by doc_id and row for joins without a shuffle."""
     spark = rows.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if rows.rdd.getNumPartitions() * buckets > FILES:
-        rows = rows.repartition(buckets, "doc_id")
+        rows = rows.repartition(buckets, "doc_id", "row")
     name = f"texts_{uuid.uuid4().hex}"
-    rows.write.bucketBy(buckets, "doc_id").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    rows.write.bucketBy(buckets, "doc_id", "row").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
 
@@ -239,10 +241,11 @@ def by_document(places: DataFrame) -> DataFrame:
     return places.withColumn("row", F.shiftright("place", 40)).groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("place")).alias("places"))
 
 
-def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, text, row), and places by (doc_id, row): starts of repeated windows, in runs."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("text").bitwiseAND(F.lit(ROW_BITS)))
-    found = [staged(repeated_tuples(unit_tuples(rows)), "units")]
+def repeats(docs: DataFrame, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, text, row, carried columns), and places by (doc_id, row): starts of repeated windows, in runs."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), text.alias("text"), F.xxhash64(text).bitwiseAND(F.lit(ROW_BITS)).alias("row"), *carried)
+    found = [staged(repeated_tuples(unit_tuples(rows.select("doc_id", "text", "row"))), "units")]
     texts = bucketed(rows)
     for width in (*PROBES[1:], None):
         open_units = texts.join(by_document(found[-1].where("not again")), ["doc_id", "row"]).select("doc_id", "text", "row", "places")
@@ -265,9 +268,12 @@ def removed_spans(size: int, places: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(start[np.r_[0, cut + 1]].tolist(), np.minimum(end[np.r_[cut, len(end) - 1]], size).tolist()))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, spans (start, end) removed, kept (binary): every row with what is left of its text."""
-    rows, places = repeats(docs)
+def without_repeats(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, spans (start, end) removed, kept (binary), text, carried columns: every row with what is left of it.
+
+    text is kept as a string, without the bytes of characters that were cut in part.
+    """
+    rows, places = repeats(docs, carried)
 
     def run(batches):
         for batch in batches:
@@ -280,10 +286,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     ends = [0] + [y for _, y in found]
                     kept.append(b"".join(raw[x:y] for x, y in zip(ends, [x for x, _ in found] + [len(raw)])))
                     spans.append([{"start": x, "end": y} for x, y in found])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+                columns = [part.column(0), pa.array(np.diff(offsets)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), pa.array([k.decode(errors="ignore") for k in kept], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns + part.columns[3:], ["doc_id", "n_bytes", "spans", "kept", "text", *carried])
 
-    matched = rows.join(places, ["doc_id", "row"], "left").select("doc_id", "text", "places")
-    return matched.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    matched = rows.join(places, ["doc_id", "row"], "left").select("doc_id", "text", "places", *carried)
+    kinds = "".join(f", {c} {matched.schema[c].dataType.simpleString()}" for c in carried)
+    out = matched.mapInArrow(run, f"doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, text string{kinds}")
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
