@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.functions import scalars as S
-from casemill.operators.textmine import URL, is_noise, normal_feature
+from casemill.operators.textmine import is_noise, normal_feature
 
 # Columns of a listing by fragments of their header, feature types by file name.
 COLUMNS = {
     "file_path": ("full path", "fullpath", "path", "location"), "file_name": ("filename", "file name", "name"), "size_bytes": ("size",), "created_ts": ("created", "creation"),
     "modified_ts": ("modified", "written"), "accessed_ts": ("accessed",), "md5_hash": ("md5",), "sha1_hash": ("sha1", "sha-1"), "sha256_hash": ("sha256", "sha-256"), "deleted": ("deleted",), "extension": ("ext",),
 }
+RAW_URL = r"""(https?://[^\s"'<>\x00-\x1f\x7f-\xff]+)"""
 FEATURES = {"url": "url", "email": "email", "domain": "domain", "ip": "ip", "telephone": "telephone", "bitcoin": "bitcoin", "ether": "ether"}
 
 
@@ -85,7 +86,7 @@ def feature_file(spark: SparkSession, path: str) -> DataFrame:
 def urls_in_files(spark: SparkSession, path: str) -> DataFrame:
     """S-10: (path, url) swept out of binary files."""
     text = F.decode("content", "ISO-8859-1")
-    found = spark.read.format("binaryFile").load(path).select("path", F.explode(F.regexp_extract_all(text, F.lit(f"(?i)({URL})"), F.lit(1))).alias("url"))
+    found = spark.read.format("binaryFile").load(path).select("path", F.explode(F.regexp_extract_all(text, F.lit(RAW_URL), F.lit(1))).alias("url"))
     return found.where(~is_noise(F.col("url")))
 
 
