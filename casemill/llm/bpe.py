@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from casemill.llm.common import pieces
+from casemill.llm.common import flat_bytes, pieces
 
 # The word pattern of the vocabulary file, with its white space spelt out.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -72,15 +72,14 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NO_PAIR)
 
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and the n + 1 offsets of the words in it."""
-        raw = [w.encode() for w in words]
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        data = np.frombuffer(b"".join(raw), np.uint8)
+        data, offsets = flat_bytes(words)
+        sizes = np.diff(offsets)
         ends = np.cumsum(sizes)
         symbols = self.inner[data]
         symbols[ends[sizes > 0] - 1] = self.last[data[ends[sizes > 0] - 1]]
-        owner = np.repeat(np.arange(len(raw)), sizes)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
         same = owner[1:] == owner[:-1]
         rank = np.full(len(symbols), NO_PAIR, np.int32)
         at = np.flatnonzero(same)
@@ -121,7 +120,7 @@ class Vocabulary:
         ids = np.concatenate(done_ids) if done_ids else np.zeros(0, np.int64)
         owner = np.concatenate(done_owner) if done_owner else np.zeros(0, np.int64)
         order = np.argsort(owner, kind="stable")
-        return ids[order], np.r_[0, np.cumsum(np.bincount(owner, minlength=len(words)))]
+        return ids[order], np.r_[0, np.cumsum(np.bincount(owner, minlength=len(sizes)))]
 
     def runs_of(self, text: str) -> list[str]:
         """The runs of a text between white space, in order; special strings are runs of their own behind a space."""
@@ -154,37 +153,35 @@ def ragged_take(flat: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tupl
 
 def encode_texts(v: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in one array, and the offsets of the texts in it. Each distinct word is encoded once."""
-    texts = texts.cast(pa.large_string()).fill_null("")
+    texts = texts.fill_null("") if texts.null_count else texts
     if pc.any(pc.match_substring_regex(texts, r"[\x1c-\x1f]|<\|")).as_py():
-        runs = pa.array([v.runs_of(t) for t in texts.to_pylist()], pa.large_list(pa.large_string()))
+        runs = pa.array([v.runs_of(t) for t in texts.to_pylist()], pa.list_(pa.string()))
     else:
         runs = pc.utf8_split_whitespace(texts)
     coded = runs.flatten().dictionary_encode()
-    ids, offsets = encode_runs(v, coded.dictionary.to_pylist())
+    ids, offsets = encode_runs(v, coded.dictionary)
     flat, ends = ragged_take(ids, offsets, coded.indices.to_numpy().astype(np.int64))
     return flat, ends[runs.offsets.to_numpy()]
 
 
-def encode_runs(v: Vocabulary, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of runs without white space; a special string is marked by a space before it."""
-    special = [k for k, r in enumerate(runs) if r[:1] == " "]
-    plain = ["" if r[:1] == " " else r for r in runs] if special else runs
-    found = WORDS_AND_ENDS.findall(prepared("\n".join(plain)) + "\n") if plain else []
-    words = pa.array(found, pa.large_string()).dictionary_encode()
-    codes, distinct = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
+def encode_runs(v: Vocabulary, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of runs without white space, with the n + 1 offsets of the runs; a special string is marked by a space before it."""
+    if not len(runs):
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    marked = np.flatnonzero(pc.starts_with(runs, " ").to_numpy(zero_copy_only=False))
+    special = [v.special[runs[int(k)].as_py()[1:]] for k in marked]
+    plain = pc.if_else(pc.starts_with(runs, " "), "", runs) if special else runs
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(plain)], pa.int32()), plain.cast(pa.string())), "\n")[0].as_py()
+    words = pa.array(WORDS_AND_ENDS.findall(prepared(joined) + "\n"), pa.string()).dictionary_encode()
+    codes = words.indices.to_numpy().astype(np.int64)
+    stops = np.flatnonzero(codes == pc.index(words.dictionary, "\n").as_py())
+    ids, offsets = v.encode_words(words.dictionary)
+    flat, ends = ragged_take(ids, offsets, np.delete(codes, stops))
+    ends = np.r_[0, ends[stops - np.arange(len(stops))]]
     if special:
-        distinct += [" " + s for s in v.special]
-    end = distinct.index("\n") if found else -1
-    ids, offsets = v.encode_words(["" if w == "\n" or w[0] == " " else w for w in distinct])
-    for k, w in enumerate(distinct):
-        if w[0] == " ":
-            ids, offsets = np.insert(ids, offsets[k], v.special[w[1:]]), offsets + (np.arange(len(offsets)) > k)
-    stops = np.flatnonzero(codes == end)
-    if special:
-        mark = [distinct.index(runs[k]) for k in special]
-        codes, stops = np.insert(codes, stops[special], mark), stops + np.searchsorted(special, np.arange(len(stops)), side="right")
-    flat, ends = ragged_take(ids, offsets, codes)
-    return flat, np.r_[0, ends[stops]]
+        flat = np.insert(flat, ends[marked], special)
+        ends = ends + np.searchsorted(marked, np.arange(len(ends)), side="left")
+    return flat, ends
 
 
 def decode(ids: list[int], v: Vocabulary) -> str:
