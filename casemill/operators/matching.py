@@ -74,3 +74,10 @@ def known_names(rows: DataFrame, known: DataFrame, rules: list[tuple[str, int, s
     exact = rows.join(small(known), "key", "left").select("id", "label", "name")
     by_name = match_patterns(exact.where("name is null"), "label", rules).select("id", F.col("pattern").alias("by_name"))
     return exact.join(by_name, "id", "left").select("id", F.coalesce("name", "by_name").alias("name"))
+
+
+def applications(rows: DataFrame, registry: DataFrame, unknown: str = "Unknown") -> DataFrame:
+    """J-21: (id, appid, application, category, is_browser) by the application's id in any case; registry: (appid, application, category)."""
+    known = registry.select(F.lower("appid").alias("known_appid"), "application", "category").dropDuplicates(["known_appid"])
+    joined = rows.join(small(known), F.lower("appid") == F.col("known_appid"), "left")
+    return joined.select("id", "appid", F.coalesce("application", F.lit(unknown)).alias("application"), F.coalesce("category", F.lit("unknown")).alias("category"), F.coalesce(F.col("category") == "browsers", F.lit(False)).alias("is_browser"))

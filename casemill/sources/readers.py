@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,58 @@ def pattern_list(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("trim(pattern) <> '' and not startswith(ltrim(pattern), '#')").select("list_name", "idx", F.trim("pattern").alias("pattern"), "is_regex")
 
 
+def list_versions(spark: SparkSession, path: str, present: DataFrame) -> DataFrame:
+    """S-4: (list_name, file, version, state): the digest of each list file, and whether it is new, changed or unchanged.
+
+    present: (list_name, version) of the lists imported before.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_replace(S.file_name(F.col("path")), r"\.[^.]*$", "").alias("list_name"), F.col("path").alias("file"), F.sha2("content", 256).alias("version"))
+    old = present.select("list_name", F.col("version").alias("old"))
+    state = F.when(F.col("old").isNull(), "new").when(F.col("old") == F.col("version"), "unchanged").otherwise("changed")
+    return files.join(old, "list_name", "left").select("list_name", "file", "version", state.alias("state"))
+
+
+def imported(spark: SparkSession, path: str, entries: DataFrame, present: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S-4: (entries, versions) after an import: new and changed lists replace theirs, other lists stay."""
+    versions = list_versions(spark, path, present)
+    fresh = versions.where("state <> 'unchanged'").select("list_name")
+    rows = hash_list(spark, path).join(F.broadcast(fresh), "list_name", "left_semi")
+    kept = entries.join(F.broadcast(fresh), "list_name", "left_anti")
+    now = versions.select("list_name", "version")
+    return kept.unionByName(rows), present.join(now, "list_name", "left_anti").unionByName(now)
+
+
+def batch_status(spark: SparkSession, path: str, names: DataFrame, policy: str) -> DataFrame:
+    """S-5: (list_name, target, entries, bad, status) of list files against the names in use; policy: skip, overwrite or rename.
+
+    A file without a valid entry is refused. A renamed list gets the lowest free number.
+    """
+    if policy not in ("skip", "overwrite", "rename"):
+        raise ValueError(f"no such policy: {policy}")
+    text = spark.read.text(path, wholetext=True).select(F.regexp_replace(S.file_name(F.col("_metadata.file_path")), r"\.[^.]*$", "").alias("list_name"), F.split("value", r"\r?\n").alias("lines"))
+    lines = F.filter(F.transform("lines", F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    good = F.filter("lines", lambda x: F.length(F.regexp_extract(x, r"^([0-9a-fA-F]+)(?:[,\s]|$)", 1)).isin(32, 40, 64))
+    files = text.withColumn("lines", lines).select("list_name", F.size(good).alias("entries"), (F.size("lines") - F.size(good)).alias("bad"))
+    stems = F.array_distinct(F.array("list_name", F.regexp_replace("list_name", r"_\d+$", "")))
+    taken = names.select(F.explode(stems).alias("stem"), "list_name").groupBy("stem").agg(F.collect_set("list_name").alias("numbered"))
+    free = F.get(F.filter(F.transform(F.sequence(F.lit(1), F.size("numbered") + 1), lambda k: F.concat("list_name", F.lit("_"), k.cast("string"))), lambda n: ~F.array_contains("numbered", n)), 0)
+    joined = files.join(names.select("list_name", F.lit(True).alias("used")).distinct(), "list_name", "left").join(taken, F.col("list_name") == F.col("stem"), "left")
+    clash, bad = F.coalesce("used", F.lit(False)), F.col("entries") == 0
+    status = F.when(bad, "invalid").when(~clash, "imported").otherwise({"skip": "skipped", "overwrite": "overwritten", "rename": "renamed"}[policy])
+    target = F.when(bad | (clash & F.lit(policy == "skip")), None).when(clash & F.lit(policy == "rename"), free).otherwise(F.col("list_name"))
+    return joined.select("list_name", target.alias("target"), "entries", "bad", status.alias("status"))
+
+
+def purged(tables: dict[str, DataFrame], evidence: int) -> dict[str, DataFrame]:
+    """S-15: the tables without the rows of one evidence."""
+    return {name: df.where(~F.col("evidence_id").eqNullSafe(F.lit(evidence))) for name, df in tables.items()}
+
+
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """S-15: (name, n) of all tables."""
+    return reduce(DataFrame.union, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()])
+
+
 def column_mapping(header: list[str]) -> dict[str, str]:
     """S-7: the listing column of each header field, by the first fragment that it holds; each column once."""
     found: dict[str, str] = {}

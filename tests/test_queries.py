@@ -6,9 +6,11 @@ import os
 import duckdb
 import pytest
 
-from casemill import queries as registered
+from casemill import queries, queries_browser
 
 SF = "/root/testdata/sf0.001"
+QUERIES = {**queries.queries(), **queries_browser.queries()}
+ORACLES = {**queries.oracle_sql(), **queries_browser.oracle_sql()}
 
 
 def plain(rows, names):
@@ -25,11 +27,11 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    df = registered.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     rows = df.collect()
-    if sql := registered.oracle_sql().get(name):
+    if sql := ORACLES.get(name):
         got = con.sql(sql)
         assert sorted(df.columns) == sorted(got.columns)
         assert plain(rows, df.columns) == plain(got.fetchall(), got.columns)
