@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from casemill.functions import scalars as S
 from casemill.functions.browser import slashed
+from casemill.functions.codes import label
 
-# Bookmark roots and their names, permission codes, states of security entries, internal schemes.
+# Bookmark roots and their names, states of security entries, internal schemes.
 BOOKMARK_ROOTS = {"bookmark_bar": "Bookmarks Bar", "other": "Other Bookmarks", "synced": "Mobile Bookmarks", "account": "Account Bookmarks"}
-PERMISSIONS = {0: "default", 1: "allow", 2: "block", 3: "ask", 4: "session_only", 5: "detect_important_content"}
 STATES = {0: "force-https", 1: "knockout"}
 INTERNAL = ("about:", "chrome:", "moz-extension:", "resource:")
 END_OF_2100 = 4_102_444_800
@@ -86,7 +86,7 @@ def permissions(docs: DataFrame, path: str = "$") -> DataFrame:
     form, text = F.schema_of_variant(setting), F.try_variant_get(setting, "$", "string")
     code = F.when(setting.isNull(), 0).when(form == "BOOLEAN", (text == "true").cast("int")).when(~form.startswith("OBJECT") & ~form.startswith("ARRAY") & text.rlike(r"^\s*-?\d+(\.0*)?\s*$"), text.try_cast("double").cast("int"))
     rows = settings(docs, path).withColumn("code", code).where("code is not null")
-    return rows.select("id", "kind", "origin", "code", F.coalesce(named(PERMISSIONS, F.col("code")), F.lit("unknown")).alias("permission"), moment("entry", "$.last_modified").alias("modified"), moment("entry", "$.expiration").alias("expires"))
+    return rows.select("id", "kind", "origin", "code", label("chromium_permission", F.col("code")).alias("permission"), moment("entry", "$.last_modified").alias("modified"), moment("entry", "$.expiration").alias("expires"))
 
 
 STS = "sts array<struct<host:string,sts_observed:double,expiry:double,mode:string,sts_include_subdomains:boolean>>"

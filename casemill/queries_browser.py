@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casemill.functions import browser as B
+from casemill.functions import codes
 from casemill.functions import scalars as S
-from casemill.operators import filters, matching, nested, records, system, tags
+from casemill.operators import filters, matching, nested, records, system, tags, timeline
 from casemill.operators.filters import TableSpec
 from casemill.plans import plugins
 from casemill.plans.standins import frame, with_views
-from casemill.queries import ALL_OPS
+from casemill.queries import ALL_OPS, event_rows, mapped_sql, mapped_table
 from casemill.sources import readers
 
 QUERIES: dict = {}
@@ -53,6 +54,18 @@ register("H-25", lambda s, d: of("orders", "o_orderkey", "case o_orderkey % 4 wh
          "select o_orderkey, case when o_orderkey % 4 = 0 then o_custkey || ', x' when o_orderkey % 8 = 1 then 'Disabled' when o_orderkey % 4 = 3 then o_orderstatus else '' end \"value\", 'v' \"name\", o_orderstatus || '.exe' program, 'A/' || o_custkey || '/App Paths/' || o_orderstatus || '.exe' \"key\" from orders")
 register("X-11", lambda s, d: of("orders", "o_orderkey", "case when o_orderkey % 5 = 0 then concat('http://p/', o_orderkey) else '' end as url", "case when o_orderkey % 5 = 1 then concat('edge:?s=1&URL=https%3A%2F%2Fd%2F', o_orderkey, '&t=2') end as destination", "case when o_orderkey % 5 = 2 then concat('-url http://a/', o_orderkey, ' -x') end as arguments", "case when o_orderkey % 5 = 3 then concat('see HTTP://t/', o_orderkey) end as target")(s, d).select("o_orderkey", B.shortcut_url(*map(F.col, ("url", "destination", "arguments", "target"))).alias("found")),
          "select o_orderkey, case o_orderkey % 5 when 0 then 'http://p/' || o_orderkey when 1 then 'https://d/' || o_orderkey when 2 then 'http://a/' || o_orderkey when 3 then 'HTTP://t/' || o_orderkey end found from orders")
+#: For each group of code tables its domains; codes are spread over known and unknown ones.
+CODES = {"a": ("download_state", "download_danger", "download_interrupt"), "b": ("visit_type", "hidden"), "c": ("chromium_samesite", "chromium_priority", "chromium_source_scheme"), "d": ("firefox_samesite", "firefox_scheme_map"), "e": ("chromium_permission",), "f": ("firefox_permission", "expire_type"), "g": ("signed_state",), "h": ("icon_type",)}
+
+
+def code_sql(domain: str) -> str:
+    whens = " ".join(f"when {k} then '{v}'" for k, v in codes.LABELS[domain].items())
+    rest = f"'{codes.DEFAULTS[domain]}'" if domain in codes.DEFAULTS else "'unknown_' || (o_orderkey % 55 - 2)"
+    return f"case o_orderkey % 55 - 2 {whens} else {rest} end {domain}"
+
+
+for part, domains_of in CODES.items():
+    register(f"H-22{part}", lambda s, d, domains_of=domains_of: of("orders", "o_orderkey", "o_orderkey % 55 - 2 as code")(s, d).select("o_orderkey", *[codes.label(x, F.col("code")).alias(x) for x in domains_of]), f"select o_orderkey, {', '.join(map(code_sql, domains_of))} from orders")
 
 # -- nested documents
 NODE = "named_struct('type', 'url', 'name', o_orderstatus, 'url', concat('http://b/', o_orderkey), 'date_added', cast((o_orderkey + 13000000000) * 1000000 as string))"
@@ -128,6 +141,11 @@ COUNTED = ("orders", "events", "documents", "pages")
 register("S-15", lambda s, d: readers.row_counts({t: frame(s, d, t) for t in COUNTED}), " union all ".join(f"select '{t}' \"name\", count(*) n from {t}" for t in COUNTED))
 register("S-15purge", lambda s, d: readers.purged({"urls": frame(s, d, "urls")}, 1)["urls"].select("id", "evidence_id"), "select id, evidence_id from urls where evidence_id <> 1", "urls")
 
+MAPPER = "U-1f"  # named at run time from the registry of sources
+register("P-4", lambda s, d: event_rows(timeline.mapped(mapped_table(s, d, MAPPER), timeline.SOURCES[MAPPER])), mapped_sql(MAPPER))
+STORES = {"local": "F", "session": "O", "indexed": "P"}
+register("U-3", lambda s, d: records.store_rollup({k: frame(s, d, "orders").where(F.col("o_orderstatus") == v).select("o_custkey") for k, v in STORES.items()}, "o_custkey").select("o_custkey"), "select distinct o_custkey from orders where o_orderstatus in ('F', 'O', 'P')")
+
 
 @plugins.producer("domains")
 def domains(files):

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casemill.functions import browser as B
+from casemill.functions import codes
 from casemill.operators import nested, system
 from casemill.sources import readers
 
@@ -88,3 +89,9 @@ def test_list_imports(spark, tmp_path):
     assert [s[4] for s in status("skip")] == ["skipped", "skipped", "invalid"]
     with pytest.raises(ValueError):
         readers.batch_status(spark, path, names, "merge")
+
+
+def test_code_labels(spark):
+    row = [codes.label(d, F.lit(c)) for d, c in (("visit_type", 2), ("visit_type", 77), ("chromium_samesite", -1), ("expire_type", 9), ("firefox_permission_type", "geo"), ("firefox_permission_type", "own"))]
+    got = spark.range(1).select(*row, codes.label("hidden", F.lit(None).cast("int")), codes.unsigned_or_broken(F.lit(-1)), codes.unsigned_or_broken(F.lit(2))).first()
+    assert tuple(got) == ("typed", "unknown_77", "unspecified", "permanent", "geolocation", "own", None, True, False)
