@@ -77,8 +77,8 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
     return starts.groupBy(F.slice("words", F.col("start"), F.col("length")).alias("window")).agg(F.collect_set("item_id").alias("items")).withColumn("length", F.size("window"))
 
 
-def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids for every document."""
+def contamination(docs: DataFrame, items: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids for every document, carried columns."""
     windows = benchmark_windows(items)
     lengths = [r["length"] for r in windows.select("length").distinct().collect()]
     sizes = sorted({min(SHINGLE, n) for n in lengths})
@@ -101,7 +101,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         return let(words_of(F.col("text")), body)
 
     if tokens is None:
-        return docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"), F.array().cast("array<string>").alias("item_ids"))
+        return docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"), F.array().cast("array<string>").alias("item_ids"), *carried)
 
     distinct = tokens.select("h").distinct()
     n_tokens = distinct.count()
@@ -119,23 +119,23 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         first = F.greatest(x["i"] - around, F.lit(0))
         return F.struct(x["i"].alias("i"), x["h"].alias("h"), x["k"].alias("k"), first.alias("first"), F.slice(words, first + 1, F.lit(2 * WINDOW)).alias("near"))
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("content"), found(table, longs, keep).alias("f"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("content"), *carried, found(table, longs, keep).alias("f"))
     # one row more for every document stands for the document itself
     mark = F.array(F.struct(F.lit(-1).alias("i"), F.lit(None).cast("long").alias("h"), F.lit(0).alias("k"), F.lit(0).alias("first"), F.array().cast("array<string>").alias("near")))
-    rows = rows.select("doc_id", "content", F.col("f.n").alias("n"), F.explode(F.concat(mark, "f.hits")).alias("x")).select("doc_id", "content", "n", "x.*")
+    rows = rows.select("doc_id", "content", *carried, F.col("f.n").alias("n"), F.explode(F.concat(mark, "f.hits")).alias("x")).select("doc_id", "content", *carried, "n", "x.*")
     start = F.col("i") - F.col("offset")
     fits = (start >= F.col("first")) & (start + F.col("length") <= F.col("n"))
     same = F.slice("near", F.when(fits, start - F.col("first") + 1).otherwise(1), F.col("length")) == F.col("window")
     joined = rows.join(small(prefix, n_prefix), ["h", "k"], "left").where((F.col("i") < 0) | (fits & same))
     spans = F.array_sort(F.collect_set(F.when(F.col("i") >= 0, F.struct(start.alias("a"), (start + F.col("length")).alias("b")))))
-    grouped = joined.groupBy("doc_id", "content").agg(
+    grouped = joined.groupBy("doc_id", "content", *carried).agg(
         F.count(F.when(F.col("i") < 0, 1)).alias("copies"), F.max("n").alias("n_words"), spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids")
     )
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("hit"))
     covered = F.aggregate("spans", zero, lambda acc, s: F.struct(F.greatest(acc["end"], s["b"]).alias("end"), (acc["hit"] + F.greatest(s["b"] - F.greatest(acc["end"], s["a"]), F.lit(0))).alias("hit")))
-    result = grouped.select("doc_id", "copies", "n_words", covered["hit"].alias("n_hit"), "item_ids")
+    result = grouped.select("doc_id", *carried, "copies", "n_words", covered["hit"].alias("n_hit"), "item_ids")
     return result.select(
-        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "item_ids",
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "item_ids", *carried,
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
     ).drop("copy")
 

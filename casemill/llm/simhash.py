@@ -52,16 +52,16 @@ def majority(hashes: list[list[int]]) -> np.ndarray:
     return out.astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fp: the 64-bit fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 3, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp: the 64-bit fingerprint as a signed long; carried string columns."""
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch):
                 fps = majority([shingle_hashes(t, width) for t in texts_of(part)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64)), *part.columns[2:]], ["doc_id", "fp", *carried])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", *carried).mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} string" for c in carried))
 
 
 def trie_links(group: np.ndarray, fp: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,11 +178,23 @@ def near_links(distinct: DataFrame, budget: int = 3, group: int = GROUP) -> Data
     return out
 
 
+def _rooted(distinct: DataFrame, budget: int, group: int) -> DataFrame:
+    """fp, least of the distinct fingerprints, with the root of their component."""
+    found = components(near_links(distinct, budget, group))
+    return distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+
+
+def near_representatives(docs: DataFrame, key: str, width: int = 3, budget: int = 3, group: int = GROUP) -> DataFrame:
+    """One value of the key column (a string, not null) for each component: of the smallest doc_id, null last, then the smallest."""
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(key).alias("key"))
+    distinct = staged(fingerprints(docs, width, (key,)).groupBy("fp").agg(F.min(order).alias("least")), "distinct-fingerprints")
+    return _rooted(distinct, budget, group).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias(key))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 3, group: int = GROUP) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id that links reach, itself included."""
     fps = staged(fingerprints(docs, width), "fingerprints")
     distinct = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    found = components(near_links(distinct, budget, group))
-    roots = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    roots = _rooted(distinct, budget, group)
     named = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -153,8 +153,8 @@ def toxic_segments(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, first long, last long, score double, expected double, passage string")
 
 
-def segment_values(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_segments, value: how unlikely the significant segments of a document are, as a sum of logs."""
+def segment_values(docs: DataFrame, model: Model, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_segments, value: how unlikely the significant segments of a document are, as a sum of logs; carried string columns."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -165,17 +165,17 @@ def segment_values(docs: DataFrame, model: Model) -> DataFrame:
                 scores = model.scores(distinct).astype(np.float64)[codes] if distinct else np.zeros(0)
                 found = [model.significant(scores[a:b]) for a, b in zip(offsets, offsets[1:])]
                 values = [sum(-float(np.log(x[3] / EXPECTED)) for x in own) for own in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, found)), pa.int64()), pa.array(values, pa.float64())], ["doc_id", "n_segments", "value"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, found)), pa.int64()), pa.array(values, pa.float64()), *part.columns[2:]], ["doc_id", "n_segments", "value", *carried])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_segments long, value double")
+    return docs.select("doc_id", "text", *carried).mapInArrow(run, "doc_id long, n_segments long, value double" + "".join(f", {c} string" for c in carried))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_segments of every document."""
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted, n_segments of every document, carried string columns."""
     held_out = F.coalesce(crc_of_id() % 3 == 1, F.lit(False))
     fit, tune = crc_of_id() / 3 % CLASSES >= 1, crc_of_id() / 3 % CLASSES < 1
     model = count_tokens(docs, learnable(labels, "toxic", ~held_out & fit))
-    values = staged(segment_values(docs, model), "toxicity")
+    values = staged(segment_values(docs, model, carried), "toxicity")
     step = 0.25
     bins = values.join(learnable(labels, "toxic", ~held_out & tune), "doc_id").groupBy(F.least(F.round(F.col("value") / step), F.lit(200.0)).alias("x")).agg(F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1")).collect()
     if bins and sum(r["n1"] for r in bins):
@@ -183,4 +183,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     else:
         slope, cut = 0.0, float(np.log(max(model.rate, 1e-6) / (1 - model.rate)))
     score = 1 / (1 + F.exp(-(F.log1p("value") * slope + cut)))
-    return values.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "n_segments")
+    return values.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "n_segments", *carried)

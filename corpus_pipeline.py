@@ -1,4 +1,7 @@
-"""From raw documents to token digests: five stages, each on all that the one before has kept."""
+"""From raw documents to token digests: five stages, each on all that the one before has kept.
+
+Stages tell rows apart by doc_id and content, so null and tied doc_ids neither drop nor save another row.
+"""
 
 from __future__ import annotations
 
@@ -11,23 +14,30 @@ from pyspark.sql import functions as F
 from casemill.llm.bpe import bpe_digests
 from casemill.llm.common import read_table, shared_dir
 from casemill.llm.decontamination import contamination
-from casemill.llm.simhash import near_duplicates
+from casemill.llm.simhash import near_representatives
 from casemill.llm.suffix_dedup import without_repeats
 from casemill.llm.toxicity import toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key of doc_id and content (128 bits, never null): rows of one key are equal in all columns."""
+    sizes = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("doc_id", "n_chars")] + [F.coalesce(F.length(c).cast("string"), F.lit("-")) for c in ("lang", "source", "text")]
+    return docs.select(*COLUMNS, F.md5(F.concat_ws(",", *sizes, "lang", "source", "text")).alias("key"))
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator predicts to be toxic go."""
-    rejected = toxicity(docs, read_table(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    docs = keyed(docs)
+    rejected = toxicity(docs, read_table(spark, sf_dir, "labels"), carried=("key",)).where("predicted = 1").select("key").distinct()
+    return docs.join(rejected, "key", "left_anti").select(*COLUMNS)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays (one row, if that id is repeated)."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+    """Of each group of near copies one row stays: the smallest doc_id (null after all others), then the smallest key."""
+    docs = keyed(docs)
+    return docs.join(near_representatives(docs, "key"), "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def without_long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +47,9 @@ def without_long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
-    hit = contamination(docs, read_table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    docs = keyed(docs)
+    hit = contamination(docs, read_table(spark, sf_dir, "benchmark"), ("key",)).where("contaminated").select("key").distinct()
+    return docs.join(hit, "key", "left_anti").select(*COLUMNS)
 
 
 def token_digests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
