@@ -19,7 +19,7 @@ Contents are compared by 128 bits of hash. Tasks hold a bounded piece of text, o
 at its edge, never a whole group; equal units are reduced before the shuffle.
 
 Cases: null and empty texts, and texts below 100 bytes, lose nothing. Rows with tied doc_ids do not count as
-earlier than one another; repeated rows (same doc_id and text) get the same result each. Extra columns are not read.
+earlier than one another and are told apart by a 64-bit hash of their text; repeated rows (same doc_id and text) get the same result each. Extra columns are not read.
 An empty table gives no rows. A very long text is cut into ranges of windows with the bytes that these need.
 """
 
@@ -41,7 +41,6 @@ FILES = 4096
 CHUNK = 1 << 18
 #: Stands for a null doc_id, before all others.
 NO_ID = -(2**63) + 1
-ROW_BITS = (1 << 23) - 1
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -116,19 +115,19 @@ def text_units(data: np.ndarray, offsets: np.ndarray, width: int = PROBES[0]) ->
     return dict(zip(("text", "start", "windows", "name", "content", "tied"), columns))
 
 
-def placed(row: np.ndarray, start: np.ndarray, windows: np.ndarray, tied: np.ndarray) -> np.ndarray:
-    """Row mark (23 bits), start (32), windows (7) and whether the unit may repeat in itself (1) as one number, in this order."""
-    return (row.astype(np.int64) << 40) | (start.astype(np.int64) << 8) | (windows.astype(np.int64) << 1) | tied.astype(np.int64)
+def placed(start: np.ndarray, windows: np.ndarray, tied: np.ndarray) -> np.ndarray:
+    """Start (32 bits), windows (7) and whether the unit may repeat in itself (1) as one number, in this order."""
+    return (start.astype(np.int64) << 8) | (windows.astype(np.int64) << 1) | tied.astype(np.int64)
 
 
-def earlier_flags(name, content, doc, place) -> tuple[np.ndarray, np.ndarray]:
+def earlier_flags(name, content, doc, row, place) -> tuple[np.ndarray, np.ndarray]:
     """For tuples in sorted order: whether an equal one is earlier; whether its name has different contents."""
     n = len(name)
     if not n:
         return np.zeros(0, bool), np.zeros(0, bool)
     new_name = np.r_[True, name[1:] != name[:-1]]
     new = new_name | np.r_[True, content[1:] != content[:-1]]
-    row, start = place >> 40, place >> 8
+    start = place >> 8
     new_row = new | np.r_[True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])]
     least = doc[np.maximum.accumulate(np.where(new, np.arange(n), 0))]
     first = start[np.maximum.accumulate(np.where(new_row, np.arange(n), 0))]
@@ -137,16 +136,16 @@ def earlier_flags(name, content, doc, place) -> tuple[np.ndarray, np.ndarray]:
     return earlier, (np.bincount(group, new) > 1)[group]
 
 
-def _tuples(name, content, doc, place) -> pa.RecordBatch:
+def _tuples(name, content, doc, row, place) -> pa.RecordBatch:
     """Tuples of a piece, reduced: one that is equal to an earlier one of the piece loses name and content (both 0)."""
-    order = np.lexsort((place, doc, content, name))
-    name, content, doc, place = name[order], content[order], doc[order], place[order]
-    earlier, _ = earlier_flags(name, content, doc, place)
+    order = np.lexsort((place, row, doc, content, name))
+    name, content, doc, row, place = name[order], content[order], doc[order], row[order], place[order]
+    earlier, _ = earlier_flags(name, content, doc, row, place)
     name, content = np.where(earlier, 0, name), np.where(earlier, 0, content)
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (name, content, doc, place)], ["name", "content", "doc_id", "place"])
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (name, content, doc, row, place)], ["name", "content", "doc_id", "row", "place"])
 
 
-TUPLES = "name long, content long, doc_id long, place long"
+TUPLES = "name long, content long, doc_id long, row long, place long"
 
 
 def unit_tuples(docs: DataFrame) -> DataFrame:
@@ -156,44 +155,44 @@ def unit_tuples(docs: DataFrame) -> DataFrame:
                 data, offsets = flat_bytes(part.column(1))
                 u = text_units(data, offsets)
                 doc, row = part.column(0).to_numpy(), part.column(2).to_numpy()
-                yield _tuples(u["name"].view(np.int64), u["content"].view(np.int64), doc[u["text"]], placed(row[u["text"]], u["start"], u["windows"], u["tied"]))
+                yield _tuples(u["name"].view(np.int64), u["content"].view(np.int64), doc[u["text"]], row[u["text"]], placed(u["start"], u["windows"], u["tied"]))
 
     return docs.mapInArrow(run, TUPLES)
 
 
 def repeated_tuples(tuples: DataFrame) -> DataFrame:
-    """doc_id, place, again: tuples equal to an earlier one (again), and first ones whose name has other contents or ties."""
+    """doc_id, row, place, again: tuples equal to an earlier one (again), and first ones whose name has other contents or ties."""
 
     def run(batches):
         held = None
         for batch in batches:
-            own = [batch.column(k).to_numpy() for k in range(4)] + [np.zeros(batch.num_rows, bool)]
-            name, content, doc, place, done = (np.concatenate(x) for x in zip(held, own)) if held else own
+            own = [batch.column(k).to_numpy() for k in range(5)] + [np.zeros(batch.num_rows, bool)]
+            name, content, doc, row, place, done = (np.concatenate(x) for x in zip(held, own)) if held else own
             reduced = (name == 0) & (content == 0)
-            earlier, mixed = earlier_flags(name, content, doc, place)
+            earlier, mixed = earlier_flags(name, content, doc, row, place)
             earlier |= reduced
             open_group = (name == name[-1]) & ~mixed & ~reduced  # may still meet other contents
             ready = ~done & ((earlier & ~open_group) | (earlier & open_group) | (~earlier & ~open_group & (mixed | (place & 1 == 1))))
-            yield result(doc[ready], place[ready], earlier[ready])
+            yield result(doc[ready], row[ready], place[ready], earlier[ready])
             # what the next batch needs: the edge of the last group, and first ones not decided yet
             keep = np.zeros(len(name), bool)
             last_name = np.flatnonzero(name == name[-1])
             last_content = last_name[content[last_name] == content[-1]]
             keep[[last_name[0], last_content[0]]] = True
-            last_row = last_content[(doc[last_content] == doc[-1]) & (place[last_content] >> 40 == place[-1] >> 40)]
+            last_row = last_content[(doc[last_content] == doc[-1]) & (row[last_content] == row[-1])]
             keep[last_row[0]] = True
             keep |= open_group & ~earlier
-            held = [x[keep] for x in (name, content, doc, place, done | ~open_group | earlier)]
+            held = [x[keep] for x in (name, content, doc, row, place, done | ~open_group | earlier)]
         if held:
-            name, content, doc, place, done = held
+            name, content, doc, row, place, done = held
             left = ~done & (place & 1 == 1)
-            yield result(doc[left], place[left], np.zeros(left.sum(), bool))
+            yield result(doc[left], row[left], place[left], np.zeros(left.sum(), bool))
 
-    def result(doc, place, again):
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place), pa.array(again)], ["doc_id", "place", "again"])
+    def result(doc, row, place, again):
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(row), pa.array(place), pa.array(again)], ["doc_id", "row", "place", "again"])
 
-    route = F.when((F.col("name") == 0) & (F.col("content") == 0), F.xxhash64("doc_id", "place")).otherwise(F.col("name"))
-    return tuples.repartition(route).sortWithinPartitions("name", "content", "doc_id", "place").mapInArrow(run, "doc_id long, place long, again boolean")
+    route = F.when((F.col("name") == 0) & (F.col("content") == 0), F.xxhash64("doc_id", "row", "place")).otherwise(F.col("name"))
+    return tuples.repartition(route).sortWithinPartitions("name", "content", "doc_id", "row", "place").mapInArrow(run, "doc_id long, row long, place long, again boolean")
 
 
 def deeper_tuples(docs: DataFrame, width: int | None) -> DataFrame:
@@ -221,7 +220,7 @@ def deeper_tuples(docs: DataFrame, width: int | None) -> DataFrame:
                         at = np.arange(len(f)) - np.repeat(np.cumsum(windows) - windows, windows)
                         name, content = (x[(ends - size)[f] + at] for x in (whole, least))
                         n, tied = np.ones(len(f), np.int64), np.zeros(len(f), np.int64)
-                    yield _tuples(name.view(np.int64), content.view(np.int64), doc[t[f]], placed(row[t[f]], start[f] + at, n, tied))
+                    yield _tuples(name.view(np.int64), content.view(np.int64), doc[t[f]], row[t[f]], placed(start[f] + at, n, tied))
 
     return docs.mapInArrow(run, TUPLES)
 
@@ -238,13 +237,13 @@ def bucketed(rows: DataFrame) -> DataFrame:
 
 
 def by_document(places: DataFrame) -> DataFrame:
-    return places.withColumn("row", F.shiftright("place", 40)).groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    return places.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("place")).alias("places"))
 
 
 def repeats(docs: DataFrame, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, text, row, carried columns), and places by (doc_id, row): starts of repeated windows, in runs."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), text.alias("text"), F.xxhash64(text).bitwiseAND(F.lit(ROW_BITS)).alias("row"), *carried)
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row"), *carried)
     found = [staged(repeated_tuples(unit_tuples(rows.select("doc_id", "text", "row"))), "units")]
     texts = bucketed(rows)
     for width in (*PROBES[1:], None):

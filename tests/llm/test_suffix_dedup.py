@@ -69,3 +69,18 @@ def test_units_cover_all_windows_in_any_chunks(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 501)
     cut = suffix_dedup.text_units(data, offsets)
     assert cut["windows"].sum() == whole["windows"].sum() and cut["windows"].max() <= 100
+
+
+def test_texts_of_one_id_with_equal_low_hash_bits(spark):
+    rng = random.Random(6)
+    shared = "".join(rng.choice("abcdef") for _ in range(130))
+    texts = [(shared + f" {k}" if k % 2 else f"{k} begins " * 9 + shared) for k in range(24_000)]
+    marks = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, text string").selectExpr("k", "xxhash64(text) & 8388607 row").collect()
+    seen = {r.row: r.k for r in marks if r.k % 2}
+    pairs = [(seen[r.row], r.k) for r in marks if r.k % 2 == 0 and r.row in seen]
+    assert pairs
+    for doc_id in (None, 7):
+        rows = [(doc_id, texts[k]) for k in pairs[0]]
+        got = repeat_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(map(tuple, got), key=str) == brute(rows)
+        assert not any(r.n_removed for r in got)
