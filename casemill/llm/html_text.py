@@ -3,7 +3,7 @@
 A page becomes blocks in page order. Markup says of most blocks whether they are the article (inside article or main)
 or its surroundings (menus, headers, footers, forms, adverts, comments and the like, also by class, id and role). Blocks
 of pages without an article element that markup leaves open are decided by their host: the token streams of all its
-blocks outside articles are searched for runs of RUN tokens that occur on two distinct pages at least. Equal runs meet
+blocks outside articles, those of well marked up pages included, are searched for runs of RUN tokens that occur on two distinct pages at least. Equal runs meet
 by (host, hash) in Spark's sorted aggregation, which stands for the host's suffix array: only the smallest and largest
 page of a run are kept, so a host with a third of all pages is spread over tasks. Tokens covered by such runs go; the
 unique runs between them stay.
@@ -123,7 +123,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                     host = host_of(url)
                     texts.append("\n".join(article))
                     undecided.append([] if article else [t for k, t in found if k == OPEN])
-                    seen.append([] if article and not any(k == OPEN for k, _ in found) else sorted({h for k, t in found if k != ARTICLE for h in runs(host, t)}))
+                    seen.append(sorted({h for k, t in found if k != ARTICLE for h in runs(host, t)}))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(undecided, pa.list_(pa.string())), pa.array(seen, pa.list_(pa.int64()))],
                     ["page_id", "url", "text", "undecided", "runs"],

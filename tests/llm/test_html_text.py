@@ -26,3 +26,11 @@ def test_main_text(spark):
     texts = {1: article, 2: "", 3: "", 4: "unique words of the first page stand here now all alone", 5: "other words\ntail", 6: home, 7: "", 8: ("long text " * 50_000).strip()}
     assert got == sorted([(i, u, texts[i], len(texts[i])) for i, u, *_ in rows], key=str)
     assert main_text(pages.limit(0)).count() == 0
+
+
+def test_surroundings_of_marked_pages_are_evidence(spark):
+    menu = "home news sport weather travel music film books games"
+    rows = [(i, f"http://mixed.example/{i}", f"<nav>{menu}</nav><article><p>text {i}</article>") for i in range(3)]
+    rows += [(9, "http://mixed.example/9", f"<div>{menu}</div><p>own words"), (10, "http://else.example/", f"<div>{menu}</div>")]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "text 0", 1: "text 1", 2: "text 2", 9: "own words", 10: menu}
