@@ -1,8 +1,8 @@
 """Operator 5: toxicity by maximum-scoring segments of token log-odds.
 
 A token's odds of standing in a toxic document are smoothed twice with Dirichlet priors: the base rate is the prior
-of its first letters, and those are the prior of the word. Words and first letters are counted by document, in
-tables of fixed size addressed by hash. A segment's score is the sum of its tokens' log-odds less a drift, so
+of its first letters, and those are the prior of the word. Words and first letters are counted by document, each by
+a 64-bit hash of its own, in tables that grow with the labelled vocabulary. A segment's score is the sum of its tokens' log-odds less a drift, so
 neutral text scores below zero; one linear scan (Ruzzo and Tompa) finds all maximal segments. Their significance
 follows extreme-value statistics: lambda solves sum p exp(lambda s) = 1 over the tokens of clean documents, and a
 document of n tokens expects n exp(-lambda S) segments of score S by chance. The logs of all significant
@@ -18,10 +18,10 @@ texts are scanned whole.
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +29,9 @@ from casemill.llm.common import pieces, staged, texts_of
 from casemill.llm.labelled import crc_of_id, learnable, logistic
 
 LETTERS = re.compile(r"[^\W\d_]+")
-WORD_BITS, STEM_BITS, STEM = 19, 17, 4
+STEM = 4
+#: A task adds up the counts of so many words before it passes them on.
+HELD = 1_000_000
 PRIOR = 12.0
 DRIFT = 0.7
 #: A segment is significant if fewer than this many as good are expected by chance.
@@ -37,12 +39,32 @@ EXPECTED = 0.5
 CLASSES = 4  # of the learnable rows, one in so many fits the curve only
 
 
-def word_cell(word: str) -> int:
-    return zlib.crc32(word.encode()) & ((1 << WORD_BITS) - 1)
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words)).view(np.int64)
 
 
-def stem_cell(word: str) -> int:
-    return zlib.crc32(word[:STEM].encode()) & ((1 << STEM_BITS) - 1)
+def stem_hashes(words: list[str]) -> np.ndarray:
+    return word_hashes([w[:STEM] for w in words])
+
+
+def summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in order with the sums of their counts (n, 2)."""
+    distinct, at = np.unique(hashes, return_inverse=True)
+    return distinct, np.stack([np.bincount(at, counts[:, c], len(distinct)) for c in (0, 1)], 1).astype(np.int64)
+
+
+class Counts:
+    """Documents of class 0 and 1 by hash; zero for a hash that was not counted."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.counts = hashes[order], counts[order].astype(np.float32)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros((len(hashes), 2), np.float32)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where((self.hashes[at] == hashes)[:, None], self.counts[at], np.float32(0))
 
 
 def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -75,17 +97,16 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 class Model:
-    """Token log-odds as a table by word cell, and the decay of chance scores."""
+    """Token log-odds from the counts of words and first letters, and the decay of chance scores."""
 
-    def __init__(self, words: np.ndarray, stems: np.ndarray, docs: np.ndarray):
-        """words, stems: (cells, 2) documents of class 0 and 1 with the cell; docs: documents of each class."""
+    def __init__(self, words: Counts, stems: Counts, docs: np.ndarray):
+        """words, stems: documents of class 0 and 1 with the word; docs: documents of each class."""
         self.rate = (docs[1] + 0.5) / (docs.sum() + 1.0)
-        of_stem = (stems[:, 1] + PRIOR * self.rate) / (stems.sum(1) + PRIOR)
-        self.stem = of_stem.astype(np.float32)
-        self.words = words.astype(np.float32)
+        self.stems, self.words = stems, words
         base = np.log(self.rate / (1 - self.rate))
-        s = np.log((words[:, 1] + PRIOR * self.rate) / (words[:, 0] + PRIOR * (1 - self.rate))) - base - DRIFT
-        p = words[:, 0] / max(1.0, words[:, 0].sum())
+        kinds, times = np.unique(words.counts.astype(np.float64), axis=0, return_counts=True)  # words of equal counts score alike
+        s = np.log((kinds[:, 1] + PRIOR * self.rate) / (kinds[:, 0] + PRIOR * (1 - self.rate))) - base - DRIFT
+        p = kinds[:, 0] * times / max(1.0, (kinds[:, 0] * times).sum())
         low, high = 0.0, 20.0
         for _ in range(60):
             mid = (low + high) / 2
@@ -93,9 +114,9 @@ class Model:
         self.decay = max(low, 0.2)
 
     def scores(self, distinct: list[str]) -> np.ndarray:
-        word = np.fromiter(map(word_cell, distinct), np.int64, len(distinct))
-        prior = PRIOR * self.stem[np.fromiter(map(stem_cell, distinct), np.int64, len(distinct))]
-        seen = self.words[word]
+        stem = self.stems.of(stem_hashes(distinct)).astype(np.float64)
+        prior = PRIOR * ((stem[:, 1] + PRIOR * self.rate) / (stem.sum(1) + PRIOR)).astype(np.float32)
+        seen = self.words.of(word_hashes(distinct))
         return np.log((seen[:, 1] + prior) / (seen[:, 0] + PRIOR - prior)) - np.log(self.rate / (1 - self.rate)) - DRIFT
 
     def significant(self, scores: np.ndarray) -> list[tuple[int, int, float, float]]:
@@ -106,31 +127,48 @@ class Model:
 
 
 def count_tokens(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model from documents with a label y; counts by table cell are all that reaches the driver."""
+    """The model from documents with a label y; counts by word and by first letters are all that reaches the driver."""
 
     def run(batches):
-        words, stems, docs_of = np.zeros((1 << WORD_BITS, 2), np.int64), np.zeros((1 << STEM_BITS, 2), np.int64), np.zeros((1, 2), np.int64)
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+        docs_of = np.zeros((1, 2), np.int64)
+
+        def table(kind, hashes, counts):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), kind, np.int32)), pa.array(hashes), pa.array(counts[:, 0]), pa.array(counts[:, 1])], ["kind", "word", "n0", "n1"])
+
+        def added(kind):
+            out = summed(*(np.concatenate(x) for x in zip(*held[kind])))
+            held[kind] = []
+            return out
+
         for batch in batches:
             for part in pieces(batch):
                 codes, offsets, distinct = coded(texts_of(part))
                 y = part.column(2).to_numpy()
-                for table, cell in ((words, word_cell), (stems, stem_cell)):
-                    cells = np.fromiter(map(cell, distinct), np.int64, len(distinct))
-                    owner = np.repeat(np.arange(len(y)), np.diff(offsets))
-                    once = np.unique(owner << 32 | cells[codes])
-                    np.add.at(table, (once & 0xFFFFFFFF, y[once >> 32]), 1)
                 docs_of += np.bincount(y, minlength=2)
-        for kind, table in enumerate((words, stems, docs_of)):
-            full = np.flatnonzero(table.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), kind, np.int32)), pa.array(full), pa.array(table[full, 0]), pa.array(table[full, 1])], ["kind", "cell", "n0", "n1"])
-
-    rows = docs.join(labels, "doc_id").select("doc_id", "text", "y").mapInArrow(run, "kind int, cell long, n0 long, n1 long")
-    sums = rows.groupBy("kind", "cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    kind, cell, counts = sums["kind"].to_numpy(), sums["cell"].to_numpy(), np.stack([sums["n0"].to_numpy(), sums["n1"].to_numpy()], 1)
-    tables = [np.zeros((n, 2)) for n in (1 << WORD_BITS, 1 << STEM_BITS, 1)]
-    for k, table in enumerate(tables):
-        table[cell[kind == k]] = counts[kind == k]
-    return Model(tables[0], tables[1], tables[2][0])
+                if not distinct:
+                    continue
+                owner = np.repeat(np.arange(len(y)), np.diff(offsets))
+                for kind, hashes in enumerate((word_hashes(distinct), stem_hashes(distinct))):
+                    names, own = np.unique(hashes, return_inverse=True)
+                    once = np.unique(owner << 32 | own[codes])
+                    of, toxic = once & 0xFFFFFFFF, y[once >> 32]
+                    held[kind].append((names, np.stack([np.bincount(of, toxic == c, len(names)) for c in (0, 1)], 1).astype(np.int64)))
+                    if sum(len(x) for x, _ in held[kind]) > HELD:
+                        total = added(kind)
+                        if len(total[0]) > HELD // 2:
+                            yield table(kind, *total)
+                        else:
+                            held[kind] = [total]
+        for kind in (0, 1):
+            if held[kind]:
+                yield table(kind, *added(kind))
+        yield table(2, np.zeros(1, np.int64), docs_of)
+
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", "y").mapInArrow(run, "kind int, word long, n0 long, n1 long")
+    sums = rows.groupBy("kind", "word").agg(F.sum("n0").cast("int").alias("n0"), F.sum("n1").cast("int").alias("n1")).toArrow()
+    kind, word, counts = sums["kind"].to_numpy(), sums["word"].to_numpy(), np.stack([sums["n0"].to_numpy(), sums["n1"].to_numpy()], 1)
+    return Model(*(Counts(word[kind == k], counts[kind == k]) for k in (0, 1)), counts[kind == 2].sum(0).astype(np.float64))
 
 
 def toxic_segments(docs: DataFrame, model: Model) -> DataFrame:

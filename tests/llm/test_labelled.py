@@ -60,3 +60,19 @@ def test_operators(spark):
     model = count_tokens(docs, labels.where("toxic is not null").selectExpr("doc_id", "toxic y").dropDuplicates(["doc_id"]))
     found = [r for r in toxic_segments(docs, model).collect() if r.doc_id < 1200]
     assert found and all({"vile", "nasty", "awful", "rotten"} & set(r.passage.split()) for r in found)
+
+
+def test_words_keep_their_own_counts(spark):
+    """A word that no labelled document has scores like any other such word, whatever hash it shares in part."""
+    cells, strangers = {zlib.crc32(b"vile") & 0x7FFFF: "vile"}, []
+    for n in itertools.count():
+        word = "zz" + "".join(chr(97 + int(c)) for c in str(n))
+        if zlib.crc32(word.encode()) & 0x7FFFF in cells:
+            strangers.append(word)
+            break
+    rows = [(i, "some plain words here" + " vile" * (i % 2)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = count_tokens(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, y int"))
+    vile, stranger, other, plain = model.scores(["vile", strangers[0], "zzz", "plain"])
+    assert stranger == other and vile > 1 + stranger
+    assert np.isclose(plain, np.log((30 + 12 * 0.5) / (30 + 12 * 0.5)) - 0.7)
