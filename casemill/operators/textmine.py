@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns, false positives, noise prefixes.
 URL = r"""https?://[^\s"'<>\]})\\,]+|https?%3[Aa]%2[Ff]%2[Ff][^\s"'<>\]})\\,]+"""
+URLS = re.compile(f"(?i:{URL})", re.A)
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 JWT = r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*"
 OAUTH = r"Ew[AB][A-Za-z0-9+/=_-]{50,}"
@@ -66,12 +70,29 @@ def expired(claims: Column, now: int) -> Column:
 
 
 def nearest_time(text: Column, at: Column) -> Column:
-    """X-8: the timestamp text within 200 characters: 13 digits, 10 digits, ISO."""
-    near = F.substring(text, F.greatest(at - 200, F.lit(1)), F.lit(400))
+    """X-8: the timestamp text within 200 characters on both sides of the 1-based place: 13 digits, 10 digits, ISO."""
+    start = F.greatest(at - 200, F.lit(1))
+    near = F.substring(text, start, at + 200 - start)
     first = lambda p: F.nullif(F.regexp_extract(near, p, 1), F.lit(""))
     return F.coalesce(first(r"\b(1[0-9]{12})\b"), first(r"\b(1[0-9]{9})\b"), first(r"(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})"))
 
 
+def url_times(rows: DataFrame) -> DataFrame:
+    """X-8: (id, at, found) of rows (id, text): the 1-based place of every URL of the whole text, the timestamp near it."""
+
+    def run(batches):
+        for batch in batches:
+            for id_, text in zip(*(c.to_pylist() for c in batch.columns)):
+                found = [m.start() for m in URLS.finditer(text or "")]
+                for k in range(0, len(found), 10_000):
+                    at = found[k : k + 10_000]
+                    near = [text[max(0, a - 200) : a + 200] for a in at]
+                    yield pa.RecordBatch.from_arrays([pa.array([id_] * len(at), pa.int64()), pa.array([a + 1 for a in at], pa.int32()), pa.array(near, pa.string()), pa.array([min(a, 200) + 1 for a in at], pa.int32())], ["id", "at", "near", "inner"])
+
+    windows = rows.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, "id long, at int, near string, inner int")
+    return windows.select("id", "at", nearest_time(F.col("near"), F.col("inner")).alias("found"))
+
+
 def normal_feature(kind: Column, feature: Column) -> Column:
     """X-9."""
     f = F.trim(feature)

@@ -364,7 +364,7 @@ register("X-5", lambda s, d: frame(s, d, "events").select("event_id", textmine.t
 register("X-1", lambda s, d: textmine.analysed(frame(s, d, "conversations").selectExpr("cast(conv_id as string) as origin", "role as key", "text as value")), None)
 register("X-2", lambda s, d: textmine.json_fields(frame(s, d, "events").withColumnRenamed("event_id", "id"), "props"), None)
 register("X-7", lambda s, d: textmine.tokens(frame(s, d, "events").selectExpr("cast(user_id as string) as origin", "'session' as key", "props as value")).select("token_hash"), "select distinct sha256(props) token_hash from events where length(props) >= 20")
-register("X-8", lambda s, d: frame(s, d, "pages").select("page_id", textmine.nearest_time(F.col("html"), F.lit(1)).alias("found")), None)
+register("X-8", lambda s, d: textmine.url_times(frame(s, d, "pages").selectExpr("page_id as id", "html as text")).withColumnRenamed("id", "page_id"), None)
 register("X-9", lambda s, d: frame(s, d, "pages").select("page_id", textmine.normal_feature(F.lit("domain"), F.col("url")).alias("feature")), "select page_id, regexp_replace(trim(url), '^(http|https|ftp)://', '') feature from pages")
 register("X-10", lambda s, d: frame(s, d, "pages").select("page_id", textmine.is_noise(F.col("url")).alias("noise")), "select page_id, len(list_distinct(string_split(url, ''))) < 10 or length(url) <= 10 or length(url) >= 2048 noise from pages")
 LINES_OF = lambda s, d: frame(s, d, "documents").select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", "\n")).alias("line", "text"))

@@ -122,3 +122,20 @@ def test_streams(spark, tmp_path):
     q = feeds.daily_feed(spark.readStream.schema(events.schema).parquet(str(tmp_path / "ev"))).writeStream.outputMode("append").format("memory").queryName("daily").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(str(r.day), r.kind, r.n) for r in spark.table("daily").collect()][:1] == [("2024-01-01", "click", 2)]
+
+
+def test_times_near_every_url(spark):
+    import re
+
+    fill = "lorem ipsum é " * 60
+    times = ["1700000000123", "1700000001", "2024-05-06T07:08:09"]
+    texts = [None, "", fill, f"http://a.example/x {times[0]}", fill + f"{times[1]} <a href='HTTPS://b.example/y'>" + fill + f"http://c.example {fill}" + f"http://d.example/ {times[2]} {times[1]}"]
+    texts += [" " * n + times[2] + " " * 180 + "http://e.example/" + " " * (170 + n) + times[0] for n in (0, 5)] + ["http://f.example/" + " " * 190 + times[0]]
+    expected = []
+    for i, t in enumerate(texts):
+        for m in re.finditer(r"https?://[^\s\"'<>\]})\\,]+", t or "", re.I):
+            near = t[max(0, m.start() - 200) : m.start() + 200]
+            found = [re.search(p, near) for p in (r"\b1[0-9]{12}\b", r"\b1[0-9]{9}\b", r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}")]
+            expected.append((i, m.start() + 1, next((f[0] for f in found if f), None)))
+    got = textmine.url_times(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()
+    assert sorted(map(tuple, got)) == expected and {e[2] for e in expected} >= {None, *times}
