@@ -3,16 +3,17 @@
 A token's odds of standing in a toxic document are smoothed twice with Dirichlet priors: the base rate is the prior
 of its first letters, and those are the prior of the word. Words and first letters are counted by document, each by
 a 64-bit hash of its own, in tables that grow with the labelled vocabulary. A segment's score is the sum of its tokens' log-odds less a drift, so
-neutral text scores below zero; one linear scan (Ruzzo and Tompa) finds all maximal segments. Their significance
+neutral text scores below zero; one linear scan (Ruzzo and Tompa, with their back pointers) finds all maximal segments. Their significance
 follows extreme-value statistics: lambda solves sum p exp(lambda s) = 1 over the tokens of clean documents, and a
-document of n tokens expects n exp(-lambda S) segments of score S by chance. The logs of all significant
+document of n tokens expects n exp(-lambda S) segments of score S by chance, kept as a log. The logs of all significant
 segments add up to one value, and a logistic curve, fitted on learnable rows that the counts did not use, turns it
 into a score.
 
-Cases: null and empty texts, and texts without letters, have no segment and the score of the value 0. Without usable
-labels every score is the base rate (0 if there is none). Repeated rows give repeated results. Extra columns are not
-read; labels of unknown documents are ignored, of several labels of one document the larger counts. Very long
-texts are scanned whole.
+Cases: null and empty texts, and texts without letters, have no segment and the score of the value 0. Without a toxic
+label to tune with every score is the smoothed base rate, (toxic + 0.5) / (labels + 1), so 0.5 without any label. A null
+doc_id has no label, is not held out and is scored like any other row; repeated rows and tied doc_ids each give a
+row. Extra columns are not read; labels of unknown documents are ignored, of several labels of one document the larger
+counts. Very long texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -34,8 +35,10 @@ STEM = 4
 HELD = 1_000_000
 PRIOR = 12.0
 DRIFT = 0.7
-#: A segment is significant if fewer than this many as good are expected by chance.
-EXPECTED = 0.5
+#: A segment is significant if fewer than so many (a half) as good are expected by chance.
+LOG_EXPECTED = float(np.log(0.5))
+#: Bins of the calibration histogram for each unit of the log.
+BINS = 32
 CLASSES = 4  # of the learnable rows, one in so many fits the curve only
 
 
@@ -76,24 +79,31 @@ def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score), in one pass over the positive tokens."""
+    """All maximal scoring segments (start, end, score), in time linear in the tokens.
+
+    Every open segment points back to the last one before it with a smaller sum to its left, so the search for a
+    partner never looks twice at a segment that it has passed.
+    """
     at = np.flatnonzero(scores > 0)
-    if not len(at):
-        return []
     total = np.r_[0.0, np.cumsum(scores)]
-    found: list[list] = []  # start, end, sum before it, sum up to its end
-    for i, before, after in zip(at.tolist(), total[at].tolist(), total[at + 1].tolist()):
-        k = [i, i + 1, before, after]
+    first: list[int] = []
+    last: list[int] = []
+    left: list[float] = []  # sum before the segment
+    right: list[float] = []  # sum up to its end
+    back: list[int] = []
+    for start, low, high in zip(at.tolist(), total[at].tolist(), total[at + 1].tolist()):
+        end, j = start + 1, len(first) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= k[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= k[3]:
-                found.append(k)
+            while j >= 0 and left[j] >= low:
+                j = back[j]
+            if j < 0 or right[j] >= high:
                 break
-            k = [found[j][0], k[1], found[j][2], k[3]]
-            del found[j:]
-    return [(a, b, y - x) for a, b, x, y in found]
+            start, low, after = first[j], left[j], back[j]
+            for column in (first, last, left, right, back):
+                del column[j:]
+            j = after
+        first.append(start), last.append(end), left.append(low), right.append(high), back.append(j)
+    return [(a, b, y - x) for a, b, x, y in zip(first, last, left, right)]
 
 
 class Model:
@@ -120,10 +130,10 @@ class Model:
         return np.log((seen[:, 1] + prior) / (seen[:, 0] + PRIOR - prior)) - np.log(self.rate / (1 - self.rate)) - DRIFT
 
     def significant(self, scores: np.ndarray) -> list[tuple[int, int, float, float]]:
-        """(start, end, score, expected) of the segments that chance explains badly."""
-        n = max(1, len(scores))
-        out = [(a, b, s, n * float(np.exp(-self.decay * s))) for a, b, s in segments(scores)]
-        return [x for x in out if x[3] < EXPECTED]
+        """(start, end, score, log of the expected number) of the segments that chance explains badly."""
+        size = float(np.log(max(1, len(scores))))
+        out = [(a, b, s, size - self.decay * s) for a, b, s in segments(scores)]
+        return [x for x in out if x[3] < LOG_EXPECTED]
 
 
 def count_tokens(docs: DataFrame, labels: DataFrame) -> Model:
@@ -172,7 +182,7 @@ def count_tokens(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def toxic_segments(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, first, last (words), score, expected, passage of every significant segment."""
+    """doc_id, first, last (words), score, log_expected, passage of every significant segment."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -183,12 +193,13 @@ def toxic_segments(docs: DataFrame, model: Model) -> DataFrame:
                 codes, offsets, distinct = coded(texts)
                 scores = model.scores(distinct)
                 for doc_id, text, a, b in zip(part.column(0).to_pylist(), texts, offsets, offsets[1:]):
-                    for first, last, score, expected in model.significant(scores[codes[a:b]]):
-                        rows.append((doc_id, first, last - 1, float(score), expected, " ".join(LETTERS.findall(text.lower())[first:last])))
+                    found = model.significant(scores[codes[a:b]])
+                    words = LETTERS.findall(text.lower()) if found else []
+                    rows += [(doc_id, first, last - 1, float(score), expected, " ".join(words[first:last])) for first, last, score, expected in found]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["doc_id", "first", "last", "score", "expected", "passage"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string()))], ["doc_id", "first", "last", "score", "log_expected", "passage"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, first long, last long, score double, expected double, passage string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, first long, last long, score double, log_expected double, passage string")
 
 
 def segment_values(docs: DataFrame, model: Model, carried: tuple[str, ...] = ()) -> DataFrame:
@@ -202,8 +213,8 @@ def segment_values(docs: DataFrame, model: Model, carried: tuple[str, ...] = ())
                 codes, offsets, distinct = coded(texts_of(part))
                 scores = model.scores(distinct).astype(np.float64)[codes] if distinct else np.zeros(0)
                 found = [model.significant(scores[a:b]) for a, b in zip(offsets, offsets[1:])]
-                values = [sum(-float(np.log(x[3] / EXPECTED)) for x in own) for own in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, found)), pa.int64()), pa.array(values, pa.float64()), *part.columns[2:]], ["doc_id", "n_segments", "value", *carried])
+                values = [sum(LOG_EXPECTED - x[3] for x in own) for own in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, found)), pa.int64()), pa.array([float(v) for v in values], pa.float64()), *part.columns[2:]], ["doc_id", "n_segments", "value", *carried])
 
     return docs.select("doc_id", "text", *carried).mapInArrow(run, "doc_id long, n_segments long, value double" + "".join(f", {c} string" for c in carried))
 
@@ -214,10 +225,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, carried
     fit, tune = crc_of_id() / 3 % CLASSES >= 1, crc_of_id() / 3 % CLASSES < 1
     model = count_tokens(docs, learnable(labels, "toxic", ~held_out & fit))
     values = staged(segment_values(docs, model, carried), "toxicity")
-    step = 0.25
-    bins = values.join(learnable(labels, "toxic", ~held_out & tune), "doc_id").groupBy(F.least(F.round(F.col("value") / step), F.lit(200.0)).alias("x")).agg(F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1")).collect()
+    # fitted and applied on one scale, the log of the value; the bins of its histogram grow with the log of the longest text
+    bins = values.join(learnable(labels, "toxic", ~held_out & tune), "doc_id").groupBy(F.round(F.log1p("value") * BINS).alias("x")).agg(F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1")).collect()
     if bins and sum(r["n1"] for r in bins):
-        slope, cut = logistic(np.log1p(np.array([r["x"] for r in bins]) * step), np.array([r["n0"] for r in bins], float), np.array([r["n1"] for r in bins], float))
+        slope, cut = logistic(*(np.array([r[c] for r in bins], float) / d for c, d in (("x", BINS), ("n0", 1), ("n1", 1))))
     else:
         slope, cut = 0.0, float(np.log(max(model.rate, 1e-6) / (1 - model.rate)))
     score = 1 / (1 + F.exp(-(F.log1p("value") * slope + cut)))
