@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 
 from casemill.llm.bpe import bpe_digests
-from casemill.llm.common import read_table, shared_dir
+from casemill.llm.common import made, read_table, shared_dir
 from casemill.llm.decontamination import ORACLE as CONTAMINATION_SQL
 from casemill.llm.decontamination import contamination
 from casemill.llm.fingerprints import edited_fingerprints
@@ -27,7 +27,7 @@ def op1_suffix_dedup(spark, sf_dir):
 def op2_token_counts(spark, sf_dir):
     """A new cache each time, so that every distinct text is encoded."""
     docs = read_table(spark, sf_dir, "documents")
-    return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}")
+    return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), made(f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"))
 
 
 def op3_simhash(spark, sf_dir):
@@ -47,7 +47,7 @@ def op6_decontamination(spark, sf_dir):
 
 
 def op7_token_files(spark, sf_dir):
-    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    path = made(f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}")
     write_token_files(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), 2)
     return token_file_digests(spark, path)
 

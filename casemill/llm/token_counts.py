@@ -2,9 +2,10 @@
 
 A count is stored under (tokenizer digest, content digest). Content is normalised first: the vocabulary's
 normaliser is the identity, so that is the text's UTF-8 bytes, null as empty. Documents are joined to the cache by
-digest; only the distinct digests that miss are encoded, one text for each, and appended to the cache.
+digest; only the distinct digests that miss are encoded, one text for each, and appended to the cache. Counts go back
+to the rows by digest; a digest with very many rows (copies of one text) gets its count by broadcast, see looked_up().
 
-Cases: null and empty texts count 0 tokens. Repeated texts are encoded once; repeated rows and tied doc_ids
+Cases: null and empty texts count 0 tokens. Repeated texts are encoded once; repeated rows, null and tied doc_ids
 each keep their row. Extra columns are not read. An empty table gives no rows. A very long text is encoded whole.
 """
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm.common import pieces, texts_of
+from casemill.llm.common import looked_up, pieces, staged, texts_of
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
@@ -38,7 +39,8 @@ def token_counts(docs: DataFrame, model: str, cache: str, limit: int = 4096) ->
     """doc_id, n_bytes, n_tokens, over_limit of every document; new counts are appended to the folder `cache`."""
     spark, version = docs.sparkSession, tokenizer_digest(model)
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
+    digest = F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")
+    rows = staged(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest), "digests")
     known = read_cache(spark, cache).where(F.col("tokenizer") == version).select("digest", "n_tokens")
 
     def encode(batches):
@@ -50,7 +52,7 @@ def token_counts(docs: DataFrame, model: str, cache: str, limit: int = 4096) ->
                 counts = [len(x) for x in counter.encode(texts_of(part), num_threads=1)]
                 yield pa.RecordBatch.from_arrays([pa.array([version] * len(counts)), part.column(0), pa.array(counts, pa.int64())], ["tokenizer", "digest", "n_tokens"])
 
-    misses = keyed.select("digest", "text").join(known, "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
+    misses = docs.select(digest, text.alias("text")).join(known, "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
     misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
     counted = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
-    return keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(counted, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return looked_up(rows, counted, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
