@@ -8,7 +8,9 @@ unbounded group. A task gives a spanning set of its links, not all pairs; groups
 components over the links of all tasks.
 
 Cases: null and empty texts, and texts of white space, have fingerprint zero and are linked like any other.
-Repeated rows and tied doc_ids each give a row. Extra columns are not read. Empty tables give no rows.
+Repeated rows and tied doc_ids each give a row. A row with a null doc_id gets a fingerprint and is linked, but names a
+component (null) only where no row of it has a doc_id. Extra columns are not read. Empty tables give no rows. A text
+beyond a piece (4 MB) is hashed and voted on in slices.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import pieces, staged, texts_of
+from casemill.llm.common import looked_up, pieces, staged, texts_of, word_slices
 from casemill.llm.components import components
 
 SEED = 42
@@ -27,17 +29,33 @@ SEED = 42
 GROUP = 100_000
 
 
-def shingle_hashes(text: str, width: int) -> list[int]:
-    words = text.encode().lower().split()
+def shingle_hashes(words: list[bytes], width: int) -> list[int]:
+    """Hashes of all runs of `width` words; of all words together where there are fewer."""
     if len(words) <= width:
         return [xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else []
     joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = (ends - np.fromiter(map(len, words), np.int64, len(words)) - 1).tolist()
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1)
+    starts = (ends - sizes - 1).tolist()
     digest = xxhash.xxh64_intdigest
     return [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())]
 
 
+def text_fingerprint(text: str, width: int) -> int:
+    """The fingerprint of one text of any length: read, hashed and voted on slice by slice."""
+    votes, total, held = np.zeros(64, np.int64), 0, []
+    for own in word_slices(text):
+        held += own
+        if len(held) >= width:
+            hashes = np.array(shingle_hashes(held, width), ">u8")
+            votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            total += len(hashes)
+            held = held[len(held) - width + 1 :]
+    if not total:
+        return next(iter(shingle_hashes(held, width)), 0)
+    return int(np.packbits(votes * 2 > total).view(">u8")[0])
+
+
 def majority(hashes: list[list[int]]) -> np.ndarray:
     """For each list of 64-bit hashes the value whose bits are those set in over half of them."""
     sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
@@ -58,7 +76,11 @@ def fingerprints(docs: DataFrame, width: int = 3, carried: tuple[str, ...] = ())
     def run(batches):
         for batch in batches:
             for part in pieces(batch):
-                fps = majority([shingle_hashes(t, width) for t in texts_of(part)])
+                texts = texts_of(part)
+                if len(texts) == 1:  # a very long text is a piece of its own
+                    fps = np.array([text_fingerprint(texts[0], width)], np.uint64)
+                else:
+                    fps = majority([shingle_hashes(t.encode().lower().split(), width) for t in texts])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64)), *part.columns[2:]], ["doc_id", "fp", *carried])
 
     return docs.select("doc_id", "text", *carried).mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} string" for c in carried))
@@ -192,9 +214,13 @@ def near_representatives(docs: DataFrame, key: str, width: int = 3, budget: int
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 3, group: int = GROUP) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id that links reach, itself included."""
+    """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id that links reach, itself included.
+
+    One fingerprint with very many rows, and one component with very many fingerprints, are joined by broadcast.
+    """
     fps = staged(fingerprints(docs, width), "fingerprints")
     distinct = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = _rooted(distinct, budget, group)
-    named = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    roots = staged(_rooted(distinct, budget, group), "rooted-fingerprints")
+    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = staged(looked_up(roots, least, "root").select("fp", "component_id"), "named-fingerprints")
+    return looked_up(fps, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
