@@ -2,13 +2,15 @@
 
 A window (ten consecutive item words, or a shorter item as a whole) is the set of its three-word shingles. To
 contain a window a document must contain its rarest shingle, so that one token is its whole necessary
-prefix. Rarity is counted over all documents. Documents keep only the positions whose shingle may be such a
-token (a bit table of fixed size, tested inside the row) with the words around them; those are joined to the
-prefix tokens, the window's length and place must fit, and its words are compared one by one.
+prefix. Texts are read once: of each document only the positions whose shingle may be in a window (a bit table,
+tested inside the row) are kept, with the words around them. Rarity is counted over the kept positions of all
+documents; then they are joined to the prefix tokens, the window's length and place must fit, and its words are
+compared one by one.
 
 Cases: null and empty texts have no words and are clean (item digest of the empty string). Items without words
-are ignored; items of one or two words are windows with shorter shingles. Repeated rows give repeated results,
-tied doc_ids with different texts are kept apart. Extra columns are not read. Empty tables give clean or no rows.
+are ignored; items of one or two words are windows with shorter shingles. Rows are told apart by a row number, so
+repeated rows give repeated results and null and tied doc_ids are kept apart. Extra columns are not read. Empty
+tables give clean or no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ SHINGLE = 3
 #: Tables up to this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Bits of the table that tests a shingle before the join: at least, at most.
-TABLE_BITS = (1 << 18, 1 << 22)
+TABLE_BITS = (1 << 18, 1 << 26)
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -79,65 +81,58 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, items: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids for every document, carried columns."""
-    windows = benchmark_windows(items)
+    windows = staged(benchmark_windows(items), "windows")
     lengths = [r["length"] for r in windows.select("length").distinct().collect()]
     sizes = sorted({min(SHINGLE, n) for n in lengths})
+    if not sizes:
+        n_words = F.size(words_of(F.col("text"))).cast("long").alias("n_words")
+        return _result(docs.select("doc_id", n_words, *carried).withColumns({"n_hit": F.lit(0).cast("long"), "item_ids": F.array().cast("array<string>")}), carried)
+
     tokens = None
     for k in sizes:
         these = windows.where(F.least("length", F.lit(SHINGLE)) == k)
         own = these.select("window", "items", "length", F.explode(F.transform(positions(F.col("window"), k), lambda i: F.struct(i.alias("offset"), F.lit(k).alias("k")))).alias("x")).select("window", "items", "length", "x.offset", "x.k", shingle(F.col("window"), F.col("x.offset"), k).alias("h"))
         tokens = own if tokens is None else tokens.union(own)
-
-    def found(table: Column, longs: int, keep):
-        """Per document: the positions whose shingle may be in the table; keep(words, x) is what is kept of each."""
-
-        def hits(words, k):
-            all_of = F.transform(positions(words, k), lambda i: F.struct(i.alias("i"), shingle(words, i, k).alias("h"), F.lit(k).alias("k")))
-            return F.transform(F.filter(all_of, lambda x: possible(x["h"], table, longs)), lambda x: keep(words, x))
-
-        def body(words):
-            return F.struct(F.size(words).cast("long").alias("n"), F.concat(*[hits(words, k) for k in sizes]).alias("hits"))
-
-        return let(words_of(F.col("text")), body)
-
-    if tokens is None:
-        return docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"), F.array().cast("array<string>").alias("item_ids"), *carried)
-
     distinct = tokens.select("h").distinct()
     n_tokens = distinct.count()
     table, longs = bit_table(distinct, n_tokens)
-    seen = docs.select(found(table, longs, lambda words, x: x["h"])["hits"].alias("hits")).select(F.explode("hits").alias("h"))
-    counts = seen.groupBy("h").count().join(small(distinct, n_tokens), "h")
+
+    def hits(words, k):
+        """The positions whose shingle may be a token."""
+        return F.transform(F.filter(positions(words, k), lambda i: possible(shingle(words, i, k), table, longs)), lambda i: F.struct(i.alias("i"), F.lit(k).alias("k")))
+
+    # texts are read once; all that follows works on the few positions that are kept, each with the words around it
+    mark = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).alias("k")))  # one row more stands for the document itself
+    read = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", *carried, let(words_of(F.col("text")), lambda words: F.struct(words.alias("words"), F.concat(mark, *[hits(words, k) for k in sizes]).alias("hits"))).alias("f"))
+    each = read.select("row", "doc_id", *carried, F.col("f.words").alias("words"), F.explode("f.hits").alias("x")).select("row", "doc_id", *carried, "words", "x.*")
+    hashes = F.lit(None).cast("long")
+    for k in sizes:
+        hashes = F.when(F.col("k") == k, shingle(F.col("words"), F.col("i"), k)).otherwise(hashes)
+    first = F.greatest(F.col("i") - WINDOW + 1, F.lit(0))
+    near = F.when(F.col("i") >= 0, F.slice("words", first + 1, F.lit(2 * WINDOW)))
+    kept = staged(each.select("row", "doc_id", *carried, F.size("words").cast("long").alias("n_words"), "i", "k", hashes.alias("h"), first.alias("first"), near.alias("near")), "positions")
+    rows, places = kept.where("i < 0").select("row", "doc_id", "n_words", *carried), kept.where("i >= 0").select("row", "n_words", "i", "k", "h", "first", "near")
+
+    counts = places.groupBy("h").count().join(small(distinct, n_tokens), "h")
     rarest = F.min_by(F.struct("offset", "k", "h"), F.struct(F.coalesce("count", F.lit(0)), "h"))
     chosen = tokens.join(counts, "h", "left").groupBy("window").agg(rarest.alias("t"), F.first("items").alias("items"), F.first("length").alias("length"))
     prefix = staged(chosen.select("window", "items", F.col("length").cast("int").alias("length"), "t.*"), "prefix-tokens")
-    n_prefix = prefix.count()
-    table, longs = bit_table(prefix.select("h").distinct(), n_prefix)
-    around = WINDOW - 1
-
-    def keep(words, x):
-        first = F.greatest(x["i"] - around, F.lit(0))
-        return F.struct(x["i"].alias("i"), x["h"].alias("h"), x["k"].alias("k"), first.alias("first"), F.slice(words, first + 1, F.lit(2 * WINDOW)).alias("near"))
-
-    rows = docs.select("doc_id", F.xxhash64("text").alias("content"), *carried, found(table, longs, keep).alias("f"))
-    # one row more for every document stands for the document itself
-    mark = F.array(F.struct(F.lit(-1).alias("i"), F.lit(None).cast("long").alias("h"), F.lit(0).alias("k"), F.lit(0).alias("first"), F.array().cast("array<string>").alias("near")))
-    rows = rows.select("doc_id", "content", *carried, F.col("f.n").alias("n"), F.explode(F.concat(mark, "f.hits")).alias("x")).select("doc_id", "content", *carried, "n", "x.*")
+
     start = F.col("i") - F.col("offset")
-    fits = (start >= F.col("first")) & (start + F.col("length") <= F.col("n"))
+    fits = (start >= F.col("first")) & (start + F.col("length") <= F.col("n_words"))
     same = F.slice("near", F.when(fits, start - F.col("first") + 1).otherwise(1), F.col("length")) == F.col("window")
-    joined = rows.join(small(prefix, n_prefix), ["h", "k"], "left").where((F.col("i") < 0) | (fits & same))
-    spans = F.array_sort(F.collect_set(F.when(F.col("i") >= 0, F.struct(start.alias("a"), (start + F.col("length")).alias("b")))))
-    grouped = joined.groupBy("doc_id", "content", *carried).agg(
-        F.count(F.when(F.col("i") < 0, 1)).alias("copies"), F.max("n").alias("n_words"), spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids")
-    )
+    verified = places.join(small(prefix, prefix.count()), ["h", "k"]).where(fits & same)
+    spans = F.array_sort(F.collect_set(F.struct(start.alias("a"), (start + F.col("length")).alias("b"))))
+    found = verified.groupBy("row").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("hit"))
     covered = F.aggregate("spans", zero, lambda acc, s: F.struct(F.greatest(acc["end"], s["b"]).alias("end"), (acc["hit"] + F.greatest(s["b"] - F.greatest(acc["end"], s["a"]), F.lit(0))).alias("hit")))
-    result = grouped.select("doc_id", *carried, "copies", "n_words", covered["hit"].alias("n_hit"), "item_ids")
-    return result.select(
-        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "item_ids", *carried,
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
-    ).drop("copy")
+    found = found.select("row", covered["hit"].alias("n_hit"), "item_ids")
+    joined = rows.join(found, "row", "left")
+    return _result(joined.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "item_ids": F.coalesce("item_ids", F.array().cast("array<string>"))}), carried)
+
+
+def _result(rows: DataFrame, carried: tuple[str, ...]) -> DataFrame:
+    return rows.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "item_ids", *carried)
 
 
 #: The same rows in DuckDB SQL.
