@@ -38,6 +38,11 @@ def made(path: str, table: str | None = None) -> str:
     return path
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @contextmanager
 def workspace(spark: SparkSession):
     """Intermediate tables made inside are removed at its end, so results that read them are to be written inside."""
@@ -48,8 +53,7 @@ def workspace(spark: SparkSession):
         for path, table in _TABLES[first:]:
             if table:
                 spark.sql(f"drop table if exists {table}")
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            removed(spark, path)
         del _TABLES[first:]
 
 

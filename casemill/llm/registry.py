@@ -7,10 +7,10 @@ import uuid
 import public_tokenizers
 
 from casemill.llm.bpe import bpe_digests
-from casemill.llm.common import made, read_table, shared_dir
+from casemill.llm.common import made, read_table, shared_dir, staged
 from casemill.llm.decontamination import ORACLE as CONTAMINATION_SQL
 from casemill.llm.decontamination import contamination
-from casemill.llm.fingerprints import edited_fingerprints
+from casemill.llm.fingerprints import edited_fingerprints, with_near_counts
 from casemill.llm.html_text import main_text
 from casemill.llm.quality import quality
 from casemill.llm.simhash import near_duplicates
@@ -53,7 +53,7 @@ def op7_token_files(spark, sf_dir):
 
 
 def op8_fingerprints(spark, sf_dir):
-    return edited_fingerprints(read_table(spark, sf_dir, "documents"))
+    return with_near_counts(staged(edited_fingerprints(read_table(spark, sf_dir, "documents")), "edited-fingerprints"))
 
 
 def op9_html_text(spark, sf_dir):
