@@ -6,7 +6,7 @@ towards its diagonal; the score is the logistic of the difference of the two log
 by cached Cholesky factors, plus the log prior odds.
 
 Cases: null and empty texts have the statistics of no text and get a score. Without usable labels of both classes every
-score is 0.5. Repeated rows give repeated results. Extra columns are not read; labels of unknown documents are ignored,
+score is 0.5. A null doc_id has no label, is not held out and is scored like any other; repeated rows and tied doc_ids each give a row. Extra columns are not read; labels of unknown documents are ignored,
 of several labels of one document the larger counts. Very long texts are measured whole.
 """
 
@@ -65,6 +65,14 @@ def statistics_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>")
 
 
+def forward(factor: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """z with factor @ z = b for a lower triangular factor, by substitution."""
+    z = np.empty_like(b)
+    for i in range(len(factor)):
+        z[i] = (b[i] - factor[i, :i] @ z[:i]) / factor[i, i]
+    return z
+
+
 class Discriminant:
     """Means, Cholesky factors and log prior odds of the two classes."""
 
@@ -83,7 +91,7 @@ class Discriminant:
         """P(class 1) of the rows of x."""
         logs = []
         for mean, factor in zip(self.means, self.factors):
-            z = np.linalg.solve(factor, (x - mean).T)
+            z = forward(factor, (x - mean).T)
             logs.append(-0.5 * (z * z).sum(0) - np.log(np.diag(factor)).sum())
         return 1 / (1 + np.exp(-np.clip(logs[1] - logs[0] + self.odds, -30, 30)))
 
