@@ -175,7 +175,7 @@ def count_tokens(docs: DataFrame, labels: DataFrame) -> Model:
                 yield table(kind, *added(kind))
         yield table(2, np.zeros(1, np.int64), docs_of)
 
-    rows = docs.join(labels, "doc_id").select("doc_id", "text", "y").mapInArrow(run, "kind int, word long, n0 long, n1 long")
+    rows = docs.select("doc_id", "text").join(labels, "doc_id").select("doc_id", "text", "y").mapInArrow(run, "kind int, word long, n0 long, n1 long")
     sums = rows.groupBy("kind", "word").agg(F.sum("n0").cast("int").alias("n0"), F.sum("n1").cast("int").alias("n1")).toArrow()
     kind, word, counts = sums["kind"].to_numpy(), sums["word"].to_numpy(), np.stack([sums["n0"].to_numpy(), sums["n1"].to_numpy()], 1)
     return Model(*(Counts(word[kind == k], counts[kind == k]) for k in (0, 1)), counts[kind == 2].sum(0).astype(np.float64))
