@@ -52,7 +52,9 @@ def token_counts(docs: DataFrame, model: str, cache: str, limit: int = 4096) ->
                 counts = [len(x) for x in counter.encode(texts_of(part), num_threads=1)]
                 yield pa.RecordBatch.from_arrays([pa.array([version] * len(counts)), part.column(0), pa.array(counts, pa.int64())], ["tokenizer", "digest", "n_tokens"])
 
-    misses = docs.select(digest, text.alias("text")).join(known, "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
+    # copies are reduced in their tasks, before the shuffle
+    distinct = docs.select(digest, text.alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
+    misses = distinct.join(known, "digest", "left_anti")
     misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
     counted = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
     return looked_up(rows, counted, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
