@@ -1,7 +1,8 @@
 """Operator 7: token ids in binary files, coded by a static range asymmetric numeral system.
 
 One frequency table, counted over all ids of all documents, is shared by all blocks. Documents are dealt by ranges of
-doc_id and laid out in ascending order; a block holds whole documents (about BLOCK ids) and is coded on its own.
+doc_id, of RANGE_BYTES each however many there are, one range a task, and laid out in ascending order; a block holds
+whole documents (about BLOCK ids) and is coded on its own.
 Inside a block, segments of up to SEGMENT ids have a checkpoint each (the states of their interleaved lanes and the
 place of their words), so that all segments are decoded side by side. A block carries the crc32 of its ids and is
 checked when read. Files are Parquet tables of blocks, so Spark's commit protocol covers lost executors:
@@ -14,8 +15,8 @@ Payload, little-endian: magic "RANS", u32 documents, u32 segments, u32 crc32 of
 
 Ids are those of the tokenizers library for the file; bpe.encode_texts gives the same ones (tested) several times faster.
 
-Cases: null and empty texts are the end id alone. Tied doc_ids follow one another in the order of their ids; repeated
-rows are kept. Extra columns are not read. An empty table gives no files' rows and no result rows. A very long
+Cases: null and empty texts are the end id alone. Null doc_ids come first. Tied doc_ids, null ones too, follow one another
+in the order of their ids, and may take several ranges; repeated rows are kept. Extra columns are not read. An empty table gives no files' rows and no result rows. A very long
 text makes one long block.
 """
 
@@ -30,9 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.llm.bpe import Vocabulary, encode_texts
-from casemill.llm.common import pieces, staged
+from casemill.llm.common import cut_points, ordered_key, pieces, range_number, staged
 
 BLOCK, SEGMENT, LANES, SCALE = 1 << 17, 1 << 15, 128, 20
+#: Bytes of ids (two or four each) in a range, which is what one task sorts and codes.
+RANGE_BYTES = 32_000_000
 LOW = np.uint64(1 << 31)
 MAGIC = b"RANS"
 
@@ -158,18 +161,9 @@ def unpack(payloads: list[bytes], coder: Coder) -> list[list[tuple[int | None, n
     return out
 
 
-def range_of(docs: DataFrame, parts: int):
-    """The range (0 to parts - 1) of a row's doc_id; only ids are read to find the bounds."""
-    bounds = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10_000).alias("q")).first()["q"] if parts > 1 else None
-    if not bounds:
-        return F.lit(0)
-    known = F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<bigint>")
-    return F.size(F.filter(known, lambda b: F.coalesce(b < F.col("doc_id"), F.lit(False))))
-
-
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int, parts: int | None = None) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int, tasks: int | None = None) -> None:
+    """The files of all documents; `tasks` look for the bounds of the ranges (as many as a shuffle has, by default)."""
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def encode(batches):
         v = Vocabulary(tokenizer)
@@ -180,9 +174,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int, part
                 flat = np.insert(flat, offsets[1:], end).astype(kind)
                 offsets = offsets + np.arange(len(offsets))
                 raw = pa.array([flat[a:b].tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([kind] * len(raw)), raw], ["doc_id", "part", "kind", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([kind] * len(raw)), raw], ["doc_id", "kind", "ids"])
 
-    ids = staged(docs.select("doc_id", "text", range_of(docs.select("doc_id"), parts).alias("part")).mapInArrow(encode, "doc_id long, part int, kind string, ids binary"), "token-ids")
+    encoded = docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, kind string, ids binary")
+    key = F.concat(ordered_key("doc_id"), F.hex(F.substring("ids", 1, 8)))
+    ids = staged(encoded.select("doc_id", "kind", "ids", key.alias("key"), F.octet_length("ids").cast("long").alias("bytes")), "token-ids")
 
     def count(batches):
         total = np.zeros(0, np.int64)
@@ -229,7 +225,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int, part
         if full:
             yield flush(full)
 
-    laid = ids.select("part", "doc_id", "kind", "ids").repartition(parts, "part").sortWithinPartitions("part", "doc_id", "ids")
+    cuts = cut_points(ids, RANGE_BYTES, tasks)
+    laid = ids.select(range_number(F.col("key"), cuts).alias("part"), "doc_id", "kind", "ids").repartitionById(max(1, len(cuts)), F.col("part")).sortWithinPartitions("part", "doc_id", "ids")
     laid.mapInArrow(code, "part int, block int, first long, n_ids long, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
