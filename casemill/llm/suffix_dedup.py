@@ -15,11 +15,12 @@ content alone, sorted and named, and everything else follows from it:
 The levels below the first, and the result, need texts beside places found by sorting. The texts are written once,
 bucketed by doc_id, and joined there each time without another shuffle.
 
-Contents are compared by 128 bits of hash. Tasks hold a bounded piece of text, or one sorted batch and the state
-at its edge, never a whole group; equal units are reduced before the shuffle.
+Contents are compared by two keyed 64-bit hashes of all their bytes, beside the name. Tasks hold a bounded piece of text,
+or one sorted batch and the state at its edge, never a whole group; equal units are reduced before the shuffle. Names of
+very many units (a common line in ever other surroundings) are counted first, and their contents sorted apart.
 
-Cases: null and empty texts, and texts below 100 bytes, lose nothing. Rows with tied doc_ids do not count as
-earlier than one another and are told apart by a 64-bit hash of their text; repeated rows (same doc_id and text) get the same result each. Extra columns are not read.
+Cases: null and empty texts, and texts below 100 bytes, lose nothing. A null doc_id comes before all others. Rows with tied doc_ids do not count as
+earlier than one another (null and the smallest long tie) and are told apart by a 64-bit hash of their text; repeated rows (same doc_id and text) get the same result each. Extra columns are not read.
 An empty table gives no rows. A very long text is cut into ranges of windows with the bytes that these need.
 """
 
@@ -32,35 +33,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import flat_bytes, pieces, shared_dir, staged
+from casemill.llm.common import flat_bytes, made, partitions, pieces, shared_dir, staged
 
 WINDOW = 100
 PROBES = (32, 80)  # bytes of the strings that name a window, by level; single windows come below
 #: Files of the bucketed texts that tasks may write without a shuffle before.
 FILES = 4096
 CHUNK = 1 << 18
-#: Stands for a null doc_id, before all others.
-NO_ID = -(2**63) + 1
+#: A null doc_id has the place of the smallest id.
+NO_ID = -(2**63)
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def _joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    z = x * _A
+def _joined(x: np.ndarray, y: np.ndarray, factor: np.uint64 = _A) -> np.ndarray:
+    z = x * factor
     z += y
     z ^= z >> np.uint64(29)
     return z
 
 
-def _byte_table() -> np.ndarray:
-    z = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * _A
+def _byte_table(key: int) -> np.ndarray:
+    z = (np.arange(256, dtype=np.uint64) + np.uint64(key)) * _A
     for shift in (30, 27, 31):
         z ^= z >> np.uint64(shift)
         z *= _B
     return z
 
 
-BYTES = _byte_table()
+#: Two keyed hashes: the first names and orders, both together stand for a content.
+BYTES, CHECK_BYTES = _byte_table(1), _byte_table(0x51ED270B)
 
 
 def _sliding(x: np.ndarray, width: int, least) -> np.ndarray:
@@ -71,6 +73,14 @@ def _sliding(x: np.ndarray, width: int, least) -> np.ndarray:
     return least(x[: len(x) - (width - done)], x[width - done :]) if width > done else x
 
 
+def check_hashes(data: np.ndarray) -> np.ndarray:
+    """For every window start a second hash of its bytes, by other keys."""
+    h = CHECK_BYTES[data]
+    for step in (1, 2, 4, 8, 16, 32):
+        h = _joined(h[:-step], h[step:], _B)
+    return _joined(h[: len(data) - WINDOW + 1], h[WINDOW - 64 : len(data) - 63], _B)
+
+
 def window_hashes(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every window start: its name by strings of `width` bytes, the hash of its bytes; then a running count of tied names."""
     h, n, span = BYTES[data], len(data), WINDOW - width + 1
@@ -91,8 +101,8 @@ def window_hashes(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray,
     return name, whole, np.cumsum(tie)
 
 
-def text_units(data: np.ndarray, offsets: np.ndarray, width: int = PROBES[0]) -> dict[str, np.ndarray]:
-    """Units of all texts of a piece: text index, start, windows, name, content, and whether it may repeat in itself."""
+def text_units(data: np.ndarray, offsets: np.ndarray, width: int = PROBES[0], checked: bool = True) -> dict[str, np.ndarray]:
+    """Units of all texts of a piece: text index, start, windows, name, content, check, and whether it may repeat in itself."""
     owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     out = []
     for a in range(0, max(0, len(data) - WINDOW + 1), CHUNK):
@@ -110,9 +120,13 @@ def text_units(data: np.ndarray, offsets: np.ndarray, width: int = PROBES[0]) ->
         first, last = valid[starts], valid[np.r_[starts[1:], len(valid)] - 1]
         content = _joined(whole[first], whole[last])
         content ^= (last - first).astype(np.uint64) * _B
-        out.append((own[starts], first + a - offsets[own[starts]], last - first + 1, named[starts], content, ties[last + WINDOW - width + 1] > ties[first]))
-    columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, t) for t in (np.int32, np.int64, np.int64, np.uint64, np.uint64, bool)]
-    return dict(zip(("text", "start", "windows", "name", "content", "tied"), columns))
+        check = content
+        if checked:
+            second = check_hashes(data[a : b + WINDOW - 1])
+            check = _joined(second[first], second[last], _B)
+        out.append((own[starts], first + a - offsets[own[starts]], last - first + 1, named[starts], content, check, ties[last + WINDOW - width + 1] > ties[first]))
+    columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, t) for t in (np.int32, np.int64, np.int64, np.uint64, np.uint64, np.uint64, bool)]
+    return dict(zip(("text", "start", "windows", "name", "content", "check", "tied"), columns))
 
 
 def placed(start: np.ndarray, windows: np.ndarray, tied: np.ndarray) -> np.ndarray:
@@ -120,13 +134,13 @@ def placed(start: np.ndarray, windows: np.ndarray, tied: np.ndarray) -> np.ndarr
     return (start.astype(np.int64) << 8) | (windows.astype(np.int64) << 1) | tied.astype(np.int64)
 
 
-def earlier_flags(name, content, doc, row, place) -> tuple[np.ndarray, np.ndarray]:
+def earlier_flags(name, content, check, doc, row, place) -> tuple[np.ndarray, np.ndarray]:
     """For tuples in sorted order: whether an equal one is earlier; whether its name has different contents."""
     n = len(name)
     if not n:
         return np.zeros(0, bool), np.zeros(0, bool)
     new_name = np.r_[True, name[1:] != name[:-1]]
-    new = new_name | np.r_[True, content[1:] != content[:-1]]
+    new = new_name | np.r_[True, (content[1:] != content[:-1]) | (check[1:] != check[:-1])]
     start = place >> 8
     new_row = new | np.r_[True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])]
     least = doc[np.maximum.accumulate(np.where(new, np.arange(n), 0))]
@@ -136,63 +150,125 @@ def earlier_flags(name, content, doc, row, place) -> tuple[np.ndarray, np.ndarra
     return earlier, (np.bincount(group, new) > 1)[group]
 
 
-def _tuples(name, content, doc, row, place) -> pa.RecordBatch:
-    """Tuples of a piece, reduced: one that is equal to an earlier one of the piece loses name and content (both 0)."""
-    order = np.lexsort((place, row, doc, content, name))
-    name, content, doc, row, place = name[order], content[order], doc[order], row[order], place[order]
-    earlier, _ = earlier_flags(name, content, doc, row, place)
-    name, content = np.where(earlier, 0, name), np.where(earlier, 0, content)
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (name, content, doc, row, place)], ["name", "content", "doc_id", "row", "place"])
+def _tuples(*columns) -> pa.RecordBatch:
+    """Tuples of a piece, reduced: one that is equal to an earlier one of the piece loses name, content and check (all 0)."""
+    order = np.lexsort(columns[::-1])
+    name, content, check, doc, row, place = (x.astype(np.int64)[order] for x in columns)
+    kept = ~earlier_flags(name, content, check, doc, row, place)[0]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (name * kept, content * kept, check * kept, doc, row, place)], ["name", "content", "check", "doc_id", "row", "place"])
 
 
-TUPLES = "name long, content long, doc_id long, row long, place long"
+TUPLES = "name long, content long, check long, doc_id long, row long, place long"
 
 
 def unit_tuples(docs: DataFrame) -> DataFrame:
+    """Tuples of the units of all texts (doc_id, text, row)."""
+
     def run(batches):
         for batch in batches:
             for part in pieces(batch, limit=12_000_000):
                 data, offsets = flat_bytes(part.column(1))
                 u = text_units(data, offsets)
                 doc, row = part.column(0).to_numpy(), part.column(2).to_numpy()
-                yield _tuples(u["name"].view(np.int64), u["content"].view(np.int64), doc[u["text"]], row[u["text"]], placed(u["start"], u["windows"], u["tied"]))
+                yield _tuples(u["name"].view(np.int64), u["content"].view(np.int64), u["check"].view(np.int64), doc[u["text"]], row[u["text"]], placed(u["start"], u["windows"], u["tied"]))
 
     return docs.mapInArrow(run, TUPLES)
 
 
-def repeated_tuples(tuples: DataFrame) -> DataFrame:
-    """doc_id, row, place, again: tuples equal to an earlier one (again), and first ones whose name has other contents or ties."""
+def often(names: DataFrame) -> list[int]:
+    """The names of more than an eighth of a task's share of all tuples; every name of more than a quarter is among them.
+
+    names has counts of pieces (name, n), where a piece leaves out what is below an eighth of a share of its own, and
+    a row without a name for its total. By this rule there are at most eight names for each shuffle partition.
+    """
+    sums = names.groupBy("name").agg(F.sum("n").alias("n"))
+    total = sums.where("name is null").agg(F.sum("n")).first()[0] or 0
+    return sorted(r["name"] for r in sums.where("name is not null").where(F.col("n") > total / (8 * partitions(names.sparkSession))).select("name").collect())
+
+
+def _counted(name: np.ndarray, tasks: int) -> pa.RecordBatch:
+    names, n = np.unique(name.view(np.int64), return_counts=True)
+    many = n > len(name) / (8 * tasks)
+    return pa.RecordBatch.from_arrays([pa.array([*names[many].tolist(), None], pa.int64()), pa.array([*n[many].tolist(), len(name)], pa.int64())], ["name", "n"])
+
+
+def unit_names(docs: DataFrame) -> DataFrame:
+    """What often() needs of the units of all texts (doc_id, text, row)."""
+    tasks = partitions(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, limit=12_000_000):
+                yield _counted(text_units(*flat_bytes(part.column(1)), checked=False)["name"], tasks)
+
+    return docs.mapInArrow(run, "name long, n long")
+
+
+def repeated_tuples(tuples: DataFrame, hot: list[int]) -> DataFrame:
+    """doc_id, row, place, again: tuples equal to an earlier one (again), and first ones whose name has other contents or ties.
+
+    A name goes to one task, but for those in `hot`: their contents go to tasks of their own, and count as different.
+    """
+    hot_names = np.array(hot, np.int64)
 
     def run(batches):
         held = None
         for batch in batches:
-            own = [batch.column(k).to_numpy() for k in range(5)] + [np.zeros(batch.num_rows, bool)]
-            name, content, doc, row, place, done = (np.concatenate(x) for x in zip(held, own)) if held else own
+            own = [batch.column(k).to_numpy() for k in range(6)] + [np.zeros(batch.num_rows, bool)]
+            name, content, check, doc, row, place, done = (np.concatenate(x) for x in zip(held, own)) if held else own
             reduced = (name == 0) & (content == 0)
-            earlier, mixed = earlier_flags(name, content, doc, row, place)
+            earlier, mixed = earlier_flags(name, content, check, doc, row, place)
+            mixed |= np.isin(name, hot_names)
             earlier |= reduced
             open_group = (name == name[-1]) & ~mixed & ~reduced  # may still meet other contents
-            ready = ~done & ((earlier & ~open_group) | (earlier & open_group) | (~earlier & ~open_group & (mixed | (place & 1 == 1))))
+            ready = ~done & (earlier | ~open_group & (mixed | (place & 1 == 1)))
             yield result(doc[ready], row[ready], place[ready], earlier[ready])
             # what the next batch needs: the edge of the last group, and first ones not decided yet
             keep = np.zeros(len(name), bool)
             last_name = np.flatnonzero(name == name[-1])
-            last_content = last_name[content[last_name] == content[-1]]
+            last_content = last_name[(content[last_name] == content[-1]) & (check[last_name] == check[-1])]
             keep[[last_name[0], last_content[0]]] = True
             last_row = last_content[(doc[last_content] == doc[-1]) & (row[last_content] == row[-1])]
             keep[last_row[0]] = True
             keep |= open_group & ~earlier
-            held = [x[keep] for x in (name, content, doc, row, place, done | ~open_group | earlier)]
+            held = [x[keep] for x in (name, content, check, doc, row, place, done | ~open_group | earlier)]
         if held:
-            name, content, doc, row, place, done = held
+            *_, doc, row, place, done = held
             left = ~done & (place & 1 == 1)
             yield result(doc[left], row[left], place[left], np.zeros(left.sum(), bool))
 
     def result(doc, row, place, again):
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(row), pa.array(place), pa.array(again)], ["doc_id", "row", "place", "again"])
 
-    route = F.when((F.col("name") == 0) & (F.col("content") == 0), F.xxhash64("doc_id", "row", "place")).otherwise(F.col("name"))
-    return tuples.repartition(route).sortWithinPartitions("name", "content", "doc_id", "row", "place").mapInArrow(run, "doc_id long, row long, place long, again boolean")
+    route = F.when((F.col("name") == 0) & (F.col("content") == 0), F.xxhash64("doc_id", "row", "place")).when(F.col("name").isin(hot), F.xxhash64("name", "content", "check")).otherwise(F.col("name"))
+    return tuples.repartition(route).sortWithinPartitions("name", "content", "check", "doc_id", "row", "place").mapInArrow(run, "doc_id long, row long, place long, again boolean")
+
+
+def _windows(part: pa.RecordBatch):
+    """The bytes of the units in places of rows (doc_id, text, row, places), in turns: doc_id, row, start, windows of each, bytes, their ends."""
+    data, offsets = flat_bytes(part.column(1))
+    doc, row, lists = part.column(0).to_numpy(), part.column(2).to_numpy(), part.column(3)
+    places = lists.flatten().to_numpy()
+    text = np.repeat(np.arange(len(doc)), lists.value_lengths().to_numpy())
+    for a in range(0, len(places), 20_000):
+        p, t = places[a : a + 20_000], text[a : a + 20_000]
+        start, windows = (p >> 8) & 0xFFFFFFFF, (p >> 1) & 127
+        size = windows + WINDOW - 1
+        ends = np.cumsum(size)
+        yield doc[t], row[t], start, windows, data[np.arange(ends[-1]) + np.repeat(start + offsets[t] - (ends - size), size)], ends
+
+
+def deeper_names(docs: DataFrame, width: int) -> DataFrame:
+    """What often() needs of the smaller units of the units in places."""
+    tasks = partitions(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, limit=4_000_000):
+                for *_, own, ends in _windows(part):
+                    yield _counted(text_units(own, np.r_[0, ends], width, checked=False)["name"], tasks)
+
+    return docs.mapInArrow(run, "name long, n long")
 
 
 def deeper_tuples(docs: DataFrame, width: int | None) -> DataFrame:
@@ -201,26 +277,18 @@ def deeper_tuples(docs: DataFrame, width: int | None) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in pieces(batch, limit=4_000_000):
-                data, offsets = flat_bytes(part.column(1))
-                doc, row, lists = part.column(0).to_numpy(), part.column(2).to_numpy(), part.column(3)
-                places = lists.flatten().to_numpy()
-                text = np.repeat(np.arange(len(doc)), lists.value_lengths().to_numpy())
-                for a in range(0, len(places), 20_000):
-                    p, t = places[a : a + 20_000], text[a : a + 20_000]
-                    start, windows = (p >> 8) & 0xFFFFFFFF, (p >> 1) & 127
-                    size = windows + WINDOW - 1
-                    ends = np.cumsum(size)
-                    own = data[np.arange(ends[-1]) + np.repeat(start + offsets[t] - (ends - size), size)]
+                for doc, row, start, windows, own, ends in _windows(part):
                     if width:
                         u = text_units(own, np.r_[0, ends], width)
-                        name, content, f, at, n, tied = (u[k] for k in ("name", "content", "text", "start", "windows", "tied"))
+                        name, content, check, f, at, n, tied = (u[k] for k in ("name", "content", "check", "text", "start", "windows", "tied"))
                     else:
                         least, whole, _ = window_hashes(own, PROBES[0])
-                        f = np.repeat(np.arange(len(p)), windows)
+                        f = np.repeat(np.arange(len(doc)), windows)
                         at = np.arange(len(f)) - np.repeat(np.cumsum(windows) - windows, windows)
-                        name, content = (x[(ends - size)[f] + at] for x in (whole, least))
+                        first = np.r_[0, ends[:-1]][f] + at
+                        name, content, check = whole[first], least[first], check_hashes(own)[first]
                         n, tied = np.ones(len(f), np.int64), np.zeros(len(f), np.int64)
-                    yield _tuples(name.view(np.int64), content.view(np.int64), doc[t[f]], row[t[f]], placed(start[f] + at, n, tied))
+                    yield _tuples(name.view(np.int64), content.view(np.int64), check.view(np.int64), doc[f], row[f], placed(start[f] + at, n, tied))
 
     return docs.mapInArrow(run, TUPLES)
 
@@ -228,11 +296,11 @@ def deeper_tuples(docs: DataFrame, width: int | None) -> DataFrame:
 def bucketed(rows: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder, bucketed by doc_id and row for joins without a shuffle."""
     spark = rows.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = partitions(spark)
     if rows.rdd.getNumPartitions() * buckets > FILES:
         rows = rows.repartition(buckets, "doc_id", "row")
     name = f"texts_{uuid.uuid4().hex}"
-    rows.write.bucketBy(buckets, "doc_id", "row").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    rows.write.bucketBy(buckets, "doc_id", "row").option("compression", "zstd").option("path", made(f"{shared_dir(spark)}/{name}", name)).saveAsTable(name)
     return spark.table(name)
 
 
@@ -241,14 +309,17 @@ def by_document(places: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, text, row, carried columns), and places by (doc_id, row): starts of repeated windows, in runs."""
+    """The rows (doc_id, text, row, no_id, carried columns), and places by (doc_id, row): starts of repeated windows, in runs."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row"), *carried)
-    found = [staged(repeated_tuples(unit_tuples(rows.select("doc_id", "text", "row"))), "units")]
+    no_id = F.col("doc_id").isNull()
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), text.alias("text"), F.xxhash64(text, no_id).alias("row"), no_id.alias("no_id"), *carried)
+    plain = rows.select("doc_id", "text", "row")
+    found = [staged(repeated_tuples(unit_tuples(plain), often(unit_names(plain))), "units")]
     texts = bucketed(rows)
     for width in (*PROBES[1:], None):
         open_units = texts.join(by_document(found[-1].where("not again")), ["doc_id", "row"]).select("doc_id", "text", "row", "places")
-        found.append(staged(repeated_tuples(deeper_tuples(open_units, width)), "units"))
+        hot = often(deeper_names(open_units, width)) if width else []  # equal windows have one content
+        found.append(staged(repeated_tuples(deeper_tuples(open_units, width), hot), "units"))
     again = found[0].where("again")
     for f in found[1:]:
         again = again.union(f.where("again"))
@@ -288,10 +359,11 @@ def without_repeats(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame
                 columns = [part.column(0), pa.array(np.diff(offsets)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), pa.array([k.decode(errors="ignore") for k in kept], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns + part.columns[3:], ["doc_id", "n_bytes", "spans", "kept", "text", *carried])
 
+    carried = ("no_id", *carried)
     matched = rows.join(places, ["doc_id", "row"], "left").select("doc_id", "text", "places", *carried)
     kinds = "".join(f", {c} {matched.schema[c].dataType.simpleString()}" for c in carried)
     out = matched.mapInArrow(run, f"doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, text string{kinds}")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    return out.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:

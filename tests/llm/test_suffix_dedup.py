@@ -84,3 +84,35 @@ def test_texts_of_one_id_with_equal_low_hash_bits(spark):
         got = repeat_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
         assert sorted(map(tuple, got), key=str) == brute(rows)
         assert not any(r.n_removed for r in got)
+
+
+@pytest.mark.parametrize("seed", [1, 4])
+def test_every_name_frequent(spark, seed, monkeypatch):
+    """The way of names with very many units, taken by all names."""
+    rows = corpus(seed)
+    monkeypatch.setattr(suffix_dedup, "often", lambda names: sorted({r["name"] for r in names.where("name is not null").collect()}))
+    docs = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, places string")
+    assert sorted(map(tuple, repeat_digests(docs).collect()), key=str) == brute(rows)
+
+
+def test_frequent_names(spark):
+    """A common line in ever other surroundings: its name is found, names below a share are not needed."""
+    rng = random.Random(7)
+    line = "".join(rng.choice("abcdef") for _ in range(120))
+    texts = ["".join(rng.choice("ghijkl") for _ in range(150)) + line + "".join(rng.choice("mnopqr") for _ in range(150)) for _ in range(400)]
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, row long")
+    names = suffix_dedup.often(suffix_dedup.unit_names(docs))
+    data, offsets = suffix_dedup.flat_bytes(pa.array(texts))
+    own, n = np.unique(suffix_dedup.text_units(data, offsets)["name"].view(np.int64), return_counts=True)
+    tasks = 4
+    assert set(own[n > n.sum() / (4 * tasks)]) <= set(names) <= set(own[n > n.sum() / (8 * tasks)]) and names
+    got = repeat_digests(docs.drop("row")).collect()
+    assert sorted(map(tuple, got), key=str) == brute(list(enumerate(texts)))
+
+
+def test_smallest_id_is_not_null(spark):
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdef") for _ in range(150))
+    rows = [(None, text), (-(2**63), text), (-(2**63) + 1, text), (5, text)]
+    got = {r.doc_id: r.n_removed for r in repeat_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {None: 0, -(2**63): 0, -(2**63) + 1: 150, 5: 150}
