@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ from casemill.functions import scalars as S
 
 #: A list up to this many rows is broadcast.
 BROADCAST_ROWS = 100_000
-#: Patterns that are folded into one regular expression as a first test.
-FOLDED = 2_000
+#: Up to so many rules become CASE expressions, in groups of so many behind one folded test.
+FLAT, GROUP = 200, 50
 
 
 def small(lists: DataFrame) -> DataFrame:
@@ -24,8 +26,12 @@ def literal(text: str) -> str:
 
 
 def url_rule(pattern: str, is_regex: bool) -> str:
-    """The regular expression of a URL pattern: as it is, anchored wildcards, or a substring; without case."""
+    """The regular expression of a URL pattern: as it is, anchored wildcards, or a substring; without case. A broken one fits nothing."""
     if is_regex:
+        try:
+            re.compile(pattern)
+        except re.error:
+            return "(?!)"
         return f"(?i){pattern}"
     return S.fnmatch_regex(pattern) if "*" in pattern or "?" in pattern else f"(?i){literal(pattern)}"
 
@@ -33,21 +39,83 @@ def url_rule(pattern: str, is_regex: bool) -> str:
 def match_patterns(rows: DataFrame, text: str, rules: list[tuple[str, int, str, str]]) -> DataFrame:
     """J-2, J-4, W-3: (id, list_name, pattern): the first pattern in file order of each list that fits.
 
-    rules: (list_name, idx, pattern, regular expression). The rules of a list become one ordered CASE behind one
-    folded test, so the rows are read once and neither joined nor shuffled.
+    rules: (list_name, idx, pattern, regular expression); letters are compared without case where they are ASCII. Rows
+    are read once and neither joined nor shuffled. Short lists become flat CASE expressions; for longer ones, of any
+    length, an automaton finds all literal patterns in one pass over the text.
     """
-    found = []
+    if len(rules) <= FLAT:
+        return _by_cases(rows, text, rules)
+    return _by_automaton(rows, text, rules)
+
+
+def _by_cases(rows: DataFrame, text: str, rules: list[tuple[str, int, str, str]]) -> DataFrame:
+    found = [F.struct(F.lit("").alias("list_name"), F.lit(None).cast("string").alias("pattern"))]
     for name in sorted({r[0] for r in rules}):
         own = sorted((r for r in rules if r[0] == name), key=lambda r: r[1])
-        column = F.lit(None).cast("string")
-        for k in range(len(own) - 1, -1, -1):
-            column = F.when(F.col(text).rlike(own[k][3]), own[k][2]).otherwise(column)
-        if len(own) <= FOLDED:
-            column = F.when(F.col(text).rlike("|".join(f"(?:{r[3]})" for r in own)), column)
-        found.append(F.struct(F.lit(name).alias("list_name"), column.alias("pattern")))
+        groups = []
+        for k in range(0, len(own), GROUP):
+            case = F
+            for _, _, pattern, regex in own[k : k + GROUP]:
+                case = case.when(F.col(text).rlike(regex), F.lit(pattern))
+            groups.append(F.when(F.col(text).rlike("|".join(f"(?:{r[3]})" for r in own[k : k + GROUP])), case))
+        found.append(F.struct(F.lit(name).alias("list_name"), F.coalesce(*groups).alias("pattern")))
     return rows.select("id", F.explode(F.array(*found)).alias("m")).where("m.pattern is not null").select("id", "m.*")
 
 
+class Rules:
+    """The rules of one list: an automaton over literal patterns and literal parts of wildcards, and what has no such part."""
+
+    def __init__(self, own: list[tuple[int, str, str]]):
+        import ahocorasick
+
+        self.patterns = [pattern for _, pattern, _ in sorted(own, key=lambda r: r[0])]
+        self.tests: list = []
+        anchors: dict[str, list[int]] = {}
+        self.free: list[int] = []
+        for place, (_, pattern, regex) in enumerate(sorted(own, key=lambda r: r[0])):
+            plain = regex == f"(?i){literal(pattern)}"
+            wild = regex == S.fnmatch_regex(pattern)
+            anchor = pattern if plain else max(re.split(r"[*?\[\]]", pattern), key=len) if wild and "[" not in pattern else ""
+            self.tests.append(None if plain else re.compile(regex, re.A))
+            if anchor:
+                anchors.setdefault(lowered(anchor), []).append(place)
+            else:
+                self.free.append(place)
+        self.automaton = ahocorasick.Automaton()
+        for anchor, places in anchors.items():
+            self.automaton.add_word(anchor, places)
+        if anchors:
+            self.automaton.make_automaton()
+
+    def first(self, text: str) -> str | None:
+        candidates = set(self.free)
+        for _, places in self.automaton.iter(lowered(text)) if len(self.automaton) else ():
+            candidates.update(places)
+        return next((self.patterns[p] for p in sorted(candidates) if self.tests[p] is None or self.tests[p].search(text)), None)
+
+
+def lowered(text: str) -> str:
+    """ASCII letters in lower case."""
+    return text.lower() if text.isascii() else "".join(c.lower() if c.isascii() else c for c in text)
+
+
+def _by_automaton(rows: DataFrame, text: str, rules: list[tuple[str, int, str, str]]) -> DataFrame:
+    held = rows.sparkSession.sparkContext.broadcast(rules)  # lists are read by the caller, so their size is known
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        lists = {name: Rules([r[1:] for r in held.value if r[0] == name]) for name in sorted({r[0] for r in held.value})}
+        for batch in batches:
+            at, names, found = [], [], []
+            for k, value in enumerate(batch.column(1).to_pylist()):
+                for name, own in lists.items():
+                    if value is not None and (pattern := own.first(value)) is not None:
+                        at.append(k), names.append(name), found.append(pattern)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(found, pa.string())], ["id", "list_name", "pattern"])
+
+    return rows.select("id", text).mapInArrow(run, f"id {kind}, list_name string, pattern string")
+
+
 def match_hashes(files: DataFrame, hashes: DataFrame, columns: tuple[str, ...] = ("md5", "sha1", "sha256")) -> DataFrame:
     """J-3, J-5: (id, list_name, hash) by the first of the hash columns that the list has."""
     entries = F.array(*[F.struct(F.lit(k).alias("rank"), F.lower(c).alias("hash")) for k, c in enumerate(columns)])
