@@ -38,20 +38,46 @@ LABELS = {
     },
     "expire_type": {0: "permanent", 1: "expiring", 2: "session", 3: "policy"},
     "signed_state": {-2: "broken", -1: "unknown", 0: "missing", 1: "preliminary", 2: "signed", 3: "system", 4: "privileged"},
+    "block_list_type": {0: "URL", 1: "Domain", 3: "Field-specific", 4: "Pattern"},
+    "profile_token_type": {
+        0: "UNKNOWN_TYPE", 1: "NAME_FULL", 2: "NAME_FIRST", 3: "NAME_MIDDLE", 4: "NAME_LAST", 5: "NAME_MIDDLE_INITIAL", 6: "NAME_PREFIX", 7: "NAME_SUFFIX", 9: "EMAIL_ADDRESS",
+        10: "PHONE_HOME_NUMBER", 11: "PHONE_HOME_CITY_CODE", 12: "PHONE_HOME_COUNTRY_CODE", 13: "PHONE_HOME_CITY_AND_NUMBER", 14: "PHONE_HOME_WHOLE_NUMBER",
+        30: "ADDRESS_HOME_LINE1", 31: "ADDRESS_HOME_LINE2", 32: "ADDRESS_HOME_LINE3", 33: "ADDRESS_HOME_APT_NUM", 34: "ADDRESS_HOME_CITY", 35: "ADDRESS_HOME_STATE", 36: "ADDRESS_HOME_ZIP", 37: "ADDRESS_HOME_COUNTRY",
+        51: "CREDIT_CARD_NAME_FULL", 52: "CREDIT_CARD_NUMBER", 53: "CREDIT_CARD_EXP_MONTH", 54: "CREDIT_CARD_EXP_2_DIGIT_YEAR", 55: "CREDIT_CARD_EXP_4_DIGIT_YEAR", 56: "CREDIT_CARD_EXP_DATE_2_DIGIT_YEAR",
+        57: "CREDIT_CARD_EXP_DATE_4_DIGIT_YEAR", 58: "CREDIT_CARD_TYPE", 59: "CREDIT_CARD_VERIFICATION_CODE", 60: "ADDRESS_HOME_STREET_ADDRESS", 61: "ADDRESS_HOME_SORTING_CODE", 62: "ADDRESS_HOME_DEPENDENT_LOCALITY",
+        63: "ADDRESS_HOME_SUBPREMISE", 64: "ADDRESS_HOME_PREMISE_NAME", 65: "ADDRESS_HOME_DEPENDENT_STREET_NAME", 66: "ADDRESS_HOME_STREET_NAME", 67: "ADDRESS_HOME_HOUSE_NUMBER", 68: "ADDRESS_HOME_FLOOR",
+        77: "COMPANY_NAME", 78: "BIRTHDATE_DAY", 79: "BIRTHDATE_MONTH", 80: "BIRTHDATE_4_DIGIT_YEAR", 81: "IBAN_VALUE",
+    },
+    "content_preference": {
+        "browser.content.full-zoom": "zoom", "browser.zoom.siteSpecific": "zoom", "media.autoplay.default": "autoplay", "media.autoplay.allow-muted": "autoplay_muted", "media.autoplay.ask-permission": "autoplay_ask",
+        "permissions.default.camera": "camera_default", "permissions.default.microphone": "microphone_default", "permissions.default.geo": "geolocation_default", "permissions.default.desktop-notification": "notifications_default",
+        "browser.download.lastDir": "downloads_last_dir", "browser.download.folderList": "downloads_folder_list", "browser.download.useDownloadDir": "downloads_use_dir", "network.http.referer.spoofSource": "referer_spoof",
+        "privacy.trackingprotection.enabled": "tracking_protection", "privacy.donottrackheader.enabled": "do_not_track", "security.mixed_content.block_active_content": "mixed_content_block", "security.OCSP.enabled": "ocsp_enabled",
+    },
     "icon_type": {0: "INVALID", 1: "FAVICON", 2: "TOUCH_ICON", 4: "TOUCH_PRECOMPOSED", 8: "WEB_MANIFEST_ICON"},
 }
 #: Domains whose unknown codes stay as they are, or get one label.
-AS_THEY_ARE = ("firefox_permission_type",)
+AS_THEY_ARE = ("firefox_permission_type", "content_preference")
 DEFAULTS = {"expire_type": "permanent", "chromium_permission": "unknown"}
+#: What stands before an unknown code, and the label of a null one, where they differ from the common rule.
+PREFIXES = {"block_list_type": "Type ", "profile_token_type": "UNKNOWN_"}
+NULLS = {"block_list_type": "Unknown"}
 BROKEN = (-2, -1, 0)
 
 
 def label(domain: str, code: Column) -> Column:
-    """H-22a to H-22h: the label of a code; null for a null code."""
+    """H-22a to H-22j: the label of a code; null for a null code but where NULLS has one."""
     text = code.cast("string")
     known = F.coalesce(*[F.when(text == str(k), v) for k, v in LABELS[domain].items()])
-    rest = text if domain in AS_THEY_ARE else F.lit(DEFAULTS[domain]) if domain in DEFAULTS else F.concat(F.lit("unknown_"), text)
-    return F.when(code.isNotNull(), F.coalesce(known, rest))
+    rest = text if domain in AS_THEY_ARE else F.lit(DEFAULTS[domain]) if domain in DEFAULTS else F.concat(F.lit(PREFIXES.get(domain, "unknown_")), text)
+    return F.when(code.isNotNull(), F.coalesce(known, rest)).otherwise(F.lit(NULLS.get(domain)))
+
+
+def icon_flags(code: Column) -> Column:
+    """H-22h: the label of an icon type, or of all flags in it by ascending bit."""
+    bits = [F.when(code.bitwiseAND(F.lit(k)) != 0, v) for k, v in LABELS["icon_type"].items() if k]
+    named = F.nullif(F.concat_ws("|", *bits), F.lit(""))
+    return F.when(code == 0, LABELS["icon_type"][0]).when(code.isNotNull(), F.coalesce(named, F.concat(F.lit("UNKNOWN_"), code.cast("string"))))
 
 
 def unsigned_or_broken(state: Column) -> Column:

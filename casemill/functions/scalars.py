@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,17 +92,60 @@ def parsed(text: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in LISTING_FORMATS])
 
 
+def one_decimal(x: Column) -> Column:
+    """A double from 0 on with one decimal, rounded by its exact binary value, ties to even.
+
+    The fraction of a double is exact. It is held against the doubles next to 0.05, 0.15 and so on, of which it is
+    known whether they are above or below those.
+    """
+    whole = F.floor(x)
+    rest, tenths = x - whole, whole * 10
+    for k in range(10):
+        edge, near = Fraction(2 * k + 1, 20), (2 * k + 1) / 20
+        up = Fraction(near) > edge or Fraction(near) == edge and k % 2 == 1
+        tenths = tenths + F.when(rest >= near if up else rest > near, 1).otherwise(0)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def duration_text(seconds: Column) -> Column:
     """H-5: hours, days or weeks with one decimal."""
     hours = seconds / 3600
-    return F.when(hours < 24, F.concat(F.format_string("%.1f", hours), F.lit(" hours"))).when(hours < 168, F.concat(F.format_string("%.1f", hours / 24), F.lit(" days"))).otherwise(F.concat(F.format_string("%.1f", hours / 168), F.lit(" weeks")))
+    return F.when(hours < 24, F.concat(one_decimal(hours), F.lit(" hours"))).when(hours < 168, F.concat(one_decimal(hours / 24), F.lit(" days"))).otherwise(F.concat(one_decimal(hours / 168), F.lit(" weeks")))
+
+
+def span_text(seconds: Column) -> Column:
+    """H-5: "1h 1m 1s" without the parts that are 0; "0s" for none and for negative ones."""
+    whole = F.greatest(seconds, F.lit(0)).cast("long")
+    parts = [(F.floor(whole / 3600), "h"), (F.floor(whole % 3600 / 60), "m"), (whole % 60, "s")]
+    text = F.concat_ws(" ", *[F.when(n > 0, F.concat(n.cast("string"), F.lit(unit))) for n, unit in parts])
+    return F.when(seconds.isNotNull(), F.when(text == "", "0s").otherwise(text))
+
+
+#: Date and time texts that are read beside ISO.
+DATE_FORMATS = ("yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy")
+TIME_FORMATS = ("", " HH:mm", " HH:mm:ss", " HH:mm:ss.SSSSSS", " HH:mm:ss.SSS")
+
+
+def local_date_text(text: Column, form: str = "eu", time: bool = True, seconds: bool = True) -> Column:
+    """H-5: a date or time as dd.MM.yyyy (eu) or MM/dd/yyyy (us), with its time where it has one; what can't be read stays.
+
+    The wall-clock time is kept, whatever the offset behind it. Null is the empty text.
+    """
+    value = F.trim(F.coalesce(text, F.lit("")))
+    plain = F.regexp_replace(F.regexp_replace(value, " UTC$", ""), r"^(.{10,}?)(?:Z|[+-]\d{2}:?\d{2}(?::\d{2})?)$", "$1")
+    plain = F.regexp_replace(plain, r"^(\d{4}-\d{2}-\d{2})T", "$1 ")
+    at = F.coalesce(*[F.try_to_timestamp(plain, F.lit(d + t)) for d in DATE_FORMATS for t in TIME_FORMATS])
+    date = "dd.MM.yyyy" if form == "eu" else "MM/dd/yyyy"
+    clock = " HH:mm:ss" if seconds else " HH:mm"
+    shown = F.when(F.lit(time) & value.contains(":"), F.date_format(at, date + clock)).otherwise(F.date_format(at, date))
+    return F.coalesce(shown, value)
 
 
 def size_text(n: Column) -> Column:
     """H-5: bytes in the largest unit below 1024."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(n >= 1024**k, F.concat(F.format_string("%.1f", n / 1024**k), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n >= 1024**k, F.concat(one_decimal(n / 1024**k), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
@@ -114,11 +159,30 @@ def domain(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
 
 
-def registered_domain(host: Column) -> Column:
-    """H-7: the label before the public suffix, with it."""
-    labels = F.split(F.lower(F.regexp_replace(host, r":[0-9]+$", "")), r"\.")
-    two, three = F.array_join(F.slice(labels, -2, 2), "."), F.array_join(F.slice(labels, -3, 3), ".")
-    return F.when(host.rlike(r"^[0-9.]+(:[0-9]+)?$") | (F.size(labels) < 2), F.lower(host)).when(two.isin(*SUFFIXES) & (F.size(labels) > 2), three).otherwise(two)
+def registered_domain(host: Column, suffixes: list[str] | None = None) -> Column:
+    """H-7: the label before the public suffix, with it.
+
+    suffixes: the rules of a public suffix list ("co.uk", "*.ck", "!www.ck"), read from its file by the caller; without
+    one, the last label and a few common suffixes of two labels count. The longest rule wins, exceptions before all.
+    """
+    name = F.lower(F.regexp_replace(host, r":[0-9]+$", ""))
+    labels = F.split(name, r"\.")
+    n = F.size(labels)
+    rules = {r.lower().strip().lstrip(".") for r in (SUFFIXES if suffixes is None else suffixes)} - {""}
+    tail = lambda k: F.array_join(F.slice(labels, -k, k), ".")
+    longest = max((r.count(".") + 1 for r in rules), default=1)
+    size = F.lit(1)  # labels of the suffix
+    for k in range(1, longest + 1):
+        plain = sorted(r for r in rules if r[0] not in "!*" and r.count(".") + 1 == k)
+        wild = sorted(r[2:] for r in rules if r.startswith("*.") and r.count(".") + 1 == k)
+        fits = tail(k).isin(plain) if plain else F.lit(False)
+        fits = fits | (tail(k - 1).isin(wild) if wild else F.lit(False))
+        size = F.when((n >= k) & fits, k).otherwise(size)
+    for k in range(2, longest + 2):
+        if except_for := sorted(r[1:] for r in rules if r.startswith("!") and r.count(".") + 1 == k):
+            size = F.when((n >= k) & tail(k).isin(except_for), k - 1).otherwise(size)
+    own = F.array_join(F.slice(labels, F.greatest(n - size, F.lit(1)), F.least(size + 1, n)), ".")
+    return F.when(host.rlike(r"^[0-9.]+(:[0-9]+)?$") | (n < 2), F.lower(host)).otherwise(own)
 
 
 def without_www(host: Column) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casemill.tables import table
+
 
 def grouped_stats(df: DataFrame, by: list[str], aggs: dict[str, Column]) -> DataFrame:
     """A-14 to A-33: one aggregate over all and by each of the columns, in one pass of grouping sets."""
@@ -83,17 +85,40 @@ def upserted(present: DataFrame, new: DataFrame, key: list[str], keep: list[str]
     return joined.select(*[choose(c).alias(c) for c in present.columns])
 
 
-def paths(nodes: DataFrame, depth: int) -> DataFrame:
-    """J-18: the path from the root to each node by parent pointers, up to a depth."""
-    up = nodes.select(F.col("id").alias("up"), F.col("parent").alias("next"), F.col("name").alias("up_name"))
-    out = nodes.select("id", F.col("parent").alias("at"), F.col("name").cast("string").alias("path"))
-    for _ in range(depth):
-        out = out.join(up, F.col("at") == F.col("up"), "left").select("id", F.when(F.col("next") != F.col("at"), F.col("next")).alias("at"), F.when(F.col("up").isNotNull(), F.concat("up_name", F.lit("/"), "path")).otherwise(F.col("path")).alias("path"))
-    return out.select("id", "path")
+def paths(nodes: DataFrame) -> DataFrame:
+    """J-18: (id, path): names from the root to each node by parent pointers, at any depth; null on a cycle or below one.
+
+    A node that is its own parent, or whose parent is unknown, is a root. Each round doubles the part of the way that a
+    path covers, so there are as many rounds as the depth has binary digits; each is a table in the shared folder.
+    """
+    known = nodes.select(F.col("id").alias("up"))
+    linked = nodes.join(known, F.col("parent") == F.col("up"), "left")
+    at = F.when(F.col("up") != F.col("id"), F.col("up"))
+    now = table(linked.select("id", at.alias("at"), F.col("name").cast("string").alias("path")), "paths")
+    rounds, n = 0, max(1, now.count())
+    while 1 << rounds <= n and not now.where("at is not null").isEmpty():
+        above = now.select(F.col("id").alias("up"), F.col("at").alias("next"), F.col("path").alias("before"))
+        going = now.where("at is not null").join(above, F.col("at") == F.col("up"))
+        now = table(now.where("at is null").union(going.select("id", F.col("next").alias("at"), F.concat("before", F.lit("/"), "path").alias("path"))), "paths")
+        rounds += 1
+    return now.select("id", F.when(F.col("at").isNull(), F.col("path")).alias("path"))
+
+
+#: Lines of a log file that are numbered in one task.
+LINES = 100_000
 
 
 def log_entries(lines: DataFrame, header: Column) -> DataFrame:
-    """N-12: continuation lines joined to the header line before them."""
-    order = Window.partitionBy("path").orderBy("line")
-    numbered = lines.withColumn("entry", F.sum(header.cast("long")).over(order)).where("entry > 0")
+    """N-12: continuation lines joined to the header line before them.
+
+    A file is numbered in blocks of lines: headers are counted by block, the counts added up along the file's few
+    blocks, and the lines of a block numbered on from there. So a very long file is not one task.
+    """
+    block = F.floor(F.col("line") / LINES).alias("block")
+    marked = lines.select("path", "line", "text", block, F.coalesce(header, F.lit(False)).cast("long").alias("is_header"))
+    along = Window.partitionBy("of").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    before = marked.groupBy(F.col("path").alias("of"), F.col("block").alias("at")).agg(F.sum("is_header").alias("n")).select("of", "at", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))
+    order = Window.partitionBy("path", "block").orderBy("line")
+    running = marked.withColumn("inside", F.sum("is_header").over(order)).join(before, F.col("path").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")))
+    numbered = running.select("path", "line", "text", (F.col("before") + F.col("inside")).alias("entry")).where("entry > 0")
     return numbered.groupBy("path", "entry").agg(F.count("*").alias("lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casemill.tables import table
+
 BANDS, WIDTH = 4, 16
 
 
@@ -52,22 +53,13 @@ def leader_clusters(images: DataFrame, radius: int) -> DataFrame:
 
     A hash without a smaller open neighbour leads; neighbours of leaders are covered; each takes its smallest leader.
     """
-    folder = images.sparkSession.conf.get("spark.checkpoint.dir", None)
-
-    def cut(df: DataFrame) -> DataFrame:
-        if not folder:
-            return df.persist()
-        path = f"{folder.rstrip('/')}/clusters-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return images.sparkSession.read.schema(df.schema).parquet(path)
-
-    pairs = cut(near_pairs(images, radius))
-    state = cut(images.where(F.col("phash").rlike("^[0-9a-fA-F]{16}$")).select(F.lower("phash").alias("h")).distinct().withColumn("role", F.lit("open")))
+    pairs = table(near_pairs(images, radius), "near-pairs")
+    state = table(images.where(F.col("phash").rlike("^[0-9a-fA-F]{16}$")).select(F.lower("phash").alias("h")).distinct().withColumn("role", F.lit("open")), "clusters")
     while not state.where("role = 'open'").isEmpty():
         roles = pairs.join(state.select(F.col("h").alias("a"), F.col("role").alias("above")), "a")
         above = roles.groupBy(F.col("b").alias("h")).agg(F.max(F.col("above") == "open").alias("waits"), F.max(F.col("above") == "leader").alias("led"))
         new = F.when(F.col("role") != "open", F.col("role")).when(F.col("led"), "covered").when(F.coalesce("waits", F.lit(False)), "open").otherwise("leader")
-        state = cut(state.join(above, "h", "left").select("h", new.alias("role")))
+        state = table(state.join(above, "h", "left").select("h", new.alias("role")), "clusters")
     leaders = state.where("role = 'leader'").select(F.col("h").alias("a"))
     nearest = pairs.join(leaders, "a").groupBy(F.col("b").alias("h")).agg(F.min("a").alias("by"))
     named = state.join(nearest, "h", "left").select("h", F.when(F.col("role") == "leader", F.col("h")).otherwise(F.col("by")).alias("leader"))

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casemill.tables import table
+
 # Patterns, false positives, noise prefixes.
 URL = r"""https?://[^\s"'<>\]})\\,]+|https?%3[Aa]%2[Ff]%2[Ff][^\s"'<>\]})\\,]+"""
 URLS = re.compile(f"(?i:{URL})", re.A)
@@ -108,19 +110,48 @@ def is_noise(url: Column) -> Column:
     return (F.size(F.array_distinct(F.split(url, ""))) < 10) | (F.length(url) <= 10) | (F.length(url) >= 2048) | any_of(F.lower(url), "startswith", NOISE)
 
 
+# Names of JSON fields that hold URLs, emails, identifiers and times.
+URL_FIELDS = "url href link redirect referrer pageUrl uri redirectUrl returnUrl callbackUrl targetUrl sourceUrl imageUrl videoUrl contentUrl baseUrl requestUrl".split()
+EMAIL_FIELDS = "email mail upn userPrincipalName user_email emailAddress email_address userEmail account preferred_username unique_name".split()
+ID_FIELDS = {
+    "user_id": "user_id userId uid sub subject oid", "device_id": "device_id deviceId did muid mid machine_id", "tracking_id": "tracking_id trackingId _ga _gid ga_id web_id webId client_id clientId",
+    "visitor_id": "visitor_id visitorId", "session_id": "session_id sessionId sid",
+}
+TIME_FIELDS = "time timestamp date created modified previousRequestTime lastActiveTime lastUpdated visitTime accessTime requestTime expiration exp iat nbf createdAt updatedAt lastUsed created_at updated_at last_used expiresAt issuedAt expires_at issued_at lastAccess last_access".split()
+
+
+def field_kind(name: Column) -> Column:
+    """X-2: url, email or the kind of identifier that a field's name stands for; identifiers as they are spelt."""
+    lower = F.lower(name)
+    kind = F.when(lower.isin([f.lower() for f in URL_FIELDS]), "url").when(lower.isin([f.lower() for f in EMAIL_FIELDS]), "email")
+    for value, names in ID_FIELDS.items():
+        kind = kind.when(name.isin(names.split()), value)
+    return kind
+
+
 def json_fields(rows: DataFrame, column: str) -> DataFrame:
-    """X-2: (id, path, value) of the leaves of a JSON object down to three levels; text that is no JSON gives none."""
-    def level(df: DataFrame) -> DataFrame:
-        return df.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("key"), F.col("value").alias("inner")))
+    """X-2: (id, path, value, kind, at) of the leaves of JSON objects and arrays at any depth; text that is no JSON gives none.
 
+    kind is what the name of the field says (null for others), at the text of the first time field by name of the
+    object that the leaf is in. The walk goes level by level until no value is nested; a level is a table.
+    """
     current = rows.select("id", F.try_parse_json(column).alias("v"), F.lit("").alias("path"))
+    current = current.where("v is not null and not is_variant_null(v)")
     out = None
-    for _ in range(3):
-        nested = level(current).select("id", F.concat("path", F.lit("."), F.col("key")).alias("path"), F.col("inner").alias("v"))
-        leaves = nested.where(~F.schema_of_variant("v").startswith("OBJECT")).select("id", F.ltrim("path", F.lit(".")).alias("path"), F.try_variant_get("v", "$", "string").alias("value"))
-        out = leaves if out is None else out.union(leaves)
-        current = nested.where(F.schema_of_variant("v").startswith("OBJECT"))
-    return out
+    while True:
+        nested = current.where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
+        if nested.isEmpty():
+            break
+        times = F.coalesce(*[F.try_variant_get("v", f"$.{f}", "string") for f in sorted(TIME_FIELDS)])
+        each = nested.withColumn("at", F.when(F.schema_of_variant("v").startswith("OBJECT"), times))
+        each = each.lateralJoin(each.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("pos"), F.col("key"), F.col("value").alias("inner")))
+        path = F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), "key"))
+        level = table(each.select("id", path.alias("path"), "key", "at", F.to_json("inner").alias("text"), F.try_variant_get("inner", "$", "string").alias("value")), "json-level")
+        deeper = F.col("text").rlike(r"^[\[{]")
+        leaves = level.where(~F.coalesce(deeper, F.lit(False))).select("id", "path", "value", field_kind(F.col("key")).alias("kind"), "at")
+        out = leaves if out is None else out.unionByName(leaves)
+        current = level.where(deeper).select("id", F.try_parse_json("text").alias("v"), "path")
+    return out if out is not None else current.select("id", "path", *[F.lit(None).cast("string").alias(c) for c in ("value", "kind", "at")])
 
 
 def analysed(values: DataFrame) -> DataFrame:

@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.functions import scalars as S
+from casemill.operators.tags import tag_text
 from casemill.operators.textmine import is_noise, normal_feature
+from casemill.operators.timeline import filtered
 
 # Columns of a listing by fragments of their header, feature types by file name.
 COLUMNS = {
     "file_path": ("full path", "fullpath", "path", "location"), "file_name": ("filename", "file name", "name"), "size_bytes": ("size",), "created_ts": ("created", "creation"),
     "modified_ts": ("modified", "written"), "accessed_ts": ("accessed",), "md5_hash": ("md5",), "sha1_hash": ("sha1", "sha-1"), "sha256_hash": ("sha256", "sha-256"), "deleted": ("deleted",), "extension": ("ext",),
 }
-RAW_URL = r"""(https?://[^\s"'<>\x00-\x1f\x7f-\xff]+)"""
+RAW_URL = r"""((?i)https?://[a-zA-Z0-9][a-zA-Z0-9\-._~:/?#\[\]@!$&'()*+,;=%]+)"""
 FEATURES = {"url": "url", "email": "email", "domain": "domain", "ip": "ip", "telephone": "telephone", "bitcoin": "bitcoin", "ether": "ether"}
 
 
@@ -128,11 +130,11 @@ def body_file(spark: SparkSession, path: str) -> DataFrame:
     return body_rows(spark.read.text(path))
 
 
-def feature_file(spark: SparkSession, path: str) -> DataFrame:
-    """S-9: (kind, offset, feature, context) of tab-separated feature files; the kind comes from the file's name."""
+def feature_file(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """S-9: (kind, offset, feature, context) of tab-separated feature files; the kind, where none is given, comes from the file's name."""
     lines = spark.read.text(path).select("value", F.regexp_extract(S.file_name(F.col("_metadata.file_path")), r"^([a-z]+)", 1).alias("file")).where("not startswith(value, '#')")
     parts = F.split("value", "\t")
-    kind = F.coalesce(*[F.when(F.col("file").startswith(k), v) for k, v in FEATURES.items()])
+    kind = F.lit(kind) if kind else F.coalesce(*[F.when(F.col("file").startswith(k), v) for k, v in FEATURES.items()])
     rows = lines.select(kind.alias("kind"), F.expr("try_cast(split(value, '\\t')[0] as bigint)").alias("offset"), normal_feature(kind, F.get(parts, 1)).alias("feature"), F.get(parts, 2).alias("context"))
     return rows.where("kind is not null and offset is not null and feature is not null")
 
@@ -145,10 +147,38 @@ def urls_in_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
-    """S-16 to S-18."""
+    """S-18: any table as CSV files with a header, in the order that it has."""
     df.write.mode("overwrite").csv(path, header=True, quoteAll=quote_all)
 
 
-def replace_partition(df: DataFrame, path: str, by: list[str]) -> None:
-    """S-12, S-19: the partitions that df has rows for are written anew, others stay."""
+def export_rows(df: DataFrame, path: str, columns: dict[str, str], order: list[str]) -> None:
+    """S-18: columns of a table under the names of their report, in order; times and flags as text."""
+    write_csv(df.orderBy(*order).select(*[F.col(c).cast("string").alias(n) for n, c in columns.items()]), path)
+
+
+def export_timeline(events: DataFrame, associations: DataFrame, path: str, kinds=None, confidences=None, start=None, last_day=None) -> None:
+    """S-16: events that pass the filter, with the tags of the row they refer to, by time, table and row."""
+    marks = associations.groupBy(F.col("artifact_type").alias("ref_table"), F.col("artifact_id").alias("ref_id")).agg(F.array_join(F.array_sort(F.collect_set("tag")), ", ").alias("tags"))
+    rows = filtered(events, kinds, confidences, start, last_day).join(marks, ["ref_table", "ref_id"], "left").orderBy("ts", "ref_table", "ref_id")
+    write_csv(rows.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "kind", "confidence", "ref_table", "ref_id", F.coalesce("tags", F.lit("")).alias("tags")), path)
+
+
+def export_urls(urls: DataFrame, matches: DataFrame, associations: DataFrame, path: str, kind: str = "url") -> None:
+    """S-17: URLs by first-or-last time seen, URL and id, with the lists that they match and their tags; all cells quoted."""
+    lists = matches.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("list_name")), ", ").alias("lists"))
+    rows = urls.join(lists, "id", "left").join(tag_text(associations, kind), "id", "left").orderBy(F.coalesce("first_seen", "last_seen").asc_nulls_first(), "url", "id")
+    write_csv(rows.select("id", "url", "domain", "discovered_by", "first_seen", "last_seen", F.coalesce("lists", F.lit("")).alias("matches"), F.coalesce("tags", F.lit("")).alias("tags")), path, quote_all=True)
+
+
+def replace_partition(df: DataFrame, path: str, by: list[str], keys: list[tuple] = ()) -> None:
+    """S-12, S-19: the partitions that df has rows for are written anew, others stay.
+
+    keys: partitions (values of the columns by) that are replaced even where df has no row for them: they are emptied.
+    """
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    filled = {tuple(map(str, r)) for r in df.select(*by).distinct().collect()} if keys else ()  # one row for each partition
+    for key in keys:
+        if tuple(map(str, key)) not in filled:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path("/".join([path, *[f"{c}={v}" for c, v in zip(by, key)]]))
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

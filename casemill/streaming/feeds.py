@@ -15,8 +15,12 @@ def matched_feed(urls: DataFrame, rules: list[tuple[str, int, str, str]]) -> Dat
 
 
 def run_sink(feed: DataFrame, path: str, checkpoint: str, by: list[str]):
-    """R-2: each micro-batch overwrites the partitions of its own runs, so a repeated batch changes nothing."""
-    return feed.writeStream.foreachBatch(lambda batch, _: replace_partition(batch, path, by)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """R-2: a micro-batch overwrites its own part (column batch_id) of the runs it has rows for.
+
+    A repeated batch changes nothing, and a run that spans several batches keeps the rows of all. To ingest a run anew,
+    empty its partitions first (replace_partition with keys) or use another path.
+    """
+    return feed.writeStream.foreachBatch(lambda batch, n: replace_partition(batch.withColumn("batch_id", F.lit(n)), path, [*by, "batch_id"])).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def daily_feed(events: DataFrame, late: str = "2 days") -> DataFrame:
