@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casemill.functions import scalars as S
-from casemill.operators import filters, matching, records, similarity, tags, textmine, timeline, urls
+from casemill.operators import artifacts, filters, matching, records, similarity, tags, textmine, timeline, urls
 from casemill.operators.filters import TableSpec
 from casemill.plans.standins import frame, with_views
 
@@ -103,14 +103,14 @@ for name, table, columns, conditions, extra in (
 
 # -- filters beyond one table
 URL_COLUMNS = ("id", "url", "domain", "discovered_by")
-register("F-3", lambda s, d: frame(s, d, "urls").where(F.col("domain").ilike("%example%") & F.col("discovered_by").isin("history", "cache")).select(*URL_COLUMNS, F.coalesce("first_seen", "last_seen").alias("seen")),
+register("F-3", lambda s, d: artifacts.browse_urls(frame(s, d, "urls"), "%example%", ("history", "cache")).select(*URL_COLUMNS, "seen"),
          "select id, url, domain, discovered_by, coalesce(first_seen, last_seen) seen from urls where domain ilike '%example%' and discovered_by in ('history', 'cache')", "urls")
 register("F-4", lambda s, d: filters.matched(frame(s, d, "part").withColumnRenamed("p_partkey", "id"), frame(s, d, "matches"), "unmatched").select("id", "p_name"), "select p_partkey id, p_name from part where p_partkey not in (select id from matches)", "matches")
 register("F-5", lambda s, d: filters.tagged(frame(s, d, "customer").withColumnRenamed("c_custkey", "id"), frame(s, d, "associations"), "customer", ["1-urgent"]).select("id", "c_name"),
          "select c_custkey id, c_name from customer where c_custkey in (select artifact_id from associations where artifact_type = 'customer' and lower(tag) = '1-urgent')", "associations")
 register("F-6", lambda s, d: filters.matched(frame(s, d, "part").withColumnRenamed("p_partkey", "id"), frame(s, d, "matches"), "small").where(F.col("p_size").isNull() | (F.col("p_size") >= 5)).select("id", "p_size"),
          "select p_partkey id, p_size from part where p_partkey in (select id from matches where list_name = 'small') and (p_size is null or p_size >= 5)", "matches")
-register("F-7", lambda s, d: frame(s, d, "files").where(F.col("file_path").ilike("%f1%") & (F.col("size_bytes") >= 500) & ~F.col("deleted")).select("id", "file_path", "size_bytes"), "select id, file_path, size_bytes from files where file_path ilike '%f1%' and size_bytes >= 500 and not deleted", "files")
+register("F-7", lambda s, d: artifacts.browse_files(frame(s, d, "files"), "%f1%", 500, deleted=False).select("id", "file_path", "size_bytes"), "select id, file_path, size_bytes from files where file_path ilike '%f1%' and size_bytes >= 500 and not deleted", "files")
 register("F-8", lambda s, d: timeline.filtered(frame(s, d, "timeline"), ["click", "view"], ["medium"], "2024-01-05", "2024-01-09").select("ref_id", "epoch", "kind"),
          "select ref_id, epoch, kind from timeline where kind in ('click', 'view') and confidence = 'medium' and ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-10'", "timeline")
 for name, both in (("F-9", True), ("F-9or", False)):
@@ -119,13 +119,14 @@ for name, both in (("F-9", True), ("F-9or", False)):
 EXT = r"regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/.][^/]*?([.][^/.]+)$', 1)"
 register("F-13", lambda s, d: frame(s, d, "files").where(F.col("file_path").rlike(S.glob_regex("**/en/f*[05].jpg")) & ~F.coalesce("deleted", F.lit(False))).select("id", "file_path"), "select id, file_path from files where regexp_matches(lower(file_path), '/en/f[^/]*[05][.]jpg$') and not coalesce(deleted, false)", "files")
 register("F-16", lambda s, d: frame(s, d, "lineitem").withColumn("visit", S.transition_core(F.col("l_linenumber"))).where(F.lower("visit") == "typed").groupBy("visit").agg(F.count("*").alias("n")), "select 'TYPED' visit, count(*) n from lineitem where l_linenumber = 1")
-register("F-21", lambda s, d: frame(s, d, "part").where(F.col("p_type").rlike("(?i)^(standard|small|large)")).select("p_partkey", "p_type"), "select p_partkey, p_type from part where regexp_matches(lower(p_type), '^(standard|small|large)')")
+register("F-21", lambda s, d: artifacts.of_types(frame(s, d, "part"), "p_type", ("STANDARD", "SMALL", "LARGE")).select("p_partkey", "p_type"), "select p_partkey, p_type from part where regexp_matches(lower(p_type), '^(standard|small|large)')")
 register("F-22", lambda s, d: timeline.at_least_confidence(frame(s, d, "timeline"), "medium", {"click": "browser", "view": "browser", "purchase": "downloads"}, "browser").select("ref_id", "kind"),
          "select ref_id, kind from timeline where confidence in ('high', 'medium') and kind in ('click', 'view')", "timeline")
 register("F-24", lambda s, d: filters.distinct_values(frame(s, d, "urls"), "domain"), "select distinct domain from urls where domain is not null", "urls")
-register("F-25", lambda s, d: frame(s, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.page", "string").alias("page")).where("page is not null"), None)
+register("F-25", lambda s, d: artifacts.with_field(frame(s, d, "events"), "props", "page", "page").select("event_id", "page"), "select event_id, json_extract_string(props, '$.page') page from events where json_extract_string(props, '$.page') is not null")
+register("F-25k", lambda s, d: artifacts.with_field(frame(s, d, "events"), "props", "k", "k").select("event_id", "k"), "select event_id, json_extract_string(props, '$.k') k from events where json_extract_string(props, '$.k') is not null")
 register("F-26", lambda s, d: records.last_by(frame(s, d, "files").select("md5", "id", "source"), ["md5"], ["id"]), "select md5, max(id) id, arg_max(source, id) source from files group by md5", "files")
-register("F-23", lambda s, d: frame(s, d, "supplier").where(F.col("s_suppkey").isin(1, 2, 3, 5)).select("s_suppkey", "s_name"), "select s_suppkey, s_name from supplier where s_suppkey in (1, 2, 3, 5)")
+register("F-23", lambda s, d: artifacts.chosen(frame(s, d, "supplier"), "s_suppkey", [1, 2, 3, 5]).select("s_suppkey", "s_name"), "select s_suppkey, s_name from supplier where s_suppkey in (1, 2, 3, 5)")
 
 # -- tags
 ASSOCIATED = "associations"
@@ -137,7 +138,7 @@ register("J-24types", lambda s, d: tags.by_type(frame(s, d, ASSOCIATED), "R"), "
 register("J-25", lambda s, d: tags.merge_tags(frame(s, d, ASSOCIATED), ["2-HIGH", "3-MEDIUM"], "1-URGENT"), "select distinct case when tag in ('2-HIGH', '3-MEDIUM') then '1-URGENT' else tag end tag, artifact_type, artifact_id from associations", ASSOCIATED)
 register("J-26", lambda s, d: tags.inherited(frame(s, d, ASSOCIATED), frame(s, d, "orders").selectExpr("o_custkey as source_id", "o_orderkey as id"), "customer", "order"),
          "select distinct tag, 'order' artifact_type, o_orderkey artifact_id from orders join associations on artifact_type = 'customer' and artifact_id = o_custkey", ASSOCIATED)
-register("J-27", lambda s, d: frame(s, d, ASSOCIATED).where("artifact_type = 'part'").select("artifact_id", "tag", F.when(F.col("tag") == "R", 1).otherwise(0).alias("auto")), "select artifact_id, tag, case when tag = 'R' then 1 else 0 end auto from associations where artifact_type = 'part'", ASSOCIATED)
+register("J-27", lambda s, d: artifacts.with_auto_flag(frame(s, d, ASSOCIATED), "part", ("R",)), "select artifact_id, tag, case when tag = 'R' then 1 else 0 end auto from associations where artifact_type = 'part'", ASSOCIATED)
 register("A-42", lambda s, d: tags.usage(frame(s, d, ASSOCIATED)), "select tag, count(*) n from associations group by tag", ASSOCIATED)
 register("U-4", lambda s, d: tags.difference(frame(s, d, ASSOCIATED).where("tag = 'R'").select("artifact_id", F.lit("x").alias("tag")), frame(s, d, ASSOCIATED).where("tag = 'A'").select("artifact_id", F.lit("x").alias("tag"))),
          "select artifact_id, 'x' tag, 'add' change from associations where tag = 'R' and artifact_id not in (select artifact_id from associations where tag = 'A') union all select artifact_id, 'x', 'remove' from associations where tag = 'A' and artifact_id not in (select artifact_id from associations where tag = 'R')", ASSOCIATED)
@@ -160,7 +161,7 @@ VISITED = "(select domain, url, epoch ts from timeline join urls on ref_id % 97
 register("A-9", lambda s, d: urls.domain_activity(VISITS(s, d), 5), f"select domain, count(*)::bigint events, count(distinct url) urls, min(ts) \"first\", max(ts) \"last\" from {VISITED} group by domain having count(*) >= 5", "urls", "timeline")
 register("A-10", lambda s, d: urls.activity_summary(VISITS(s, d)), f"select count(*) events, count(distinct domain) domains, count(distinct url) urls, min(ts) \"first\", max(ts) \"last\" from {VISITED}", "urls", "timeline")
 register("J-9", VISITS, f"select * from {VISITED}", "urls", "timeline")
-register("J-10", lambda s, d: frame(s, d, "timeline").join(frame(s, d, "urls").where("discovered_by = 'cache'"), F.col("ref_id") == F.col("id"), "left_semi").select("ref_id", "kind"), "select ref_id, kind from timeline where ref_id in (select id from urls where discovered_by = 'cache')", "urls", "timeline")
+register("J-10", lambda s, d: artifacts.events_of(frame(s, d, "timeline"), frame(s, d, "urls").where("discovered_by = 'cache'")).select("ref_id", "kind"), "select ref_id, kind from timeline where ref_id in (select id from urls where discovered_by = 'cache')", "urls", "timeline")
 register("W-2", lambda s, d: urls.top_urls(frame(s, d, "copies"), 3),
          "select * from (select domain, url, hits, row_number() over (partition by domain order by hits desc, url)::int place, greatest(count(*) over (partition by domain) - 3, 0) hidden from (select domain, url, count(*) hits from copies group by 1, 2)) where place <= 3", "copies")
 register("H-6", lambda s, d: frame(s, d, "pages").select("page_id", S.scheme(F.col("url")).alias("scheme"), S.domain(F.col("url")).alias("domain")), "select id page_id, scheme, domain from urls", "urls")
@@ -180,7 +181,7 @@ register("A-12", lambda s, d: timeline.daily_counts(frame(s, d, "timeline"), 14)
 QUERIES["W-10"], ORACLES["W-10"] = QUERIES["A-12"], ORACLES["A-12"]
 register("A-13", lambda s, d: timeline.breakdown(frame(s, d, "timeline")), "select concat(upper(kind[1]), kind[2:]) kind, count(*) n from timeline group by 1", "timeline")
 register("A-14", lambda s, d: timeline.stats(frame(s, d, "timeline")).select("kind", "confidence", "ref_table", "n", F.unix_timestamp("earliest").alias("earliest")), "select kind, confidence, ref_table, count(*) n, min(epoch) earliest from timeline group by grouping sets ((), (kind), (confidence), (ref_table))", "timeline")
-register("A-15", lambda s, d: frame(s, d, "timeline").select("kind", "confidence").distinct(), "select distinct kind, confidence from timeline", "timeline")
+register("A-15", lambda s, d: artifacts.distinct_rows(frame(s, d, "timeline"), "kind", "confidence"), "select distinct kind, confidence from timeline", "timeline")
 GAPS = "select evidence_id, a \"start\", epoch \"end\", round((epoch - a) / 3600, 2) \"hours\" from (select evidence_id, epoch, lag(epoch) over (partition by evidence_id order by ts) a from timeline) where a is not null and round((epoch - a) / 3600, 2) >= 12 order by epoch desc, evidence_id limit 20"
 register("W-1", lambda s, d: timeline.gaps(frame(s, d, "timeline").withColumn("ts", F.date_trunc("second", "ts")), 12, ["evidence_id"]).select("evidence_id", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("end"), "hours"), GAPS, "timeline")
 register("K-1", lambda s, d: timeline.in_order(frame(s, d, "timeline")).select("epoch", "ref_table", "ref_id"), "select epoch, ref_table, ref_id from timeline", "timeline")
@@ -286,21 +287,22 @@ def prints(spark, sf_dir):
 
 
 # -- records, windows, rollups
-register("J-8", lambda s, d: frame(s, d, "urls").join(frame(s, d, "copies").where("id >= 1000000").selectExpr("url", "id as download"), "url", "left").groupBy("url", "domain").agg(F.min("id").alias("id"), F.count_distinct("discovered_by").alias("sources"), F.count("download").alias("downloads")),
+register("J-8", lambda s, d: artifacts.url_downloads(frame(s, d, "urls"), frame(s, d, "copies").where("id >= 1000000").selectExpr("url", "id as download")),
          "select url, domain, min(u.id) id, count(distinct discovered_by) sources, count(download) downloads from urls u left join (select url, id download from copies where id >= 1000000) c using (url) group by 1, 2", "copies")
-register("J-11", lambda s, d: frame(s, d, "orders").join(frame(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_name"), "select o_orderkey, c_name from orders left join customer on o_custkey = c_custkey")
-register("J-12", lambda s, d: frame(s, d, "lineitem").join(frame(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "p_name"), "select l_orderkey, l_linenumber, p_name from lineitem join part on l_partkey = p_partkey")
-register("J-13", lambda s, d: frame(s, d, "conversations").join(frame(s, d, "documents").select("doc_id", "lang"), F.col("conv_id") == F.col("doc_id"), "left").select("conv_id", "turn", "lang"), "select conv_id, turn, lang from conversations left join documents on conv_id = doc_id")
-register("J-14", lambda s, d: frame(s, d, "nodes").alias("a").join(frame(s, d, "nodes").alias("b"), F.col("a.parent") == F.col("b.id")).selectExpr("a.id", "b.name as referrer"), "select a.id, b.name referrer from nodes a join nodes b on a.parent = b.id", "nodes")
-register("J-15", lambda s, d: frame(s, d, "lineitem").groupBy("l_orderkey").pivot("l_returnflag", ["A", "N", "R"]).agg(F.count(F.lit(1))).fillna(0), "select l_orderkey, count_if(l_returnflag = 'A') A, count_if(l_returnflag = 'N') N, count_if(l_returnflag = 'R') R from lineitem group by 1")
-register("J-16", lambda s, d: frame(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("chain")).select("conv_id", F.array_join(F.transform("chain", lambda x: x["role"]), ">").alias("chain"), F.element_at("chain", -1)["role"].alias("final")),
+register("J-11", lambda s, d: artifacts.attached(frame(s, d, "orders"), frame(s, d, "customer"), "o_custkey", "c_custkey", {"c_name": "c_name"}).select("o_orderkey", "c_name"), "select o_orderkey, c_name from orders left join customer on o_custkey = c_custkey")
+register("J-12", lambda s, d: artifacts.attached(frame(s, d, "lineitem"), frame(s, d, "part"), "l_partkey", "p_partkey", {"p_name": "p_name"}, "inner").select("l_orderkey", "l_linenumber", "p_name"), "select l_orderkey, l_linenumber, p_name from lineitem join part on l_partkey = p_partkey")
+register("J-13", lambda s, d: artifacts.attached(frame(s, d, "conversations"), frame(s, d, "documents"), "conv_id", "doc_id", {"lang": "lang"}).select("conv_id", "turn", "lang"), "select conv_id, turn, lang from conversations left join documents on conv_id = doc_id")
+register("J-14", lambda s, d: artifacts.referrers(frame(s, d, "nodes")), "select a.id, b.name referrer from nodes a join nodes b on a.parent = b.id", "nodes")
+register("J-15", lambda s, d: artifacts.pivoted(frame(s, d, "lineitem"), "l_orderkey", "l_returnflag", ["A", "N", "R"]), "select l_orderkey, count_if(l_returnflag = 'A') A, count_if(l_returnflag = 'N') N, count_if(l_returnflag = 'R') R from lineitem group by 1")
+register("J-16", lambda s, d: artifacts.chains(frame(s, d, "conversations"), "conv_id", "turn", "role"),
          "select conv_id, string_agg(role, '>' order by turn, role) chain, arg_max(role, (turn, role)) final from conversations group by 1")
-register("J-17a", lambda s, d: frame(s, d, "customer").join(F.broadcast(frame(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(F.broadcast(frame(s, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("c_custkey", "n_name", "r_name"),
+register("J-17a", lambda s, d: artifacts.attached(artifacts.attached(frame(s, d, "customer"), frame(s, d, "nation"), "c_nationkey", "n_nationkey", {"n_name": "n_name", "n_regionkey": "n_regionkey"}), frame(s, d, "region"), "n_regionkey", "r_regionkey", {"r_name": "r_name"}).select("c_custkey", "n_name", "r_name"),
          "select c_custkey, n_name, r_name from customer left join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey")
-register("J-17d", lambda s, d: frame(s, d, "supplier").join(frame(s, d, "nation").where("n_regionkey = 1"), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select("s_suppkey"), "select s_suppkey from supplier where s_nationkey in (select n_nationkey from nation where n_regionkey = 1)")
-register("J-18", lambda s, d: records.paths(frame(s, d, "nodes"), 6), None)
+register("J-17d", lambda s, d: artifacts.only_known(frame(s, d, "supplier"), "s_nationkey", frame(s, d, "nation").where("n_regionkey = 1"), "n_nationkey").select("s_suppkey"), "select s_suppkey from supplier where s_nationkey in (select n_nationkey from nation where n_regionkey = 1)")
+register("J-18", lambda s, d: records.paths(frame(s, d, "nodes")),
+         with_views("select * from way", "nodes").replace("with nodes", "with recursive nodes").replace(" select * from way", ", way as (select id, name::varchar path from nodes where parent = id or parent not in (select id from nodes) union all select n.id, way.path || '/' || n.name from way join nodes n on n.parent = way.id and n.id <> way.id) select id, path from way"))
 register("J-19", lambda s, d: records.last_by(frame(s, d, "files").select("md5", "id", "file_path"), ["md5"], ["id"]).join(frame(s, d, "hashes").where("list_name = 'toxic'").select(F.col("hash").alias("md5")), "md5"), "select md5, max(id) id, arg_max(file_path, id) file_path from files where md5 in (select hash from hashes where list_name = 'toxic') group by md5", "files", "hashes")
-register("J-22", lambda s, d: frame(s, d, "urls").groupBy("domain", F.regexp_extract("url", "([^/]*)$", 1).alias("name")).agg(F.min("id").alias("id")), "select domain, regexp_extract(url, '([^/]*)$', 1) as name, min(id) id from urls group by 1, 2", "urls")
+register("J-22", lambda s, d: artifacts.best_effort(frame(s, d, "urls"), {"domain": F.col("domain"), "name": S.file_name(F.col("url"))}), "select domain, regexp_extract(url, '([^/]*)$', 1) as name, min(id) id from urls group by 1, 2", "urls")
 STATS = lambda table, by, aggs: (lambda s, d: records.grouped_stats(frame(s, d, table), by, aggs()))
 for name, table, by, aggs, sql in (
     ("A-16", "events", ["event_type"], lambda: {"visits": F.count("*"), "users": F.count_distinct("user_id")}, "count(*) visits, count(distinct user_id) users"),
@@ -326,34 +328,42 @@ for name, table, by, aggs, sql in (
     register(name, STATS(table, by, aggs), f"select {', '.join(by)}, {sql} from {table} group by grouping sets ({sets})", *([table] if table in ("urls", "files") else []))
 register("A-28", lambda s, d: records.store_rollup({"local": frame(s, d, "lineitem").where("l_returnflag = 'N'").select("l_suppkey"), "session": frame(s, d, "lineitem").where("l_returnflag = 'A'").select("l_suppkey"), "indexed": frame(s, d, "lineitem").where("l_returnflag = 'R'").select("l_suppkey")}, "l_suppkey"),
          "select l_suppkey, count_if(l_returnflag = 'N')::bigint \"local\", count_if(l_returnflag = 'A')::bigint \"session\", count_if(l_returnflag = 'R')::bigint indexed, count(*) total, string_agg(distinct case l_returnflag when 'N' then 'local' when 'A' then 'session' else 'indexed' end, ',' order by case l_returnflag when 'N' then 'local' when 'A' then 'session' else 'indexed' end) stores from lineitem group by 1")
-register("A-30", lambda s, d: s.createDataFrame([(x,) for x in ("info", "view", "error", "fatal")], "severity string").join(frame(s, d, "events").groupBy(F.col("event_type").alias("severity")).agg(F.count("*").alias("n")), "severity", "left").fillna(0),
+register("A-30", lambda s, d: artifacts.zero_filled(frame(s, d, "events"), "event_type", ["info", "view", "error", "fatal"], "severity"),
          "select severity, coalesce(n, 0) n from (values ('info'), ('view'), ('error'), ('fatal')) v(severity) left join (select event_type severity, count(*) n from events group by 1) using (severity)")
-register("A-34", lambda s, d: frame(s, d, "urls").agg(F.count("*").alias("urls")).crossJoin(frame(s, d, "files").agg(F.count("*").alias("files"))).crossJoin(frame(s, d, "timeline").agg(F.max("epoch").alias("latest"))), "select (select count(*) from urls) urls, (select count(*) from files) files, (select max(epoch) from timeline) latest", "urls", "files", "timeline")
+register("A-34", lambda s, d: artifacts.summary({"urls": (frame(s, d, "urls"), F.count("*")), "files": (frame(s, d, "files"), F.count("*")), "latest": (frame(s, d, "timeline"), F.max("epoch"))}), "select (select count(*) from urls) urls, (select count(*) from files) files, (select max(epoch) from timeline) latest", "urls", "files", "timeline")
 register("A-36", lambda s, d: records.facets(frame(s, d, "files"), {"source": "source", "deleted": "deleted"}), "select 'source' facet, source \"value\", count(*) n from files group by 2 union all select 'deleted', deleted::varchar, count(*) from files group by 2", "files")
-register("A-38", lambda s, d: frame(s, d, "files").groupBy("md5").agg(F.min_by("source", "id").alias("first_source"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.count("*").alias("n")), "select md5, arg_min(source, id) first_source, string_agg(distinct source, ',' order by source) sources, count(*) n from files group by 1", "files")
+register("A-38", lambda s, d: artifacts.provenance(frame(s, d, "files"), "md5", "id", "source"), "select md5, arg_min(source, id) first_source, string_agg(distinct source, ',' order by source) sources, count(*) n from files group by 1", "files")
 register("W-4", lambda s, d: records.first_by(frame(s, d, "files").select("md5", "id", "source"), ["md5"], ["id"]), "select md5, min(id) id, arg_min(source, id) source from files group by 1", "files")
-register("S-14", lambda s, d: frame(s, d, "files").groupBy("md5").agg(F.min("id").alias("id"), F.min_by("file_path", "id").alias("file_path"), F.count("*").alias("discoveries")), "select md5, min(id) id, arg_min(file_path, id) file_path, count(*) discoveries from files group by 1", "files")
+register("S-14", lambda s, d: artifacts.content_addressed(frame(s, d, "files"), "md5", "id", ("file_path",)), "select md5, min(id) id, arg_min(file_path, id) file_path, count(*) discoveries from files group by 1", "files")
 register("A-39", lambda s, d: frame(s, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).groupBy("event_type").agg(F.sum("n").alias("n")), "select event_type, count(*)::bigint n from events group by 1")
 register("A-40", lambda s, d: records.count_check(frame(s, d, "lineitem"), frame(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(4).alias("expected")), "l_orderkey", 0.3), "select o_orderkey l_orderkey, 4 expected, coalesce(n, 0) n, abs(coalesce(n, 0) - 4) <= 1.2 \"within\" from orders left join (select l_orderkey, count(*) n from lineitem group by 1) on l_orderkey = o_orderkey")
-register("A-43", lambda s, d: frame(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("entries")), "select conv_id, count(*) entries from conversations group by 1")
+register("A-43", lambda s, d: artifacts.counted(frame(s, d, "conversations"), "conv_id", "entries"), "select conv_id, count(*) entries from conversations group by 1")
 register("A-44", lambda s, d: records.roots(frame(s, d, "orders").selectExpr("o_custkey as root", "o_orderpriority as signal"), [1, 4, 7], 3), "select o_custkey root, string_agg(distinct o_orderpriority, ',' order by o_orderpriority) signals, count(distinct o_orderpriority) n from orders where o_custkey not in (1, 4, 7) group by 1 having count(distinct o_orderpriority) >= 3")
-register("A-47", lambda s, d: frame(s, d, "part").groupBy(F.lower("p_brand").alias("name"), F.lower("p_type").alias("command")).agg(F.array_join(F.array_sort(F.collect_set(F.col("p_size").cast("string"))), "+").alias("scopes")), "select lower(p_brand) \"name\", lower(p_type) command, string_agg(distinct p_size::varchar, '+' order by p_size::varchar) scopes from part group by 1, 2")
+register("A-47", lambda s, d: artifacts.autostarts(frame(s, d, "part"), "p_brand", "p_type", "p_size"), "select lower(p_brand) \"name\", lower(p_type) command, string_agg(distinct p_size::varchar, '+' order by p_size::varchar) scopes from part group by 1, 2")
 register("A-50", lambda s, d: records.drift(frame(s, d, "events"), "event_type", ["click", "view"]), "select event_type \"value\", count(*) n from events where event_type not in ('click', 'view') group by 1")
 register("A-52", lambda s, d: records.store_rollup({"orders": frame(s, d, "orders").selectExpr("o_custkey as who"), "customers": frame(s, d, "customer").selectExpr("c_custkey as who")}, "who"), "select who, count_if(k = 'orders')::bigint orders, count_if(k = 'customers')::bigint customers, count(*) total, string_agg(distinct k, ',' order by k) stores from (select o_custkey who, 'orders' k from orders union all select c_custkey, 'customers' from customer) group by 1")
 register("W-5", lambda s, d: records.last_by(frame(s, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"]), "select user_id, max(event_id) event_id, arg_max(event_type, event_id) event_type from events group by 1")
 register("W-6", lambda s, d: records.last_by(frame(s, d, "events").where("event_type = 'purchase'").select("user_id", "event_id"), ["user_id"], ["event_id"]), "select user_id, max(event_id) event_id from events where event_type = 'purchase' group by 1")
 register("W-7", lambda s, d: records.replayed(frame(s, d, "log"), "tab", "moment", ["url", "title"], F.col("event_type") == "error"),
          "select tab, arg_max(url, (moment, seq)) filter (where url is not null) url, arg_max(title, (moment, seq)) filter (where title is not null) title, count(*) commands from log left join (select tab, max((moment, seq)) c from log where event_type = 'error' group by 1) using (tab) where c is null or (moment, seq) > c group by 1", "log")
-register("W-8", lambda s, d: frame(s, d, "files").groupBy("md5").agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("id", "source"))), lambda x: x["source"])), ",").alias("sources"), F.min("id").alias("id")).select("md5", "id", F.size(F.split("sources", ",")).alias("n")), "select md5, min(id) id, count(distinct source)::int n from files group by 1", "files")
-register("W-9", lambda s, d: frame(s, d, "lineitem").selectExpr("l_suppkey", "l_orderkey", "l_linenumber", "row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) as place").where("place <= 3"), "select * from (select l_suppkey, l_orderkey, l_linenumber, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber)::int place from lineitem) where place <= 3")
-register("W-11", lambda s, d: frame(s, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("uses")).groupBy("l_partkey").agg(F.max_by("l_suppkey", F.struct("uses", "l_suppkey")).alias("most")), "select l_partkey, arg_max(l_suppkey, (uses, l_suppkey)) most from (select l_partkey, l_suppkey, count(*) uses from lineitem group by 1, 2) group by 1")
+register("W-8", lambda s, d: artifacts.values_in_order(frame(s, d, "files"), "md5", "id", "source", "sources").select("md5", "id", F.size("sources").alias("n")), "select md5, min(id) id, count(distinct source)::int n from files group by 1", "files")
+register("W-9", lambda s, d: artifacts.first_rows(frame(s, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber"), "l_suppkey", ["l_orderkey", "l_linenumber"], 3), "select * from (select l_suppkey, l_orderkey, l_linenumber, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber)::int place from lineitem) where place <= 3")
+register("W-11", lambda s, d: artifacts.most_used(frame(s, d, "lineitem"), "l_partkey", "l_suppkey"), "select l_partkey, arg_max(l_suppkey, (uses, l_suppkey)) most from (select l_partkey, l_suppkey, count(*) uses from lineitem group by 1, 2) group by 1")
 register("W-12", lambda s, d: records.first_by(frame(s, d, "conversations").select("conv_id", "turn", "role"), ["conv_id"], ["turn"]), "select conv_id, min(turn) turn, arg_min(role, turn) role from conversations group by 1")
 register("S-11", lambda s, d: records.appended(frame(s, d, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_name"), frame(s, d, "customer").selectExpr("c_custkey", "upper(c_name) as c_name"), ["c_custkey"], "IGNORE"), "select c_custkey, case when c_custkey % 2 = 0 then c_name else upper(c_name) end c_name from customer")
 register("S-13", lambda s, d: records.upserted(frame(s, d, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_name", "c_mktsegment"), frame(s, d, "customer").where("c_custkey % 3 = 0").selectExpr("c_custkey", "lower(c_name) as c_name", "'new' as c_mktsegment"), ["c_custkey"], ["c_mktsegment"]),
          "select c_custkey, case when c_custkey % 3 = 0 then lower(c_name) else c_name end c_name, case when c_custkey % 2 = 0 then c_mktsegment else 'new' end c_mktsegment from customer where c_custkey % 2 = 0 or c_custkey % 3 = 0")
-register("U-2", lambda s, d: frame(s, d, "urls").select("url", "discovered_by").union(frame(s, d, "copies").where("id >= 1000000").select("url", F.lit("copy"))).where(~F.col("url").rlike("^(javascript|data):")), "select url, discovered_by from urls union all select url, 'copy' from copies where id >= 1000000", "copies")
-register("U-5", lambda s, d: frame(s, d, "files").where("source like '%1%'").select("id").union(frame(s, d, "files").where("deleted").select("id")).dropDuplicates(), "select id from files where source like '%1%' union select id from files where deleted", "files")
-register("K-3", lambda s, d: frame(s, d, "part").select("p_partkey", F.lower("p_name").alias("sort_name")).orderBy(F.asc_nulls_last("sort_name"), "p_partkey").limit(30), "select p_partkey, lower(p_name) sort_name from part order by 2 nulls last, 1 limit 30")
+register("U-2", lambda s, d: posted(s, d).select("url", "discovered_by"), "select url, discovered_by from urls union all select url, 'copy' from copies where id >= 1000000", "copies")
+register("U-5", lambda s, d: artifacts.merged([frame(s, d, "files").where("source like '%1%'"), frame(s, d, "files").where("deleted")], ["id"]), "select id from files where source like '%1%' union select id from files where deleted", "files")
+register("K-3", lambda s, d: artifacts.sorted_by(frame(s, d, "part").select("p_partkey", F.lower("p_name").alias("sort_name")), [("sort_name", "ASC", "LAST"), ("p_partkey", "ASC", "FIRST")], 30), "select p_partkey, lower(p_name) sort_name from part order by 2 nulls last, 1 limit 30")
+
+
+
+def posted(s, d):
+    """The URLs of two artifact tables as the common table gets them."""
+    copies = frame(s, d, "copies").where("id >= 1000000")
+    return artifacts.cross_posted([(frame(s, d, "urls"), F.col("discovered_by"), F.col("first_seen"), F.col("last_seen")), (copies, "copy", F.col("first_seen"), F.col("last_seen"))])
+
 
 # -- text
 TEXT_URL = "https?://[^ \\t\\n\\r\"''<>\\]})\\\\,]+"

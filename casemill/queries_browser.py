@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from casemill.functions import browser as B
 from casemill.functions import codes
 from casemill.functions import scalars as S
-from casemill.operators import filters, matching, nested, records, system, tags, timeline
+from casemill.operators import artifacts, filters, matching, nested, records, system, tags, timeline
 from casemill.operators.filters import TableSpec
 from casemill.plans import plugins
 from casemill.plans.standins import frame, with_views
@@ -117,8 +117,8 @@ register("A-49", lambda s, d: system.facts(of("events", "event_id as id", "event
 register("A-49runs", lambda s, d: system.executions(of("lineitem", "l_partkey as path", "l_linenumber as runs", "l_orderkey as last_run")(s, d)), "select l_partkey path, sum(l_linenumber)::bigint runs, max(l_orderkey) last_run from lineitem group by 1")
 
 # -- joins, tags, sources, reports
-register("J-17b", lambda s, d: frame(s, d, "events").join(frame(s, d, "customer").selectExpr("c_custkey", "c_name as origin"), F.col("user_id") == F.col("c_custkey"), "left").select("event_id", "origin"), "select event_id, c_name origin from events left join customer on user_id = c_custkey")
-register("J-17c", lambda s, d: frame(s, d, "lineitem").join(frame(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_orderstatus"), "select l_orderkey, l_linenumber, o_orderstatus from lineitem join orders on l_orderkey = o_orderkey")
+register("J-17b", lambda s, d: artifacts.attached(frame(s, d, "events"), frame(s, d, "customer"), "user_id", "c_custkey", {"origin": "c_name"}).select("event_id", "origin"), "select event_id, c_name origin from events left join customer on user_id = c_custkey")
+register("J-17c", lambda s, d: artifacts.attached(frame(s, d, "lineitem"), frame(s, d, "orders"), "l_orderkey", "o_orderkey", {"o_orderstatus": "o_orderstatus"}, "inner").select("l_orderkey", "l_linenumber", "o_orderstatus"), "select l_orderkey, l_linenumber, o_orderstatus from lineitem join orders on l_orderkey = o_orderkey")
 NAME_RULES = [("known", 0, "Standard", "(?i)^standard"), ("known", 1, "Small", "(?i)small")]
 register("J-20", lambda s, d: matching.known_names(of("part", "p_partkey as id", "p_brand as key", "p_type as label")(s, d), s.createDataFrame([("Brand#11", "eleven"), ("Brand#23", "other")], "key string, name string"), NAME_RULES),
          "select p_partkey id, case when p_brand = 'Brand#11' then 'eleven' when p_brand = 'Brand#23' then 'other' when p_type ilike 'standard%' then 'Standard' when p_type ilike '%small%' then 'Small' end \"name\" from part")
