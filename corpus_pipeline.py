@@ -1,6 +1,8 @@
 """From raw documents to token digests: five stages, each on all that the one before has kept.
 
-Stages tell rows apart by doc_id and content, so null and tied doc_ids neither drop nor save another row.
+Stages tell rows apart by doc_id and content, so null and tied doc_ids neither drop nor save another row; of repeated
+rows (equal in all columns) the near-copy stage keeps one. Null texts are empty texts: never toxic or contaminated, near copies
+of one another. Empty tables give no rows. Columns beyond those of documents are not read and not kept.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.llm.bpe import bpe_digests
-from casemill.llm.common import read_table, shared_dir
+from casemill.llm.common import read_table, removed, shared_dir, workspace
 from casemill.llm.decontamination import contamination
 from casemill.llm.simhash import near_representatives
 from casemill.llm.suffix_dedup import without_repeats
@@ -70,11 +72,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents table. What a stage read and what it made on its way is removed once its result is written."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        path = f"{folder}/{k}-{name}"
+        with workspace(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            removed(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
 
 
