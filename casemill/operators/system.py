@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.functions.browser import profile_key
+from casemill.functions.browser import app_path, entry_name, profile_key
 
 # Profiles of the system itself; order of the facts of a system.
 SYSTEM_PROFILES = ("systemprofile", "localservice", "networkservice", "public", "default", "default user")
@@ -53,6 +53,49 @@ def facts(indicators: DataFrame, types: tuple[str, ...] = tuple(f"system:{f}" fo
     return indicators.where(F.col("type").isin(*types)).groupBy("type").agg(F.min_by("value", "id").alias("value")).select(place.alias("place"), "type", "value")
 
 
+# Indicator types of the browser and activity sections with their group (and label).
+BROWSER_TYPES = {
+    "browser:registered_browser": ("registered", ""), "browser:app_path": ("app_path", ""), "browser:home_page": ("setting", "Home Page"), "browser:search_page": ("setting", "Search Page"), "browser:search_scope": ("setting", "Search Scope: "),
+}
+ACTIVITY_TYPES = {
+    "recent_documents": "recent_docs", "recent_documents:image": "recent_images", "browser:typed_url": "typed_urls", "typed_paths": "typed_paths", "open_save_dialog_mru": "open_save_mru",
+    "open_save_dialog_last_visited": "open_save_last_visited", "user_activity:explorer_search": "explorer_searches",
+}
+
+
+def detected_browsers(indicators: DataFrame) -> DataFrame:
+    """A-49: (id, section, name, value, path): registered browsers, programs with an application path, home and search settings.
+
+    A registered browser is named by its value and left out without one; a program by the file in its key path, else
+    by its entry; a search scope by its entry.
+    """
+    kind = F.col("type")
+    section = F.coalesce(*[F.when(kind == t, g) for t, (g, _) in BROWSER_TYPES.items()])
+    entry = F.coalesce(entry_name(F.col("name"), kind, F.col("extra_json"), F.col("path")), F.lit(""))
+    value, path = F.coalesce("value", F.lit("")), F.coalesce("path", F.lit(""))
+    name = F.when(section == "registered", value).when(section == "app_path", F.coalesce(F.nullif(app_path(path), F.lit("")), entry))
+    for t, (_, text) in BROWSER_TYPES.items():
+        if text:
+            name = name.when(kind == t, F.concat(F.lit(text), entry) if text.endswith(": ") else F.lit(text))
+    rows = indicators.where(kind.isin(*BROWSER_TYPES)).select("id", section.alias("section"), name.alias("name"), F.when(section == "registered", F.lit("")).otherwise(value).alias("value"), path.alias("path"))
+    return rows.where("section <> 'registered' or name <> ''")
+
+
+def user_activity(indicators: DataFrame) -> DataFrame:
+    """A-49: (id, section, name, value, path) of recent documents, typed places, dialogs and searches."""
+    kind = F.col("type")
+    section = F.coalesce(*[F.when(kind == t, g) for t, g in ACTIVITY_TYPES.items()])
+    entry = F.coalesce(entry_name(F.col("name"), kind, F.col("extra_json"), F.col("path")), F.lit(""))
+    return indicators.where(kind.isin(*ACTIVITY_TYPES)).select("id", section.alias("section"), entry.alias("name"), F.coalesce("value", F.lit("")).alias("value"), F.coalesce("path", F.lit("")).alias("path"))
+
+
+def assisted_runs(indicators: DataFrame) -> DataFrame:
+    """A-49: (path, runs, focus_count, focus_time, last_run) of execution records; what executions() ranks."""
+    path = F.coalesce(extra("decoded_path"), F.col("value"), F.lit(""))
+    rows = indicators.where("type = 'execution:user_assist'")
+    return rows.select(path.alias("path"), *[F.expr("try_variant_get(try_parse_json(extra_json), '$.%s', 'long')" % f).alias(n) for f, n in (("run_count", "runs"), ("focus_count", "focus_count"), ("focus_time", "focus_time"))], extra("last_run").alias("last_run"))
+
+
 def executions(runs: DataFrame, top: int | None = None) -> DataFrame:
     """A-49: (path, runs, last_run): programs by their runs, most first; top: a report's length."""
     ranked = runs.groupBy("path").agg(F.sum("runs").alias("runs"), F.max("last_run").alias("last_run")).orderBy(F.desc_nulls_last("runs"), "path")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from casemill.functions import codes
 from casemill.functions import scalars as S
-from casemill.operators import artifacts, filters, matching, similarity, tags, textmine, urls
+from casemill.operators import artifacts, filters, matching, similarity, system, tags, textmine, urls
 from casemill.operators.filters import TableSpec
 from casemill.plans.standins import frame, with_views
 from casemill.queries import ALL_OPS, RULES, pattern_sql, posted
@@ -111,6 +111,12 @@ register("X-3all", lambda s, d: frame(s, d, "pages").select("page_id", F.explode
 STORED = lambda s, d: frame(s, d, "documents").selectExpr("cast(doc_id as string) as origin", "concat('session_', lang) as key", "text as value")
 register("X-5all", lambda s, d: STORED(s, d).select("origin", textmine.token_type(F.col("key"), F.col("value")).alias("token")), "select doc_id::varchar origin, case when length(text) >= 20 then case when regexp_matches(text, 'eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]*') then 'jwt' when regexp_matches(text, 'Ew[AB][A-Za-z0-9+/=_-]{50,}') then 'ms_oauth' when lang is not null then 'session' when regexp_matches(text, '^[A-Za-z0-9_-]{64,}$') then 'unknown' end end token from documents")
 register("X-7all", lambda s, d: textmine.tokens(STORED(s, d)).select("token_hash", "origin"), "select sha256(text) token_hash, min(doc_id::varchar) origin from documents where length(text) >= 20 and lang is not null group by 1")
+FOUND = f"select doc_id, 'url' kind, rtrim(u, '.,;:!?') found from (select doc_id, unnest(regexp_extract_all(text, '{URL_SQL}', 0, 'i')) u from documents)"
+register("X-1all", lambda s, d: textmine.analysed(STORED(s, d)).select("origin", "kind", F.md5(F.col("found").cast("binary")).alias("digest")),
+         f"select doc_id::varchar origin, kind, md5(found) digest from ({FOUND} union all select doc_id, 'email', email from (select doc_id, unnest(regexp_extract_all(text, '{EMAIL_SQL}')) email from documents) where {NOT_SQL} and length(regexp_extract(email, '[^@]*$')) >= 4 union all select doc_id, 'token', text from documents where length(text) >= 20 and lang is not null)")
+SEEN = "concat(repeat('pad ', o_orderkey % 80), case o_orderkey % 3 when 0 then '1700000000123 ' when 1 then '1700000001 ' else '2024-05-06T07:08:09 ' end, repeat('.', o_orderkey % 7 * 60), ' http://x.example/', o_orderkey)"
+register("X-8near", lambda s, d: textmine.url_times(frame(s, d, "orders").selectExpr("o_orderkey as id", f"{SEEN} as text")),
+         f"select id, strpos(text, 'http')::int at_, case when strpos(text, 'http') - 1 - p <= 200 then found end found from (select o_orderkey id, {SEEN} as text, o_orderkey % 80 * 4 p, case o_orderkey % 3 when 0 then '1700000000123' when 1 then '1700000001' else '2024-05-06T07:08:09' end found from orders)".replace("at_", '\"at\"'))
 JSON = "concat('{\"a\":{\"b\":{\"c\":{\"d\":', o_orderkey, ',\"time\":', o_orderkey + 5, ',\"userId\":\"u', o_custkey, '\"}}},\"list\":[', o_custkey, ',{\"url\":\"http://x/', o_orderkey, '\"},[]],\"n\":null}')"
 register("X-2deep", lambda s, d: textmine.json_fields(frame(s, d, "orders").selectExpr("o_orderkey as id", f"{JSON} as doc"), "doc"), """
     select o_orderkey id, 'a.b.c.d' path, o_orderkey::varchar "value", null::varchar kind, (o_orderkey + 5)::varchar "at" from orders union all select o_orderkey, 'a.b.c.time', (o_orderkey + 5)::varchar, null, (o_orderkey + 5)::varchar from orders
@@ -147,6 +153,25 @@ register("H-7rules", lambda s, d: frame(s, d, "urls").select("id", S.registered_
     select id, case when n >= 2 and two = 'example.org' then case when n > 2 then three else two end when n >= 3 and two = 'example.net' and three <> 'www.example.net' then case when n > 3 then four else three end when n >= 3 and three = 'www.example.net' then three else two end site
     from (select id, lower(domain) host, len(string_split(domain, '.')) n, array_to_string(string_split(lower(domain), '.')[-2:], '.') two, array_to_string(string_split(lower(domain), '.')[-3:], '.') three, array_to_string(string_split(lower(domain), '.')[-4:], '.') four from urls)""", "urls")
 
+# -- the system report
+SYSTEM = "case o_orderkey % 9 when 0 then 'browser:registered_browser' when 1 then 'browser:app_path' when 2 then 'browser:home_page' when 3 then 'browser:search_scope' when 4 then 'recent_documents' when 5 then 'typed_paths' when 6 then 'execution:user_assist' when 7 then 'browser:typed_url' else 'other' end"
+
+
+def indicators(s, d):
+    return frame(s, d, "orders").selectExpr(
+        "o_orderkey as id", f"{SYSTEM} as type", "'n' as name", "case when o_orderkey % 2 = 0 then o_orderstatus else '' end as value", "concat('A/App Paths/', o_orderstatus, '.exe/v') as path",
+        "case when o_orderkey % 9 = 6 then concat('{\"decoded_path\":\"p', o_custkey, '\",\"run_count\":', o_orderkey, ',\"last_run\":\"d\"}') end as extra_json",
+    )
+
+
+VALUE = "case when o_orderkey % 2 = 0 then o_orderstatus else '' end"
+register("A-49browsers", lambda s, d: system.detected_browsers(indicators(s, d)).select("id", "section", "name", "value"), f"""
+    select * from (select o_orderkey id, case o_orderkey % 9 when 0 then 'registered' when 1 then 'app_path' else 'setting' end section, case o_orderkey % 9 when 0 then {VALUE} when 1 then o_orderstatus || '.exe' when 2 then 'Home Page' else 'Search Scope: n' end "name",
+    case o_orderkey % 9 when 0 then '' else {VALUE} end "value" from orders where o_orderkey % 9 < 4) where section <> 'registered' or "name" <> ''""")
+register("A-49activity", lambda s, d: system.user_activity(indicators(s, d)).select("id", "section", "name", "value"), f"select o_orderkey id, case o_orderkey % 9 when 4 then 'recent_docs' when 5 then 'typed_paths' else 'typed_urls' end section, 'n' \"name\", {VALUE} \"value\" from orders where o_orderkey % 9 in (4, 5, 7)")
+register("A-49assist", lambda s, d: system.executions(system.assisted_runs(indicators(s, d))), "select 'p' || o_custkey path, sum(o_orderkey)::bigint runs, 'd' last_run from orders where o_orderkey % 9 = 6 group by 1")
+register("H-7file", lambda s, d: frame(s, d, "urls").select("id", S.registered_domain(F.col("domain"), readers.suffix_rules(s, written(frame(s, d, "urls").select(F.regexp_extract("domain", "([^.]*)$", 1).alias("value")).distinct(), "suffixes"))).alias("site")), "select id, array_to_string(string_split(lower(domain), '.')[-2:], '.') site from urls", "urls")
+
 # -- counters and sessions
 COUNTERS = "to_json(map(event_type, n))"
 register("A-39maps", lambda s, d: artifacts.run_totals(frame(s, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).selectExpr(f"{COUNTERS} as discovered", "to_json(map(event_type, n - 1, 'all', n)) as ingested", "'{}' as failed", "cast(null as string) as skipped")),

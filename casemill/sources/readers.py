@@ -36,6 +36,12 @@ def pattern_list(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("trim(pattern) <> '' and not startswith(ltrim(pattern), '#')").select("list_name", "idx", F.trim("pattern").alias("pattern"), "is_regex")
 
 
+def suffix_rules(spark: SparkSession, path: str) -> list[str]:
+    """H-7: the rules of a public suffix list file, for registered_domain(); comments and empty lines are left out."""
+    lines = spark.read.text(path).select(F.lower(F.regexp_extract(F.trim("value"), r"^(\S*)", 1)).alias("rule"))
+    return [r.rule for r in lines.where("rule <> '' and not startswith(rule, '//')").distinct().orderBy("rule").collect()]  # some thousand lines
+
+
 def list_versions(spark: SparkSession, path: str, present: DataFrame) -> DataFrame:
     """S-4: (list_name, file, version, state): the digest of each list file, and whether it is new, changed or unchanged.
 
