@@ -33,6 +33,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 STEM = 4
 #: A task adds up the counts of so many words before it passes them on.
 HELD = 1_000_000
+#: Lists that words of equal counts are cut into.
+LISTS = 1024
 PRIOR = 12.0
 DRIFT = 0.7
 #: A segment is significant if fewer than so many (a half) as good are expected by chance.
@@ -57,17 +59,20 @@ def summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Counts:
-    """Documents of class 0 and 1 by hash; zero for a hash that was not counted."""
+    """Documents of class 0 and 1 by hash; zero for a hash that was not counted. Most words share their counts with many others."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        """hashes, counts (n, 2) of all words."""
         order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order].astype(np.float32)
+        kinds, code = np.unique(counts[:, 0].astype(np.int64) << 32 | counts[:, 1], return_inverse=True)
+        self.hashes, self.code = hashes[order], code[order].astype(np.uint16 if len(kinds) < 1 << 16 else np.uint32)
+        self.kinds = np.stack([kinds >> 32, kinds & 0xFFFFFFFF], 1).astype(np.float32)
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
             return np.zeros((len(hashes), 2), np.float32)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where((self.hashes[at] == hashes)[:, None], self.counts[at], np.float32(0))
+        return np.where((self.hashes[at] == hashes)[:, None], self.kinds[self.code[at]], np.float32(0))
 
 
 def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -114,7 +119,7 @@ class Model:
         self.rate = (docs[1] + 0.5) / (docs.sum() + 1.0)
         self.stems, self.words = stems, words
         base = np.log(self.rate / (1 - self.rate))
-        kinds, times = np.unique(words.counts.astype(np.float64), axis=0, return_counts=True)  # words of equal counts score alike
+        kinds, times = words.kinds.astype(np.float64), np.bincount(words.code, minlength=len(words.kinds))  # words of equal counts score alike
         s = np.log((kinds[:, 1] + PRIOR * self.rate) / (kinds[:, 0] + PRIOR * (1 - self.rate))) - base - DRIFT
         p = kinds[:, 0] * times / max(1.0, (kinds[:, 0] * times).sum())
         low, high = 0.0, 20.0
@@ -176,8 +181,13 @@ def count_tokens(docs: DataFrame, labels: DataFrame) -> Model:
         yield table(2, np.zeros(1, np.int64), docs_of)
 
     rows = docs.select("doc_id", "text").join(labels, "doc_id").select("doc_id", "text", "y").mapInArrow(run, "kind int, word long, n0 long, n1 long")
-    sums = rows.groupBy("kind", "word").agg(F.sum("n0").cast("int").alias("n0"), F.sum("n1").cast("int").alias("n1")).toArrow()
-    kind, word, counts = sums["kind"].to_numpy(), sums["word"].to_numpy(), np.stack([sums["n0"].to_numpy(), sums["n1"].to_numpy()], 1)
+    sums = rows.groupBy("kind", "word").agg(F.sum("n0").cast("int").alias("n0"), F.sum("n1").cast("int").alias("n1"))
+    # words of equal counts go to the driver in lists, cut by their hash: little more than eight bytes a word
+    lists = sums.groupBy("kind", "n0", "n1", F.pmod("word", F.lit(LISTS))).agg(F.collect_list("word").alias("words")).select("kind", "n0", "n1", "words").toArrow().combine_chunks()
+    words = lists["words"].combine_chunks()
+    sizes = words.value_lengths().to_numpy()
+    word, kind = words.flatten().to_numpy(), np.repeat(lists["kind"].to_numpy(), sizes)
+    counts = np.stack([np.repeat(lists[c].to_numpy(), sizes) for c in ("n0", "n1")], 1)
     return Model(*(Counts(word[kind == k], counts[kind == k]) for k in (0, 1)), counts[kind == 2].sum(0).astype(np.float64))
 
 
