@@ -335,7 +335,7 @@ register("A-36", lambda s, d: records.facets(frame(s, d, "files"), {"source": "s
 register("A-38", lambda s, d: artifacts.provenance(frame(s, d, "files"), "md5", "id", "source"), "select md5, arg_min(source, id) first_source, string_agg(distinct source, ',' order by source) sources, count(*) n from files group by 1", "files")
 register("W-4", lambda s, d: records.first_by(frame(s, d, "files").select("md5", "id", "source"), ["md5"], ["id"]), "select md5, min(id) id, arg_min(source, id) source from files group by 1", "files")
 register("S-14", lambda s, d: artifacts.content_addressed(frame(s, d, "files"), "md5", "id", ("file_path",)), "select md5, min(id) id, arg_min(file_path, id) file_path, count(*) discoveries from files group by 1", "files")
-register("A-39", lambda s, d: frame(s, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).groupBy("event_type").agg(F.sum("n").alias("n")), "select event_type, count(*)::bigint n from events group by 1")
+register("A-39", lambda s, d: artifacts.run_totals(frame(s, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).selectExpr("to_json(map(event_type, n)) as discovered"), ("discovered",)).select(F.col("item").alias("event_type"), "n"), "select event_type, count(*)::bigint n from events group by 1")
 register("A-40", lambda s, d: records.count_check(frame(s, d, "lineitem"), frame(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(4).alias("expected")), "l_orderkey", 0.3), "select o_orderkey l_orderkey, 4 expected, coalesce(n, 0) n, abs(coalesce(n, 0) - 4) <= 1.2 \"within\" from orders left join (select l_orderkey, count(*) n from lineitem group by 1) on l_orderkey = o_orderkey")
 register("A-43", lambda s, d: artifacts.counted(frame(s, d, "conversations"), "conv_id", "entries"), "select conv_id, count(*) entries from conversations group by 1")
 register("A-44", lambda s, d: records.roots(frame(s, d, "orders").selectExpr("o_custkey as root", "o_orderpriority as signal"), [1, 4, 7], 3), "select o_custkey root, string_agg(distinct o_orderpriority, ',' order by o_orderpriority) signals, count(distinct o_orderpriority) n from orders where o_custkey not in (1, 4, 7) group by 1 having count(distinct o_orderpriority) >= 3")

@@ -197,6 +197,14 @@ register("U-2seen", lambda s, d: posted(s, d), "select url, discovered_by, first
 # -- sources: files written from the tables
 register("S-2", lambda s, d: readers.hash_list(s, written(frame(s, d, "hashes").select(F.concat(F.upper("hash"), F.lit(", of "), "list_name").alias("value")), "hashes")).select("hash", "kind", "note"),
          "select hash, case length(hash) when 32 then 'md5' else 'sha256' end kind, 'of ' || list_name note from hashes", "hashes")
+def one_list(s, d):
+    path = new_folder(s, "list")
+    frame(s, d, "hashes").select(F.col("hash").alias("value")).coalesce(1).sortWithinPartitions("value").write.text(path)
+    return path
+
+
+register("S-4", lambda s, d: readers.list_versions(s, one_list(s, d), s.createDataFrame([], "list_name string, version string")).select("version", "state"), "select sha256(string_agg(hash || chr(10), '' order by hash)) \"version\", 'new' state from hashes", "hashes")
+register("S-5", lambda s, d: readers.batch_status(s, one_list(s, d), s.createDataFrame([], "list_name string"), "rename").select("entries", "bad", "status"), "select count(*)::int entries, 0 bad, 'imported' status from hashes", "hashes")
 register("S-3", lambda s, d: readers.pattern_list(s, written(frame(s, d, "documents").select(F.concat_ws("/", "lang", "source").alias("value")).distinct(), "patterns")).select("pattern", "is_regex"), "select distinct lang || '/' || source pattern, false is_regex from documents")
 register("S-6", lambda s, d: readers.listing(s, listed(s, d)).select("file_path", "file_name", "size_bytes", "md5_hash", "deleted"), "select file_path, regexp_extract(file_path, '[^/]*$') file_name, size_bytes, md5 md5_hash, deleted from files", "files")
 BODY = F.concat(F.lit("0|"), F.when(F.col("deleted"), F.lit("* ")).otherwise(F.lit("")), "file_path", F.lit("|"), F.col("id").cast("string"), F.lit("-128-1|r/rrwx|0|0|"), F.col("size_bytes").cast("string"), F.lit("|1600000000|1600000001|1600000002|"), (F.col("id") + 1500000000).cast("string"))
@@ -275,6 +283,11 @@ def daily(s, d):
 register("R-3", daily, "select ts::date \"day\", event_type kind, count(*) n from events group by 1, 2")
 
 
+# SQL for queries that are registered without it
+ORACLES["X-3"], ORACLES["X-4"] = ORACLES["X-3all"], ORACLES["X-4all"]
+ORACLES["X-2"] = "select event_id id, k path, json_extract_string(props, '$.' || k) \"value\", null::varchar kind, null::varchar \"at\" from (select event_id, props, unnest(json_keys(props)) k from events)"
+
+
 def queries():
     return dict(QUERIES)
 
