@@ -71,7 +71,7 @@ def batch_status(spark: SparkSession, path: str, names: DataFrame, policy: str)
     if policy not in ("skip", "overwrite", "rename"):
         raise ValueError(f"no such policy: {policy}")
     text = spark.read.text(path, wholetext=True).select(F.regexp_replace(S.file_name(F.col("_metadata.file_path")), r"\.[^.]*$", "").alias("list_name"), F.split("value", r"\r?\n").alias("lines"))
-    lines = F.filter(F.transform("lines", F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    lines = F.filter(F.transform("lines", lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
     good = F.filter("lines", lambda x: F.length(F.regexp_extract(x, r"^([0-9a-fA-F]+)(?:[,\s]|$)", 1)).isin(32, 40, 64))
     files = text.withColumn("lines", lines).select("list_name", F.size(good).alias("entries"), (F.size("lines") - F.size(good)).alias("bad"))
     stems = F.array_distinct(F.array("list_name", F.regexp_replace("list_name", r"_\d+$", "")))
