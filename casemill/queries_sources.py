@@ -207,8 +207,13 @@ register("S-4", lambda s, d: readers.list_versions(s, one_list(s, d), s.createDa
 register("S-5", lambda s, d: readers.batch_status(s, one_list(s, d), s.createDataFrame([], "list_name string"), "rename").select("entries", "bad", "status"), "select count(*)::int entries, 0 bad, 'imported' status from hashes", "hashes")
 register("S-3", lambda s, d: readers.pattern_list(s, written(frame(s, d, "documents").select(F.concat_ws("/", "lang", "source").alias("value")).distinct(), "patterns")).select("pattern", "is_regex"), "select distinct lang || '/' || source pattern, false is_regex from documents")
 register("S-6", lambda s, d: readers.listing(s, listed(s, d)).select("file_path", "file_name", "size_bytes", "md5_hash", "deleted"), "select file_path, regexp_extract(file_path, '[^/]*$') file_name, size_bytes, md5 md5_hash, deleted from files", "files")
-BODY = F.concat(F.lit("0|"), F.when(F.col("deleted"), F.lit("* ")).otherwise(F.lit("")), "file_path", F.lit("|"), F.col("id").cast("string"), F.lit("-128-1|r/rrwx|0|0|"), F.col("size_bytes").cast("string"), F.lit("|1600000000|1600000001|1600000002|"), (F.col("id") + 1500000000).cast("string"))
-register("S-8", lambda s, d: readers.body_file(s, written(frame(s, d, "files").select(BODY.alias("value")), "body")).select("file_path", "inode", "size_bytes", F.unix_timestamp("created_ts").alias("created"), "deleted"), "select file_path, id inode, size_bytes, id + 1500000000 created, deleted from files", "files")
+
+
+def body_line():
+    return F.concat(F.lit("0|"), F.when(F.col("deleted"), F.lit("* ")).otherwise(F.lit("")), "file_path", F.lit("|"), F.col("id").cast("string"), F.lit("-128-1|r/rrwx|0|0|"), F.col("size_bytes").cast("string"), F.lit("|1600000000|1600000001|1600000002|"), (F.col("id") + 1500000000).cast("string"))
+
+
+register("S-8", lambda s, d: readers.body_file(s, written(frame(s, d, "files").select(body_line().alias("value")), "body")).select("file_path", "inode", "size_bytes", F.unix_timestamp("created_ts").alias("created"), "deleted"), "select file_path, id inode, size_bytes, id + 1500000000 created, deleted from files", "files")
 register("S-9", lambda s, d: readers.feature_file(s, written(frame(s, d, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit("\t"), "url", F.lit("\tcontext")).alias("value")), "features"), "domain").select("offset", "feature", "context"), "select page_id \"offset\", regexp_replace(trim(url), '^(http|https|ftp)://', '') feature, 'context' context from pages")
 SWEPT = "https?://[a-zA-Z0-9][a-zA-Z0-9\\-._~:/?#\\[\\]@!$&''()*+,;=%]+"
 register("S-10", lambda s, d: readers.urls_in_files(s, written(frame(s, d, "pages").select(F.concat(F.lit("\x01"), F.upper("url"), F.lit("\x02"), "url", F.lit(" ")).alias("value")), "raw")).select("url"),

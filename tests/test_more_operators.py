@@ -145,3 +145,12 @@ def test_sort_options(spark):
     assert order("ASC", "LAST") == [3, 2, 1] and order("ASC", "FIRST") == [1, 3, 2] and order("DESC", "FIRST") == [1, 2, 3]
     with pytest.raises(KeyError):
         order("UP", "LAST")
+
+
+def test_entry_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; q = e.queries(); o = e.oracle_sql(); assert 'A-3' in q and set(o) <= set(q); print(len(q), len(o))"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, check=True)
