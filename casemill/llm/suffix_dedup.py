@@ -181,7 +181,7 @@ def often(names: DataFrame) -> list[int]:
     names has counts of pieces (name, n), where a piece leaves out what is below an eighth of a share of its own, and
     a row without a name for its total. By this rule there are at most eight names for each shuffle partition.
     """
-    sums = names.groupBy("name").agg(F.sum("n").alias("n"))
+    sums = staged(names.groupBy("name").agg(F.sum("n").alias("n")), "names")
     total = sums.where("name is null").agg(F.sum("n")).first()[0] or 0
     return sorted(r["name"] for r in sums.where("name is not null").where(F.col("n") > total / (8 * partitions(names.sparkSession))).select("name").collect())
 
