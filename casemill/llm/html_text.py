@@ -44,7 +44,7 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta source trac
 INLINE_TAGS = frozenset("p b i a span em strong".split())
 AROUND_WORDS = frozenset("ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice notices notification popup promo promoted related respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget contentinfo complementary".split())
 #: Words that leave the meaning of the others in a name as it is.
-NEUTRAL_WORDS = frozenset("area bar block body bottom box button buttons container content count footer form group header icon icons inner item items left links list main outer page panel right row section site slot thread top unit wrap wrapper".split())
+NEUTRAL_WORDS = frozenset("action actions all area article articles bar block body bottom box button buttons card container content count desktop fixed float footer form global group header heading icon icons inline inner item items label large latest left link links list main mobile more new outer page panel popular post posts primary reader readers recent right row secondary section signup site slot small sticky stories story thread title top unit user users wrap wrapper".split())
 NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 STOP = re.compile(r"=\s*([\"'])|>")
 RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW_TAGS}

@@ -130,6 +130,8 @@ def test_suffix_arrays():
 
 def test_parts_of_names(spark):
     article = '<article><p>one</p><div class="share-price">Prices rose</div><section id="related-work">Others wrote</section><div class="comment-on-law">essay</div><div class="share-buttons">Send it</div></article>'
+    for name, kind in (("reader-comments", 0), ("article-comments top", 0), ("post_comment-12", 0), ("sidebar-left", 0), ("comment-body", 0), ("commentary", ARTICLE), ("advice", ARTICLE), ("notice-period", 3), ("big notice", 0)):
+        assert blocks(f'<article><div class="{name}">x</div></article>') == [(kind, "x")], name
     box = '<div class="newsletter-offer">Write to us and read more every week of the year</div>'
     rows = [(1, "http://a.example/1", article)] + [(k, f"http://b.example/{k}", f"<article><p>text {k}</p>{box}</article>") for k in (2, 3)] + [(4, "http://c.example/", f"<article><p>text</p>{box}</article>"), (None, "http://d.example/", "<article>no id</article>")]
     got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
