@@ -39,8 +39,8 @@ PRIOR = 12.0
 DRIFT = 0.7
 #: A segment is significant if fewer than so many (a half) as good are expected by chance.
 LOG_EXPECTED = float(np.log(0.5))
-#: Bins of the calibration histogram for each unit of the log.
-BINS = 32
+#: Bins of the calibration histogram for each unit of the value; a value that is as good as certain, which larger ones equal.
+BINS, SURE = 4, 50.0
 CLASSES = 4  # of the learnable rows, one in so many fits the curve only
 
 
@@ -235,11 +235,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, carried
     fit, tune = crc_of_id() / 3 % CLASSES >= 1, crc_of_id() / 3 % CLASSES < 1
     model = count_tokens(docs, learnable(labels, "toxic", ~held_out & fit))
     values = staged(segment_values(docs, model, carried), "toxicity")
-    # fitted and applied on one scale, the log of the value; the bins of its histogram grow with the log of the longest text
-    bins = values.join(learnable(labels, "toxic", ~held_out & tune), "doc_id").groupBy(F.round(F.log1p("value") * BINS).alias("x")).agg(F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1")).collect()
+    # fitted and applied on one scale, the log of the value up to SURE
+    sure = F.least(F.col("value"), F.lit(SURE))
+    bins = values.join(learnable(labels, "toxic", ~held_out & tune), "doc_id").groupBy(F.round(sure * BINS).alias("x")).agg(F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1")).collect()
     if bins and sum(r["n1"] for r in bins):
-        slope, cut = logistic(*(np.array([r[c] for r in bins], float) / d for c, d in (("x", BINS), ("n0", 1), ("n1", 1))))
+        x, n0, n1 = (np.array([r[c] for r in bins], float) for c in ("x", "n0", "n1"))
+        slope, cut = logistic(np.log1p(x / BINS), n0, n1)
     else:
         slope, cut = 0.0, float(np.log(max(model.rate, 1e-6) / (1 - model.rate)))
-    score = 1 / (1 + F.exp(-(F.log1p("value") * slope + cut)))
+    score = 1 / (1 + F.exp(-(F.log1p(sure) * slope + cut)))
     return values.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "n_segments", *carried)

@@ -73,14 +73,15 @@ def brute_toxicity(docs, labels):
         logs = [math.log(max(1, len(s))) - decay * sum(s[a:b]) for a, b in found]
         return sum(math.log(0.5) - x for x in logs if x < math.log(0.5))
 
-    points = [(round(math.log1p(value(t)) * 32) / 32, tune[i]) for i, t in docs if i in tune]
+    sure = lambda t: min(value(t), 50)
+    points = [(math.log1p(round(sure(t) * 4) / 4), tune[i]) for i, t in docs if i in tune]
     w = np.zeros(2)
     for _ in range(400):  # ridge-regularised logistic regression, plain Newton steps
         x, y = np.array([(a, 1.0) for a, _ in points]), np.array([b for _, b in points])
         p = 1 / (1 + np.exp(-x @ w))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag([0.05, 0.01]), x.T @ (y - p) - np.array([0.05, 0.01]) * w)
         w += np.clip(step, -2, 2)
-    return [1 / (1 + math.exp(-(math.log1p(value(t)) * w[0] + w[1]))) for _, t in docs]
+    return [1 / (1 + math.exp(-(math.log1p(sure(t)) * w[0] + w[1]))) for _, t in docs]
 
 
 def brute_quality(docs, labels):
