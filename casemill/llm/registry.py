@@ -7,6 +7,8 @@ import uuid
 import public_tokenizers
 
 from casemill.llm.bpe import bpe_digests
+from casemill.llm.collocations import ORACLE as COLLOCATIONS_SQL
+from casemill.llm.collocations import collocations
 from casemill.llm.common import made, read_table, shared_dir, staged
 from casemill.llm.decontamination import ORACLE as CONTAMINATION_SQL
 from casemill.llm.decontamination import contamination
@@ -64,9 +66,13 @@ def op10_bpe(spark, sf_dir):
     return bpe_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_simhash, op4_quality, op5_toxicity, op6_decontamination, op7_token_files, op8_fingerprints, op9_html_text, op10_bpe)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_simhash, op4_quality, op5_toxicity, op6_decontamination, op7_token_files, op8_fingerprints, op9_html_text, op10_bpe, op11_collocations)}
 
 
 def oracle_sql():
-    return {"op6_decontamination": CONTAMINATION_SQL}
+    return {"op6_decontamination": CONTAMINATION_SQL, "op11_collocations": COLLOCATIONS_SQL}
