@@ -19,7 +19,10 @@ from casemill.llm.simhash import near_duplicates
 from casemill.llm.suffix_dedup import repeat_digests
 from casemill.llm.token_counts import token_counts
 from casemill.llm.token_files import token_file_digests, write_token_files
+from casemill.llm.topk_search import ORACLE as TOP_SQL
+from casemill.llm.topk_search import top_products
 from casemill.llm.toxicity import toxicity
+from casemill.llm.whitening import whitening
 
 
 def op1_suffix_dedup(spark, sf_dir):
@@ -70,9 +73,17 @@ def op11_collocations(spark, sf_dir):
     return collocations(read_table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark, sf_dir):
+    return whitening(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_top_products(spark, sf_dir):
+    return top_products(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_simhash, op4_quality, op5_toxicity, op6_decontamination, op7_token_files, op8_fingerprints, op9_html_text, op10_bpe, op11_collocations)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_simhash, op4_quality, op5_toxicity, op6_decontamination, op7_token_files, op8_fingerprints, op9_html_text, op10_bpe, op11_collocations, op12_whitening, op13_top_products)}
 
 
 def oracle_sql():
-    return {"op6_decontamination": CONTAMINATION_SQL, "op11_collocations": COLLOCATIONS_SQL}
+    return {"op6_decontamination": CONTAMINATION_SQL, "op11_collocations": COLLOCATIONS_SQL, "op13_top_products": TOP_SQL}

@@ -8,17 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCALE = 64
+#: Entries whose size times 64 is beyond this, more than any four-byte number gives, count as not finite.
+LIMIT = 2.0**134
 
 
 def scaled(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows that are usable, their lengths, and floor(64 * c) of all their components, one after the other.
 
-    A row is left out if its vector is null or empty or holds a null, non-finite or, times 64, infinite entry.
+    A row is left out if its vector is null or empty or holds a null or non-finite entry (or one beyond LIMIT).
     """
     flat = lists.flatten()
     values = np.floor(flat.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False) * SCALE)
     sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    bad = np.r_[0, np.cumsum(~np.isfinite(values))]
+    bad = np.r_[0, np.cumsum(~(np.abs(values) <= LIMIT))]
     ends = np.cumsum(sizes)
     good = (sizes > 0) & (bad[ends] == bad[ends - sizes])
     return np.flatnonzero(good), sizes[good], values[np.repeat(good, sizes)] + 0.0
@@ -37,6 +39,12 @@ def whole_vectors(table: DataFrame) -> DataFrame:
     return table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "vec_id long, size int, x binary")
 
 
+def common_size(rows: DataFrame) -> int:
+    """The length that most vectors have; of equally common ones the longer; 1 where there are none."""
+    sizes = rows.groupBy("size").count().orderBy(F.desc("count"), F.desc("size")).limit(1).collect()
+    return sizes[0]["size"] if sizes else 1
+
+
 def matrix(blobs: pa.Array, size: int) -> np.ndarray:
     """The vectors of a binary column, all of `size` components, as rows."""
     _, offsets, data = blobs.buffers()
@@ -53,13 +61,16 @@ def whole(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Exact products of rows of whole numbers (as doubles) with one another: doubles, longs or Python integers, as their size asks."""
-    most = float(np.abs(left).max(initial=0)) * float(np.abs(right).max(initial=0)) * left.shape[1]
-    if most < 2**24:
-        return (left.astype(np.float32) @ right.astype(np.float32).T).astype(np.float64)
-    if most < 2**53:
-        return left @ right.T
-    if most < 2**62:
-        return left.astype(np.int64) @ right.astype(np.int64).T
-    return whole(left) @ whole(right).T
+def exact_kind(most: float, size: int) -> str:
+    """The numbers in which inner products of vectors of that length with entries up to `most` are exact."""
+    largest = most * most * size
+    return "float32" if largest < 2**24 else "float64" if largest < 2**53 else "int64" if largest < 2**62 else "object"
+
+
+def products(left: np.ndarray, right: np.ndarray, kind: str | None = None) -> np.ndarray:
+    """Inner products of all rows of whole numbers (as doubles) with one another, without loss: doubles, longs or Python integers."""
+    kind = kind or exact_kind(float(max(np.abs(left).max(initial=0), np.abs(right).max(initial=0))), left.shape[1])
+    if kind == "object":
+        return whole(left) @ whole(right).T
+    found = left.astype(kind, copy=False) @ right.astype(kind, copy=False).T
+    return found if kind == "int64" else found.astype(np.float64, copy=False)
