@@ -3,7 +3,9 @@
 The symbols of many words lie in one flat array. Each round finds every word's lowest-rank pair, by binary
 search over sorted pair keys, and merges all its occurrences in that word; words without a known pair leave.
 Text is prepared as the vocabulary file says: NFC, white space to one space, lower case, then words by
-pattern; the two special strings are cut out first and keep their ids, as the library does by default.
+pattern; the two special strings are cut out first and keep their ids, as the library does by default. Letters, numbers,
+lower case and composition follow the library's own Unicode version: runs with a code point outside the STABLE ones,
+on which all versions agree, are normalised and cut into words by the library, each distinct run once.
 
 Cases: null and empty texts have no tokens (digests of the empty string). A very long text is one row of a
 piece of its own; a very long word takes more rounds over its own symbols only. Repeated rows and tied
@@ -21,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from casemill.llm.common import flat_bytes, pieces
 
@@ -32,6 +35,9 @@ RUNS = regex.compile(rf"[^{SPACE}]+")
 #: White space to str.split(), but not to the pattern.
 SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 
+#: Code points that no Unicode version composes, classes or lower-cases otherwise: Latin, punctuation and the euro sign.
+STABLE = r"\x{00}-\x{2ff}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{20ac}"
+
 NO_PAIR = np.int32(2**31 - 1)
 
 
@@ -65,6 +71,13 @@ class Vocabulary:
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.merged = np.array([ids[a + b] for a, b in pairs], np.int64)
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+        library = Tokenizer.from_file(path)
+        self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
+        self.byte_of = {ord(c): b for b, c in enumerate(symbols)}
+
+    def library_words(self, run: str) -> list[bytes]:
+        """The words of a run as the library normalises and cuts it."""
+        return [word.translate(self.byte_of).encode("latin-1") for word, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(run))]
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merge rank of each pair; NO_PAIR where the file has none."""
@@ -171,6 +184,12 @@ def encode_runs(v: Vocabulary, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     marked = np.flatnonzero(pc.starts_with(runs, " ").to_numpy(zero_copy_only=False))
     special = [v.special[runs[int(k)].as_py()[1:]] for k in marked]
     plain = pc.if_else(pc.starts_with(runs, " "), "", runs) if special else runs
+    odd = np.flatnonzero(pc.match_substring_regex(plain, f"[^{STABLE}]").to_numpy(zero_copy_only=False))
+    if len(odd):
+        own = [v.library_words(plain[int(k)].as_py()) for k in odd]
+        mask = np.zeros(len(plain), bool)
+        mask[odd] = True
+        plain = pc.if_else(pa.array(mask), "", plain)
     joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(plain)], pa.int32()), plain.cast(pa.string())), "\n")[0].as_py()
     words = pa.array(WORDS_AND_ENDS.findall(prepared(joined) + "\n"), pa.string()).dictionary_encode()
     codes = words.indices.to_numpy().astype(np.int64)
@@ -178,6 +197,12 @@ def encode_runs(v: Vocabulary, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ids, offsets = v.encode_words(words.dictionary)
     flat, ends = ragged_take(ids, offsets, np.delete(codes, stops))
     ends = np.r_[0, ends[stops - np.arange(len(stops))]]
+    if len(odd):
+        theirs, places = v.encode_words(pa.array([w for words in own for w in words], pa.binary()))
+        sizes = np.zeros(len(plain), np.int64)
+        sizes[odd] = np.diff(places[np.r_[0, np.cumsum([len(words) for words in own])]])
+        flat = np.insert(flat, np.repeat(ends[:-1], sizes), theirs)
+        ends = ends + np.r_[0, np.cumsum(sizes)]
     if special:
         flat = np.insert(flat, ends[marked], special)
         ends = ends + np.searchsorted(marked, np.arange(len(ends)), side="left")

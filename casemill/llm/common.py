@@ -148,7 +148,7 @@ def word_slices(text: str, size: int = 1 << 18):
 
 def flat_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of a string array as one uint8 array, with n + 1 offsets; null as empty."""
-    array = array.cast(pa.large_string()).fill_null("")
+    array = array.cast(pa.large_binary()).fill_null(b"")
     _, offsets, data = array.buffers()
     offs = np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1]
     if data is None or len(array) == 0:
