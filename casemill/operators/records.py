@@ -108,8 +108,8 @@ def paths(nodes: DataFrame) -> DataFrame:
 LINES = 100_000
 
 
-def log_entries(lines: DataFrame, header: Column) -> DataFrame:
-    """N-12: continuation lines joined to the header line before them.
+def log_entries(lines: DataFrame, header: Column, numbered_by_line: bool = False) -> DataFrame:
+    """N-12: continuation lines joined to the header line before them; numbered_by_line adds the number of that line.
 
     A file is numbered in blocks of lines: headers are counted by block, the counts added up along the file's few
     blocks, and the lines of a block numbered on from there. So a very long file is not one task.
@@ -121,4 +121,4 @@ def log_entries(lines: DataFrame, header: Column) -> DataFrame:
     order = Window.partitionBy("path", "block").orderBy("line")
     running = marked.withColumn("inside", F.sum("is_header").over(order)).join(before, F.col("path").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")))
     numbered = running.select("path", "line", "text", (F.col("before") + F.col("inside")).alias("entry")).where("entry > 0")
-    return numbered.groupBy("path", "entry").agg(F.count("*").alias("lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return numbered.groupBy("path", "entry").agg(*([F.min("line").alias("line")] if numbered_by_line else []), F.count("*").alias("lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -9,8 +10,6 @@ from pyspark.sql import functions as F
 
 from casemill.tables import table
 
-BANDS, WIDTH = 4, 16
-
 
 def _half(c: str, at: int):
     return F.conv(F.substring(c, at, 8), 16, 10).cast("long")
@@ -34,18 +33,77 @@ def near(images: DataFrame, target: DataFrame, radius: int) -> DataFrame:
     return images.crossJoin(F.broadcast(one)).withColumn("distance", distance("phash", "target")).where(F.col("distance") <= radius).drop("target")
 
 
-def near_pairs(images: DataFrame, radius: int) -> DataFrame:
-    """J-7: (a, b, distance) of distinct hashes within radius < 16: one of four bands differs in radius // 4 bits at most.
+#: Bits that are still compared, and the bands they are cut into; a band's bits are fixed for the level below.
+LEVELS = ((64, 4), (48, 4), (36, 4), (27, 3), (18, 3), (12, 2))
+#: Hashes that may lie under one value of a band before it is cut again.
+GROUP = 1000
+
+
+def _flips(width: int, most: int) -> list[int]:
+    return [sum(1 << i for i in c) for k in range(most + 1) for c in combinations(range(width), k)]
+
+
+def _budgets(radius: int, bands: int) -> list[int]:
+    """Bits that each band may differ in: hashes within the radius keep to the budget of one band at least (-1: not this one)."""
+    return [(radius + 1) // bands - 1 + (k < (radius + 1) % bands) for k in range(bands)]
+
+
+def _cut(rest: str, bits: int, bands: int) -> list[tuple]:
+    """(value, what is left) of each band of the low `bits` bits."""
+    width, out = bits // bands, []
+    for k in range(bands):
+        shift = bits - width * (k + 1)
+        value = F.shiftrightunsigned(rest, shift).bitwiseAND(F.lit((1 << width) - 1))
+        above = F.shiftrightunsigned(rest, shift + width) if k else F.lit(0).cast("long")
+        out.append((value, F.shiftleft(above, shift).bitwiseOR(F.col(rest).bitwiseAND(F.lit((1 << shift) - 1)))))
+    return out
+
 
-    One side probes each band with every value that near, the other lies under its own; copies share a hash.
+def _place(k: int, value, rest, width: int, *more):
+    return F.struct((F.col("path") * 4 + k).alias("path"), F.shiftleft("fixed", width).bitwiseOR(value).alias("fixed"), rest.alias("rest"), *more)
+
+
+def _probe(k: int, value, rest, width: int):
+    return lambda f: _place(k, value.bitwiseXOR(f), rest, width, (F.col("left") - F.bit_count(f)).alias("left"))
+
+
+def near_pairs(images: DataFrame, radius: int, group: int = GROUP) -> DataFrame:
+    """J-7: (a, b, distance) of distinct hashes within the radius: one of four bands keeps to its budget of differing bits.
+
+    One side probes each band with every value that near, the other lies under its own; copies share a hash. A value
+    that more than `group` hashes share is cut again: the bits beside it into bands, with the budget that the probe has
+    left, and so on, so no join key holds more than that (or 64, when all other bits are fixed).
     """
-    flips = [sum(1 << i for i in c) for k in range(radius // BANDS + 1) for c in combinations(range(WIDTH), k)]
     hashes = images.where(F.col("phash").rlike("^[0-9a-fA-F]{16}$")).select(F.lower("phash").alias("phash")).distinct()
-    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.conv(F.substring("phash", 4 * k + 1, 4), 16, 10).cast("int").alias("value")) for k in range(BANDS)])
-    own = hashes.select(F.col("phash").alias("b"), F.explode(bands).alias("x")).select("b", "x.*")
-    probes = own.select(F.col("b").alias("a"), "band", F.explode(F.transform(F.array(*[F.lit(f) for f in flips]), lambda f: F.col("value").bitwiseXOR(f))).alias("value"))
-    found = probes.join(own, ["band", "value"]).where("a < b").withColumn("distance", distance("a", "b")).where(F.col("distance") <= radius)
-    return found.select("a", "b", "distance").distinct()
+    start = hashes.select(F.shiftleft(_half("phash", 1), 32).bitwiseOR(_half("phash", 9)).alias("h"))
+    own = start.select("h", F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("fixed"), F.col("h").alias("rest"))
+    probes, found = own.withColumn("left", F.lit(radius)), []
+    for level, (bits, bands) in enumerate(LEVELS):
+        width = bits // bands
+        cut = _cut("rest", bits, bands)
+        own = own.select("h", F.explode(F.array(*[_place(k, v, rest, width) for k, (v, rest) in enumerate(cut)])).alias("x")).select("h", "x.*")
+        ways = []
+        for k, (value, rest) in enumerate(cut):
+            tries = F
+            for left in range(radius + 1):
+                tries = tries.when(F.col("left") == left, F.array(*[F.lit(f).cast("long") for f in _flips(width, _budgets(left, bands)[k])]).cast("array<bigint>"))
+            ways.append(F.transform(tries, _probe(k, value, rest, width)))
+        probes = probes.select("h", F.explode(F.flatten(F.array(*ways))).alias("x")).select("h", "x.*")
+        calm_own, calm_probes, hot = own, probes, None
+        if level + 1 < len(LEVELS):
+            large = own.groupBy("path", "fixed").count().where(F.col("count") > group).select("path", "fixed")
+            if not large.isEmpty():
+                hot = [table(df.join(large, ["path", "fixed"], "left_semi"), "hot-bands") for df in (own, probes)]
+                calm_own, calm_probes = (df.join(large, ["path", "fixed"], "left_anti") for df in (own, probes))
+        a, b = calm_probes.select(F.col("h").alias("a"), "path", "fixed"), calm_own.select(F.col("h").alias("b"), "path", "fixed")
+        order = [F.col(c).bitwiseXOR(F.lit(-(2**63))) for c in ("a", "b")]
+        pairs = a.join(b, ["path", "fixed"]).where(order[0] < order[1]).withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
+        found.append(pairs.where(F.col("distance") <= radius).select("a", "b", "distance"))
+        if hot is None:
+            break
+        own, probes = hot
+    text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0")).alias(c)
+    return reduce(DataFrame.union, found).distinct().select(text("a"), text("b"), "distance")
 
 
 def leader_clusters(images: DataFrame, radius: int) -> DataFrame:
@@ -66,6 +124,12 @@ def leader_clusters(images: DataFrame, radius: int) -> DataFrame:
     return images.withColumn("h", F.lower("phash")).join(named, "h").select("id", "phash", "leader", distance("h", "leader").alias("distance"))
 
 
+def cluster_sources(clusters: DataFrame, browser: DataFrame) -> DataFrame:
+    """C-1: clusters with their number of members and whether one of them (browser: its ids) came from a browser."""
+    marked = clusters.join(browser.select("id", F.lit(True).alias("of_browser")).distinct(), "id", "left")
+    return marked.groupBy("leader").agg(F.count("*").alias("n"), F.max(F.coalesce("of_browser", F.lit(False))).alias("has_browser_source"))
+
+
 def cluster_sizes(clusters: DataFrame) -> DataFrame:
     """K-4."""
     return clusters.groupBy("leader").agg(F.count("*").alias("n"), F.max("distance").alias("widest")).orderBy(F.desc("n"), "leader")

@@ -105,7 +105,16 @@ def stats(events: DataFrame) -> DataFrame:
 
 
 def gaps(events: DataFrame, hours: float, by: list[str], latest: int = 20) -> DataFrame:
-    """W-1: pauses of at least so many hours, newest first."""
-    before = F.lag("ts").over(Window.partitionBy(*by).orderBy("ts"))
-    rows = events.select(*by, before.alias("start"), F.col("ts").alias("end")).where("start is not null")
+    """W-1: pauses of at least so many hours (rounded to two places), newest first.
+
+    Time is cut into spans a little shorter than such a pause, so a pause lies between two spans. Events are brought down
+    to the first and last of each span before anything is shuffled or put in order; one source with all the rows
+    is no more than its spans.
+    """
+    span = int((hours - 0.005) * 3600)
+    if span < 1:
+        raise ValueError("pauses are of 0.006 hours at least")
+    spans = events.where("ts is not null").groupBy(*by, F.floor(F.unix_timestamp("ts") / span).alias("span")).agg(F.min("ts").alias("end"), F.max("ts").alias("last"))
+    before = F.lag("last").over(Window.partitionBy(*by).orderBy("span"))
+    rows = spans.select(*by, before.alias("start"), "end").where("start is not null")
     return rows.withColumn("hours", F.round((F.unix_timestamp("end") - F.unix_timestamp("start")) / 3600, 2)).where(F.col("hours") >= hours).orderBy(F.desc("end"), *by).limit(latest)

@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from casemill import queries, queries_browser, queries_sources
+from casemill import queries, queries_browser, queries_case, queries_sources
 
 SF = "/root/testdata/sf0.001"
-QUERIES = {**queries.queries(), **queries_browser.queries(), **queries_sources.queries()}
-ORACLES = {**queries.oracle_sql(), **queries_browser.oracle_sql(), **queries_sources.oracle_sql()}
+QUERIES = {**queries.queries(), **queries_browser.queries(), **queries_sources.queries(), **queries_case.queries()}
+ORACLES = {**queries.oracle_sql(), **queries_browser.oracle_sql(), **queries_sources.oracle_sql(), **queries_case.oracle_sql()}
 
 
 def plain(rows, names):
