@@ -13,6 +13,8 @@ from casemill.functions import scalars as S
 
 #: A list up to this many rows is broadcast.
 BROADCAST_ROWS = 100_000
+#: The expression of a rule that fits nothing.
+NOTHING = "(?!)"
 #: Up to so many rules become CASE expressions, in groups of so many behind one folded test.
 FLAT, GROUP = 200, 50
 
@@ -26,26 +28,40 @@ def literal(text: str) -> str:
 
 
 def url_rule(pattern: str, is_regex: bool) -> str:
-    """The regular expression of a URL pattern: as it is, anchored wildcards, or a substring; without case. A broken one fits nothing."""
+    """The regular expression of a URL pattern: as it is, anchored wildcards, or a substring; without case. A broken one fits nothing.
+
+    Regular expressions are Python's, whatever the length of the list.
+    """
     if is_regex:
         try:
-            re.compile(pattern)
-        except re.error:
-            return "(?!)"
-        return f"(?i){pattern}"
+            compiled(f"(?i){pattern}")
+        except (re.error, RecursionError, OverflowError):
+            return NOTHING
+        return f"(?i){pattern}" if pattern.isascii() else f"(?i){pattern}(?:)"  # not to be taken for a substring, which folds ASCII only
     return S.fnmatch_regex(pattern) if "*" in pattern or "?" in pattern else f"(?i){literal(pattern)}"
 
 
+def is_plain(pattern: str, regex: str) -> bool:
+    """Whether a rule is a substring or a wildcard without classes, which mean the same to Spark and to Python."""
+    return regex == f"(?i){literal(pattern)}" or "[" not in pattern and regex == S.fnmatch_regex(pattern)
+
+
 def match_patterns(rows: DataFrame, text: str, rules: list[tuple[str, int, str, str]]) -> DataFrame:
     """J-2, J-4, W-3: (id, list_name, pattern): the first pattern in file order of each list that fits.
 
-    rules: (list_name, idx, pattern, regular expression); letters are compared without case where they are ASCII. Rows
-    are read once and neither joined nor shuffled. Short lists become flat CASE expressions; for longer ones, of any
-    length, an automaton finds all literal patterns in one pass over the text.
+    rules: (list_name, idx, pattern, regular expression); letters are compared without case where they are ASCII (in
+    regular expressions all are). Rows are neither joined nor shuffled. Lists of substrings and wildcards become flat CASE
+    expressions as long as they are short; longer ones, and every list with a regular expression, go through Python
+    in Arrow batches: an automaton finds all literal patterns in one pass, and regular expressions share one alternation.
     """
-    if len(rules) <= FLAT:
+    other = {name for name, _, pattern, regex in rules if not is_plain(pattern, regex)}
+    short = [r for r in rules if r[0] not in other]
+    if len(short) > FLAT:
+        return _by_automaton(rows, text, rules)
+    if not other:
         return _by_cases(rows, text, rules)
-    return _by_automaton(rows, text, rules)
+    rest = _by_automaton(rows, text, [r for r in rules if r[0] in other])
+    return _by_cases(rows, text, short).union(rest) if short else rest
 
 
 def _by_cases(rows: DataFrame, text: str, rules: list[tuple[str, int, str, str]]) -> DataFrame:
@@ -62,6 +78,11 @@ def _by_cases(rows: DataFrame, text: str, rules: list[tuple[str, int, str, str]]
     return rows.select("id", F.explode(F.array(*found)).alias("m")).where("m.pattern is not null").select("id", "m.*")
 
 
+def compiled(regex: str) -> re.Pattern:
+    """A rule's expression; its leading mark is the flag, so that flags of its own may follow."""
+    return re.compile(regex[4:], re.I) if regex.startswith("(?i)") else re.compile(regex)
+
+
 class Rules:
     """The rules of one list: an automaton over literal patterns and literal parts of wildcards, and what has no such part."""
 
@@ -72,13 +93,19 @@ class Rules:
         self.tests: list = []
         anchors: dict[str, list[int]] = {}
         self.free: list[int] = []
+        joined: list[int] = []
         for place, (_, pattern, regex) in enumerate(sorted(own, key=lambda r: r[0])):
             plain = regex == f"(?i){literal(pattern)}"
             wild = regex == S.fnmatch_regex(pattern)
             anchor = pattern if plain else max(re.split(r"[*?\[\]]", pattern), key=len) if wild and "[" not in pattern else ""
-            self.tests.append(None if plain else re.compile(regex, re.A))
+            test = None if plain else re.compile(regex, re.A) if wild else compiled(regex)
+            self.tests.append(test)
             if anchor:
                 anchors.setdefault(lowered(anchor), []).append(place)
+            elif regex == NOTHING:
+                continue
+            elif test is not None and not wild and regex.startswith("(?i)") and not test.groups and not re.match(r"\(\?[a-zA-Z]+\)", regex[4:]):
+                joined.append(place)  # no groups and no flags of its own: it means the same inside an alternation
             else:
                 self.free.append(place)
         self.automaton = ahocorasick.Automaton()
@@ -86,12 +113,22 @@ class Rules:
             self.automaton.add_word(anchor, places)
         if anchors:
             self.automaton.make_automaton()
+        by_place = {place: regex[4:] for place, (_, _, regex) in enumerate(sorted(own, key=lambda r: r[0]))}
+        self.joined = [(part, re.compile("|".join(f"(?:{by_place[p]})" for p in part), re.I)) for part in (joined[k : k + GROUP] for k in range(0, len(joined), GROUP))]
 
     def first(self, text: str) -> str | None:
         candidates = set(self.free)
         for _, places in self.automaton.iter(lowered(text)) if len(self.automaton) else ():
             candidates.update(places)
-        return next((self.patterns[p] for p in sorted(candidates) if self.tests[p] is None or self.tests[p].search(text)), None)
+        best = next((p for p in sorted(candidates) if self.tests[p] is None or self.tests[p].search(text)), None)
+        for part, any_of in self.joined:  # in file order; single expressions are tried where one of the part fits
+            if best is not None and part[0] > best:
+                break
+            if any_of.search(text):
+                hit = next(p for p in part if self.tests[p].search(text))
+                best = hit if best is None else min(best, hit)
+                break
+        return None if best is None else self.patterns[best]
 
 
 def lowered(text: str) -> str:

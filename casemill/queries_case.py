@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casemill.operators import links, logs, merging, similarity, timeline
-from casemill.plans.standins import frame, with_views
+from casemill.operators import domains, drift, links, logs, matching, merging, similarity, timeline
+from casemill.plans.standins import SPELLINGS, VIEWS, frame, with_views
 from casemill.queries import prints
+from casemill.queries_sources import new_folder, written
+from casemill.sources import listings, readers
+from casemill.streaming import feeds
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -45,8 +48,6 @@ register("A-5counts", lambda s, d: merge(s, d).counts, MERGED + "select count(*)
 register("A-5matches", lambda s, d: merge(s, d).matches, MERGED + "select distinct coalesce(s.kept, r.id) id, case when r.id % 2 = 0 then 'even' else 'third' end list_name from rows r left join scoped s on s.id = r.id where r.id % 2 = 0 or r.id % 3 = 0")
 register("A-5tags", lambda s, d: merge(s, d).associations, MERGED + "select distinct 't' || r.id % 5 tag, 'url' artifact_type, coalesce(s.kept, r.id) artifact_id from rows r left join scoped s on s.id = r.id")
 for name in ("A-5merged", "A-5counts", "A-5matches", "A-5tags"):
-    from casemill.plans.standins import SPELLINGS, VIEWS
-
     ORACLES[name] = ORACLES[name].replace("{urls}", VIEWS["urls"].format(**SPELLINGS["duckdb"])).replace("{copies}", VIEWS["copies"].format(**SPELLINGS["duckdb"]))
 
 # -- J-14, J-15, J-16, J-8
@@ -123,6 +124,141 @@ register("N-12urls", lambda s, d: logs.debug_urls(logs.debug_entries(log_lines(s
     [struct_pack(pos := 0, url := script, context := 'console_source'), struct_pack(pos := 1, url := body, context := 'message_body')] else [struct_pack(pos := 0, url := body, context := 'message_body'), struct_pack(pos := 1, url := script, context := 'message_body'), struct_pack(pos := 2, url := body, context := 'message_body')] end) u from ({DUCK_LOG})))
     select path, url, arg_min(context, "at") context, arg_min(severity, "at") severity, arg_min(source, "at") source, arg_min(seen, "at") first_seen, arg_max(seen, "at") last_seen, count(*) n from uses group by 1, 2""")
 
+# -- J-2 with lists of regular expressions, W-3 with a file name list
+REGEX_LISTS = [("numbers", "/[0-9]{3}$"), ("numbers", "page=(\\d)\\b"), ("hosts", "^https?://(?:m|www)\\."), ("hosts", "example\\.(org|net)/(en|de)"), ("hosts", "[?]ref=.")]
+REGEX_RULES = [(name, k, p, matching.url_rule(p, True)) for k, (name, p) in enumerate(REGEX_LISTS)]
+
+
+def first_of(column: str, rules, table: str) -> str:
+    """DuckDB SQL of the first expression of each list that fits a column."""
+    cases = {name: " ".join(f"when regexp_matches({column}, '{p}', 'i') then '{p}'" for n, _, p, _ in rules if n == name) for name in sorted({r[0] for r in rules})}
+    return " union all ".join(f"select id, '{name}' list_name, case {case} end pattern from {table}" for name, case in cases.items())
+
+
+register("J-2regex", lambda s, d: matching.match_patterns(frame(s, d, "copies"), "url", REGEX_RULES), f"select * from ({first_of('url', REGEX_RULES, 'copies')}) where pattern is not null", "copies")
+FILE_REGEXES = [(name, k, p, matching.url_rule(p, True)) for k, (name, p) in enumerate([("papers", "/en/f[0-9]*0\\.pdf$"), ("papers", "\\.PDF$"), ("packed", "src1[0-9]?/.*\\.(zip|gz)$")])]
+register("W-3regex", lambda s, d: matching.match_patterns(frame(s, d, "files"), "file_path", FILE_REGEXES), f"select * from ({first_of('file_path', FILE_REGEXES, 'files')}) where pattern is not null", "files")
+
+
+# -- S-10 in ranges: pages' URLs in one raw file, cut every 997 bytes
+def raw_file(s, d):
+    path = new_folder(s, "raw")
+    frame(s, d, "pages").select("page_id", F.concat(F.lit("\x01"), "url", F.lit("\x02\xff"), F.upper("url"), F.lit(" x http://in.example.com/?u="), "url", F.lit(" ")).alias("value")).coalesce(1).sortWithinPartitions("page_id").select("value").write.text(path)
+    return path
+
+
+SWEPT = "https?://[a-zA-Z0-9][a-zA-Z0-9\\-._~:/?#\\[\\]@!$&''()*+,;=%]+"
+register("S-10ranges", lambda s, d: readers.urls_in_files(s, raw_file(s, d), 997).select("offset", "url"), f"""
+    with x as (select page_id, url, octet_length(encode(chr(1) || url || chr(2) || chr(255) || upper(url) || ' x http://in.example.com/?u=' || url || ' ')) + 1 size, octet_length(encode(url)) n from pages),
+    p as (select *, sum(size) over (order by page_id) - size at0 from x), u as (select unnest([struct_pack(o := at0 + 1, u := url), struct_pack(o := at0 + n + 4, u := upper(url)), struct_pack(o := at0 + 2 * n + 7, u := 'http://in.example.com/?u=' || url)], recursive := true) from p)
+    select o::bigint "offset", u url from u where regexp_full_match(u, '{SWEPT}', 'i') and len(list_distinct(string_split(u, ''))) >= 10 and length(u) > 10 and length(u) < 2048""")
+
+
+# -- S-6, S-7: a third of the files in each of three listings
+def listing_files(s, d):
+    path, rows = new_folder(s, "listings"), frame(s, d, "files")
+    size, gone = F.col("size_bytes").cast("string"), F.when(F.col("deleted"), "Yes").otherwise("No")
+    name = F.regexp_extract("file_path", "([^/]*)$", 1)
+    tab = rows.where("id % 3 = 0").select(name.alias("Filename"), F.col("file_path").alias("Full Path"), size.alias("Size (bytes)"), F.lit("2024-01-02 03:04:05").alias("Created"), F.lit("").alias("Modified"), F.lit("").alias("Accessed"), gone.alias("Is Deleted"))
+    tab.repartition(2).write.csv(f"{path}/a", sep="\t", header=True, encoding="UTF-16LE")
+    comma = rows.where("id % 3 = 1").select(F.concat(F.lit("x, "), name).alias("Name"), F.col("file_path").alias("Full Path"), size.alias("File Size"), F.lit("01/02/2024 03:04:05").alias("Created Date"), F.lit("").alias("Modified Date"), gone.alias("Deleted"))
+    comma.write.csv(f"{path}/b", header=True)
+    other = rows.where("id % 3 = 2").select(F.col("md5").alias("MD5 sum"), F.col("file_path").alias("Location path"), size.alias("Byte size"))
+    other.write.csv(f"{path}/c", sep=";", header=True)
+    return f"{path}/*/*.csv"
+
+
+register("S-6files", lambda s, d: listings.listings(s, listing_files(s, d)).select("profile", "file_path", "file_name", "size_bytes", F.unix_timestamp("created_ts").alias("created"), "md5_hash", "deleted"), """
+    select case id % 3 when 0 then 'tab' when 1 then 'comma' else 'generic' end profile, file_path, case when id % 3 = 1 then 'x, ' else '' end || regexp_extract(file_path, '([^/]*)$', 1) file_name, size_bytes, case when id % 3 < 2 then 1704164645 end created, case when id % 3 = 2 then md5 end md5_hash, case when id % 3 < 2 then deleted else false end deleted from files""", "files")
+register("S-7profiles", lambda s, d: listings.profiles(s, listing_files(s, d)).select("encoding", "delimiter", "profile", "columns").distinct(),
+         "select * from (values ('UTF-16LE', chr(9), 'tab', 'file_path,file_name,size_bytes,created_ts,modified_ts,accessed_ts,deleted'), ('UTF-8', ',', 'comma', 'file_path,file_name,size_bytes,created_ts,modified_ts,deleted'), ('UTF-8', ';', 'generic', 'file_path,size_bytes,md5_hash')) t(encoding, delimiter, profile, columns) where (select count(*) from documents) > 0")
+
+# -- H-7 and A-7 by a table of ten thousand rules, some of which hold
+RULES = "select concat('r', cast(p_partkey as {string}), '.', p_brand) as rule from {part} union all select distinct regexp_extract(url, '([a-z]+[.][a-z]+)[/?#]', 1) as rule from {pages} where page_id % 2 = 0 union all select '*.example.net' as rule union all select '!m.example.net' as rule"
+
+
+def rules(s, d):
+    lines = s.sql(RULES.replace("{string}", "string"), part=frame(s, d, "part"), pages=frame(s, d, "pages"))
+    return domains.suffix_table(s, written(lines.selectExpr("rule as value"), "suffixes"))
+
+
+SITED = f"""with urls as ({{urls}}), rules as (select distinct lower(rule) rule from ({RULES.format(string='varchar', part='part', pages='pages')}) where rule <> ''),
+    hosts as (select distinct domain "host", string_split(lower(domain), '.') l from urls), ends as (select "host", l, k, array_to_string(l[-k:], '.') e from (select *, unnest(range(1, len(l) + 1)) k from hosts)),
+    met as (select "host", l, max(case when exists (select 1 from rules where rule = '!' || e) then k - 1 end) x, max(case when exists (select 1 from rules where rule = e) then k end) p, max(case when k < len(l) and exists (select 1 from rules where rule = '*.' || e) then k + 1 end) w from ends group by 1, 2),
+    sites as (select "host", array_to_string(l[-(coalesce(x, greatest(p, w), 1) + 1):], '.') site from met) """
+register("H-7table", lambda s, d: domains.with_sites(frame(s, d, "urls"), "domain", rules(s, d)).select("id", "site"), SITED + "select id, site from urls join sites on \"host\" = domain")
+register("A-7sub", lambda s, d: domains.site_summary(frame(s, d, "urls"), rules(s, d), 3), SITED + """, per as (select site, url, sum(coalesce(occurrences, 1))::bigint n, min(first_seen) f, max(last_seen) l from urls join sites on "host" = domain group by 1, 2),
+    ranked as (select *, row_number() over (partition by site order by n desc, url) place from per)
+    select site, count(*) urls, sum(n)::bigint occurrences, min(f) first_seen, max(l) last_seen, string_agg(url || ' (' || n || ')', chr(10) order by place) filter (place <= 3) sub_urls from ranked group by 1""")
+
+for name in ("H-7table", "A-7sub"):
+    ORACLES[name] = ORACLES[name].replace("{urls}", VIEWS["urls"].format(**SPELLINGS["duckdb"]))
+
+
+# -- A-50: all kinds of drift
+def nested_json(s, d):
+    return frame(s, d, "events").select("event_type", F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(',"inner":{"'), "event_type", F.lit('":{"deep":'), F.when(F.col("event_id") % 2 == 0, F.lit('"text"')).otherwise(F.lit("[1]")), F.lit('},"known":true}}')).alias("doc"))
+
+
+def drifted(s, d):
+    known = s.createDataFrame([("click",), ("view",)], "value string")
+    keys = s.createDataFrame([("id",), ("inner",), ("inner.known",)], "path string")
+    tables = {"events": nested_json(s, d), "regions": frame(s, d, "region"), "sqlite_stat": frame(s, d, "nation")}
+    return drift.drift_report(tables, {"events": {"doc"}}, [("events", "event_type", known)], [("events", "doc", keys)])
+
+
+register("A-50all", drifted, """
+    select 'unknown_table' what, 'regions' source, 'regions' item, 'r_regionkey,r_name' detail, null::bigint n union all select 'unknown_column', 'events', 'event_type', 'string', null
+    union all select 'unknown_enum_value', 'events.event_type', event_type, null, count(*) from events where event_type not in ('click', 'view') group by 3
+    union all select 'unknown_json_key', 'events.doc', 'inner.' || event_type, 'dict <dict>', count(*) from events group by 3
+    union all select 'unknown_json_key', 'events.doc', 'inner.' || event_type || '.deep', case when event_id % 2 = 0 then 'str text' else 'list <list>' end, count(*) from events group by 3, 4""")
+
+
+# -- R-1: hashes arrive in three batches, the list grows before each; R-3: days close, late and repeated rows are left out
+def in_turn(s, parts: list):
+    """A stream of tables, one a micro-batch, in their order."""
+    path = new_folder(s, "turns")
+    for df in parts:
+        df.coalesce(1).write.mode("append").parquet(path)
+    return s.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def hash_matches(s, d):
+    files, hashes = frame(s, d, "files"), frame(s, d, "hashes")
+    versioned = hashes.withColumn("version", F.expr("conv(substr(hash, 1, 2), 16, 10) % 3").cast("long"))
+    seen = []
+
+    def entries():
+        seen.append(1)
+        return versioned.where(F.col("version") < len(seen))
+
+    path = new_folder(s, "hash-matches")
+    feeds.hash_feed(in_turn(s, [files.where(f"id % 3 = {k}").select("id", "md5", "sha1", "sha256") for k in range(3)]), entries, path, f"{path}-checkpoint").awaitTermination()
+    return s.read.schema("id long, list_name string, hash string, batch_id long").parquet(f"{path}/matches").select("id", "list_name", "hash", "batch_id")
+
+
+register("R-1hashes", hash_matches, """
+    select id, list_name, coalesce(arg_min(hash, r)) hash, min(greatest(id % 3, version))::bigint batch_id from (select f.id, h.list_name, h.hash, case when f.md5 = h.hash then 0 else 1 end r, ('0x' || substr(h.hash, 1, 2))::int % 3 "version" from files f join hashes h on h.hash in (f.md5, f.sha256)) group by 1, 2""", "files", "hashes")
+LATE = 3
+
+
+def closed_days(s, d):
+    events = frame(s, d, "events").selectExpr("event_id", "cast(ts as timestamp) as ts", "event_type as kind")
+    bounds = events.where("event_id % 10 > 0").agg(F.max("ts").alias("newest"))
+    dated = events.crossJoin(F.broadcast(bounds)).withColumn("late", (F.col("event_id") % 10 == 0) & (F.date_trunc("day", "ts") + F.expr("interval 1 day") <= F.col("newest") - F.expr(f"interval {LATE} days")))
+    timely, late = dated.where("event_id % 10 > 0").drop("late", "newest"), dated.where("late").drop("late", "newest")
+    first, second = timely.where("day(ts) <= 15"), timely.where("day(ts) > 15")
+    again = first.where("event_id % 7 = 0").unionByName(second)  # delivered twice
+    path = new_folder(s, "days")
+    # rows are late by the watermark that the batch before began with, so a batch of repeated rows goes before the late ones
+    feeds.daily_sink(in_turn(s, [first, again, second.where("event_id % 2 = 0"), late]), path, f"{path}-checkpoint", f"{LATE} days", ["event_id"]).awaitTermination()
+    return s.read.schema("day date, kind string, n long").parquet(path)
+
+
+register("R-3closed", closed_days, f"""
+    with timely as (select * from events where event_id % 10 > 0), edge as (select max(ts) - interval {LATE} days edge from timely)
+    select ts::date "day", event_type kind, count(*) n from timely, edge where date_trunc('day', ts) + interval 1 day <= edge group by 1, 2""")
+
 
 def queries():
     return dict(QUERIES)

@@ -11,13 +11,13 @@ from casemill.functions import scalars as S
 from casemill.operators.tags import tag_text
 from casemill.operators.textmine import is_noise, normal_feature
 from casemill.operators.timeline import filtered
+from casemill.sources.raw import SPLIT, raw_urls
 
 # Columns of a listing by fragments of their header, feature types by file name.
 COLUMNS = {
     "file_path": ("full path", "fullpath", "path", "location"), "file_name": ("filename", "file name", "name"), "size_bytes": ("size",), "created_ts": ("created", "creation"),
     "modified_ts": ("modified", "written"), "accessed_ts": ("accessed",), "md5_hash": ("md5",), "sha1_hash": ("sha1", "sha-1"), "sha256_hash": ("sha256", "sha-256"), "deleted": ("deleted",), "extension": ("ext",),
 }
-RAW_URL = r"""((?i)https?://[a-zA-Z0-9][a-zA-Z0-9\-._~:/?#\[\]@!$&'()*+,;=%]+)"""
 FEATURES = {"url": "url", "email": "email", "domain": "domain", "ip": "ip", "telephone": "telephone", "bitcoin": "bitcoin", "ether": "ether"}
 
 
@@ -145,11 +145,9 @@ def feature_file(spark: SparkSession, path: str, kind: str | None = None) -> Dat
     return rows.where("kind is not null and offset is not null and feature is not null")
 
 
-def urls_in_files(spark: SparkSession, path: str) -> DataFrame:
-    """S-10: (path, url) swept out of binary files."""
-    text = F.decode("content", "ISO-8859-1")
-    found = spark.read.format("binaryFile").load(path).select("path", F.explode(F.regexp_extract_all(text, F.lit(RAW_URL), F.lit(1))).alias("url"))
-    return found.where(~is_noise(F.col("url")))
+def urls_in_files(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+    """S-10: (path, offset, url) swept out of raw files, large ones in ranges of `split` bytes; noise is left out."""
+    return raw_urls(spark, path, split).where(~is_noise(F.col("url")))
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:

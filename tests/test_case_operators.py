@@ -4,11 +4,12 @@ import datetime
 import itertools
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from casemill.operators import links, logs, merging, similarity, timeline
+from casemill.operators import links, logs, matching, merging, similarity, timeline
 
 
 def test_download_links(spark):
@@ -170,3 +171,34 @@ def test_visits_annotations_and_chains(spark):
     assert sorted(tuple(r) for r in got.select("id", "target", "state", F.unix_millis("ended"), "file_size").collect()) == [(10, "file:///a", 1, 1500, 7), (12, "file:///new", None, None, None)]
     hops = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "b"), (2, 1, ""), (3, 0, None)], "k int, i int, url string")
     assert sorted(map(tuple, links.chain_urls(hops, "k", "i", "url", "redirect").select("url", "downloads", "first_place").collect())) == [("a", 1, 0), ("b", 2, 0)]
+
+
+REGEXES = [r"(?P<n>abc)\d", "a(?#c)bc", "a{,3}bc", "(?P<n>b)?x", "[a&&b]", "[[a]bc]", r"\p{L}+1", "(a)(b)\\2", "(?x) q w e", "(?i)ZZ", "(?x) ü # c", "^http://m", r"\Dend$", "Ünï", "(broken", "a|", "(?=look)l", "x++y", r"(\w)\1{3}", "(?-i:Case)"]
+TEXTS = ["abc1", "ABC7", "abc", "aaabc", "bx", "x", "a&", "&", "b", "[a]bc", "ab", "L1", "é1", "abb", "qwe", "q w e", "zz", "http://M.acme.com/", "xend", "1end", "ünï", "look", "xxy", "", "aaaa", "case", "Case", None, "nothing here 42"]
+
+
+@pytest.mark.parametrize("more", [0, 150, 181, 182, 10_000])
+def test_regex_lists_of_any_length(spark, more):
+    """The same rows whatever stands in the list besides, for each construct alone and all together."""
+    filler = [("filler", k, f"no-such-text-{k}", matching.url_rule(f"no-such-text-{k}", False)) for k in range(more // 2)] + [("regexes", 1000 + k, f"never{k}[0-9]", matching.url_rule(f"never{k}[0-9]", True)) for k in range(more - more // 2)]
+    alone = [(f"list{k:02}", 0, p, matching.url_rule(p, True)) for k, p in enumerate(REGEXES)]
+    together = [("regexes", k, p, matching.url_rule(p, True)) for k, p in enumerate(REGEXES)]
+    plain = [("plain", k, p, matching.url_rule(p, False)) for k, p in enumerate(["ACME", "a?c*", "[a&&b]", "*[ab]x"])]
+    rows = spark.createDataFrame(list(enumerate(TEXTS)), "id int, url string")
+
+    def hits(p, t):
+        try:
+            return re.search(p, t, re.I) is not None
+        except re.error:
+            return False
+
+    expected = []
+    for i, t in enumerate(TEXTS):
+        if t is None:
+            continue
+        fits = [p for p in REGEXES if hits(p, t)]
+        expected += [(i, f"list{REGEXES.index(p):02}", p) for p in fits] + [(i, "regexes", p) for p in fits[:1]]
+        wild = [("ACME", "acme" in t.lower()), ("a?c*", re.fullmatch("a.c.*", t, re.I)), ("[a&&b]", "[a&&b]" in t), ("*[ab]x", re.fullmatch(".*[ab]x", t, re.I))]
+        expected += [(i, "plain", p) for p, hit in wild if hit][:1]
+    got = matching.match_patterns(rows, "url", alone + together + plain + filler)
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
