@@ -14,8 +14,13 @@ def crc_of_id():
     return F.crc32(F.col("doc_id").cast("string").cast("binary"))
 
 
-def learnable(labels: DataFrame, column: str, kept) -> DataFrame:
-    """(doc_id, y) of the rows whose label may be learnt; one row for each doc_id, the larger label where they differ."""
+def learnable(labels: DataFrame, column: str, kept, bound: int | None = None) -> DataFrame:
+    """(doc_id, y) of the rows whose label may be learnt; one row for each doc_id, the larger label where they differ.
+
+    bound: about so many rows at most. The same rows every time: those whose id has a hash below the share that is wanted.
+    """
+    if bound is not None and (n := labels.count()) > bound:
+        kept = kept & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * bound / n))
     rows = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).where(kept).groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
     return F.broadcast(rows) if labels.count() <= BROADCAST_LABELS else rows
 

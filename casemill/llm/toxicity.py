@@ -39,8 +39,12 @@ PRIOR = 12.0
 DRIFT = 0.7
 #: A segment is significant if fewer than so many (a half) as good are expected by chance.
 LOG_EXPECTED = float(np.log(0.5))
-#: Bins of the calibration histogram for each unit of the value; a value that is as good as certain, which larger ones equal.
-BINS, SURE = 4, 50.0
+#: Bins of the calibration histogram for each unit of the value, up to a value that is as good as certain. Beyond it the
+#: curve flattens, but it never stops rising: larger values come as near to SURE + MORE as they are large.
+BINS, SURE, MORE = 4, 50.0, 0.25
+#: Labelled documents that words are counted in: so many at most but for the spread of a hash, chosen by the hash of their id.
+#: What reaches the driver and every task, the words' counts, is bounded by them.
+FIT_DOCUMENTS = 100_000
 CLASSES = 4  # of the learnable rows, one in so many fits the curve only
 
 
@@ -142,7 +146,7 @@ class Model:
 
 
 def count_tokens(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model from documents with a label y; counts by word and by first letters are all that reaches the driver."""
+    """The model from documents with a label y (a bounded number); counts by word and by first letters are all that reaches the driver."""
 
     def run(batches):
         held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
@@ -229,19 +233,22 @@ def segment_values(docs: DataFrame, model: Model, carried: tuple[str, ...] = ())
     return docs.select("doc_id", "text", *carried).mapInArrow(run, "doc_id long, n_segments long, value double" + "".join(f", {c} string" for c in carried))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, carried: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_segments of every document, carried string columns."""
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, carried: tuple[str, ...] = (), fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
+    """doc_id, held_out, score, predicted, n_segments of every document, carried string columns.
+
+    fit_documents bounds the labelled documents that words are counted in, and those that the curve is fitted on.
+    """
     held_out = F.coalesce(crc_of_id() % 3 == 1, F.lit(False))
     fit, tune = crc_of_id() / 3 % CLASSES >= 1, crc_of_id() / 3 % CLASSES < 1
-    model = count_tokens(docs, learnable(labels, "toxic", ~held_out & fit))
+    model = count_tokens(docs, learnable(labels, "toxic", ~held_out & fit, fit_documents))
     values = staged(segment_values(docs, model, carried), "toxicity")
-    # fitted and applied on one scale, the log of the value up to SURE
-    sure = F.least(F.col("value"), F.lit(SURE))
-    bins = values.join(learnable(labels, "toxic", ~held_out & tune), "doc_id").groupBy(F.round(sure * BINS).alias("x")).agg(F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1")).collect()
+    value = F.col("value")
+    bins = values.join(learnable(labels, "toxic", ~held_out & tune, fit_documents), "doc_id").groupBy(F.round(F.least(value, F.lit(SURE)) * BINS).alias("x")).agg(F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1")).collect()
     if bins and sum(r["n1"] for r in bins):
         x, n0, n1 = (np.array([r[c] for r in bins], float) for c in ("x", "n0", "n1"))
         slope, cut = logistic(np.log1p(x / BINS), n0, n1)
     else:
         slope, cut = 0.0, float(np.log(max(model.rate, 1e-6) / (1 - model.rate)))
-    score = 1 / (1 + F.exp(-(F.log1p(sure) * slope + cut)))
+    rising = F.when(value <= SURE, value).otherwise(SURE + MORE * (1 - SURE / value))
+    score = 1 / (1 + F.exp(-(F.log1p(rising) * slope + cut)))
     return values.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "n_segments", *carried)

@@ -4,6 +4,9 @@ import zlib
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
+from casemill.llm.labelled import learnable
 from casemill.llm.quality import quality
 from casemill.llm.toxicity import count_tokens, segments, toxic_segments, toxicity
 
@@ -76,3 +79,15 @@ def test_words_keep_their_own_counts(spark):
     vile, stranger, other, plain = model.scores(["vile", strangers[0], "zzz", "plain"])
     assert stranger == other and vile > 1 + stranger
     assert np.isclose(plain, np.log((30 + 12 * 0.5) / (30 + 12 * 0.5)) - 0.7)
+
+
+def test_toxicity_has_no_ties_of_strong_documents_and_a_bound(spark):
+    docs = [(i, "some plain words here" + (" vile" * (i // 2)) * (i % 2)) for i in range(400)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(400)], "doc_id long, quality int, toxic int")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity(frame, labels).collect()}
+    strong = [got[i] for i in range(101, 400, 2)]
+    assert all(a < b for a, b in zip(strong, strong[1:])) and max(got[i] for i in range(0, 400, 2)) < min(strong)
+    assert learnable(labels, "toxic", F.lit(True), 100).count() in range(60, 140) and learnable(labels, "toxic", F.lit(True), 400).count() == 400
+    few = {r.doc_id: r.score for r in toxicity(frame, labels, fit_documents=100).collect()}
+    assert all(few[i] > few[j] for i in range(101, 400, 2) for j in range(0, 400, 20))
