@@ -6,9 +6,15 @@ blocks are left to the host's other pages: those of pages without an article, an
 says so in part only (a "share-price" is no share button). For these the token streams of all blocks outside articles, and
 of the blocks left open, are put together by host and their suffixes sorted: each piece of pages gets a suffix array by
 prefix doubling, in which neighbours with a common prefix of RUN tokens are one run, and Spark merges the arrays of all
-pieces by run. Runs on two distinct pages of a host are boilerplate. In pages without an article the tokens that
-they cover go and the unique runs between them stay; inside an article a block in doubt goes if they cover all of it.
-An article's other text is never searched: sites repeat text inside articles that belongs there.
+pieces by run. Runs on two distinct pages of a host are boilerplate; where they join to a repeat of LONG tokens or
+more, longer than a menu or a notice, it is so only as far as its runs are on WIDE pages, so a page keeps a text that
+one other page has too. In pages without an article the tokens that are covered go and the unique runs between them
+stay; inside an article a block in doubt goes if all of it is covered. An article's other text is never searched: sites
+repeat text inside articles that belongs there.
+
+An element inside a line of text (a link, a button, a label) that means surroundings loses its own text and does not end
+the block it is in; one whose name says so in part only is read like the text around it. Spans and bold text that
+bear such a name count as boxes of their own.
 
 Runs are compared by 128 bits of hash and reduced in their piece to the least and greatest page, so a host with a third
 of all pages, and a run that is on all of them, are spread over tasks.
@@ -35,6 +41,9 @@ from casemill.llm.common import looked_up, pieces, staged
 
 #: Tokens of a run; a power of two.
 RUN = 8
+#: Tokens of a repeat that is no menu for being on two pages, and distinct pages that make it one. Pages are counted as
+#: distinct bits of 63, which never counts too many.
+LONG, WIDE = 40, 3
 
 # Element names and words of class, id and role by meaning.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -42,6 +51,7 @@ AROUND_TAGS = frozenset("aside button canvas dialog embed footer form head ifram
 RAW_TAGS = frozenset("script style textarea title noscript template svg iframe".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE_TAGS = frozenset("p b i a span em strong".split())
+FLOWING_TAGS = frozenset("a abbr bdi bdo button cite code data del dfn em i input ins kbd label mark output q s samp select small strong sub sup time u var".split())
 AROUND_WORDS = frozenset("ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice notices notification popup promo promoted related respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget contentinfo complementary".split())
 #: Words that leave the meaning of the others in a name as it is.
 NEUTRAL_WORDS = frozenset("action actions all area article articles bar block body bottom box button buttons card container content count desktop fixed float footer form global group header heading icon icons inline inner item items label large latest left link links list main mobile more new outer page panel popular post posts primary reader readers recent right row secondary section signup site slot small sticky stories story thread title top unit user users wrap wrapper".split())
@@ -129,16 +139,27 @@ def blocks(html: str) -> list[tuple[int, str]]:
     stack: list[tuple[str, int]] = []  # open elements with the kind of their content
     opened: Counter = Counter()
     text: list[str] = []
+    muted: list[tuple[int, int, int]] = []  # elements in a line whose text goes: place on the stack, parts of text before, kind around
     kind, end = OPEN, 0
 
     def close():
-        block = " ".join(unescape("".join(text)).split())
+        if muted:  # a block inside the line ends it
+            _, before, around = muted[0]
+            written(text[:before], around)
+            del text[:before]
+            muted[:] = [(at, 0, k) for at, _, k in muted]
+        written(text, kind)
+        text.clear()
+
+    def written(parts: list[str], kind: int):
+        block = " ".join(unescape("".join(parts)).split())
         if block:
             out.append((kind, block))
-        text.clear()
 
     def drop(at: int):
         nonlocal kind
+        while muted and muted[-1][0] >= at:
+            del text[muted.pop()[1] :]
         opened.subtract(t for t, _ in stack[at:])
         del stack[at:]
         kind = stack[-1][1] if stack else OPEN
@@ -155,13 +176,17 @@ def blocks(html: str) -> list[tuple[int, str]]:
             while at >= 0 and stack[at][0] != tag:
                 at -= 1
             after = stack[at - 1][1] if at > 0 else OPEN
-            if tag in BLOCK_TAGS or at >= 0 and (after != kind or any(t in BLOCK_TAGS for t, _ in stack[at:])):
+            flows = at >= 0 and len(muted) > 0 and muted[-1][0] == at
+            if tag in BLOCK_TAGS or at >= 0 and (after != kind and not flows or any(t in BLOCK_TAGS for t, _ in stack[at:])):
                 close()
             if at >= 0:
                 drop(at)
             continue
         inside = kind_inside(tag, attributes, kind)
-        if tag in BLOCK_TAGS or inside != kind:
+        flows = tag in FLOWING_TAGS and inside != kind
+        if flows and inside != AROUND:
+            inside, flows = kind, False
+        if tag in BLOCK_TAGS or inside != kind and not flows:
             close()
         if tag in VOID_TAGS or attributes.endswith("/") and tag not in BLOCK_TAGS:
             continue
@@ -170,9 +195,12 @@ def blocks(html: str) -> list[tuple[int, str]]:
             while at and opened["p"] > 0 and stack[at - 1][0] in INLINE_TAGS:
                 at -= 1
                 opened[stack[at][0]] -= 1
+            muted[:] = [m for m in muted if m[0] < at]  # the block before was closed above
             del stack[at:]
             kind = stack[-1][1] if stack else OPEN
             inside = kind_inside(tag, attributes, kind)
+        if flows:
+            muted.append((len(stack), len(text), kind))
         kind = inside
         stack.append((tag, kind))
         opened[tag] += 1
@@ -195,15 +223,15 @@ def runs(host: str, tokens: list[str]) -> list[bytes]:
     return [run_hash(host, tokens[i : i + RUN]) for i in range(max(1, len(tokens) - RUN + 1))] if tokens else []
 
 
-def suffix_runs(hosts: list[str], pages: np.ndarray, streams: list[list[str]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Runs of the streams, from the suffix arrays of their hosts: hash, least and greatest page of each.
+def suffix_runs(hosts: list[str], pages: np.ndarray, streams: list[list[str]]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of the streams, from the suffix arrays of their hosts: hash, least and greatest page, and a bit for every page of each.
 
     Prefix doubling ranks all suffixes by their first RUN tokens. In the order of (host, rank, page) neighbours of
     one rank have a common prefix of RUN tokens, or both are the whole of a shorter stream.
     """
     sizes = np.fromiter(map(len, streams), np.int64, len(streams))
     if not sizes.sum():
-        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return [], *(np.zeros(0, np.int64) for _ in range(3))
     rank = pa.array([t for own in streams for t in own], pa.large_string()).dictionary_encode().indices.to_numpy().astype(np.int64) + 1
     owner, ends = np.repeat(np.arange(len(streams)), sizes), np.cumsum(sizes)
     at, last = np.arange(len(rank)), ends[owner]
@@ -219,10 +247,29 @@ def suffix_runs(hosts: list[str], pages: np.ndarray, streams: list[list[str]]) -
     new = np.flatnonzero(np.r_[True, (rank[order][1:] != rank[order][:-1]) | (host[order][1:] != host[order][:-1])])
     first, final = order[new], order[np.r_[new[1:], len(order)] - 1]
     hashes = [run_hash(hosts[k], streams[k][i : i + RUN]) for k, i in zip(owner[first].tolist(), (first - (ends - sizes)[owner[first]]).tolist())]
-    return hashes, page[first], page[final]
-
-
-PAGES = "page_id long, url string, text string, undecided array<struct<kind:int,text:string>>, run binary, a long, b long"
+    return hashes, page[first], page[final], np.bitwise_or.reduceat(np.int64(1) << page[order] % 63, new)
+
+
+def covered(shared: list[bool | None], n: int) -> set[int]:
+    """The places of n tokens that are boilerplate. shared: for each run whether it is on WIDE pages, None where it is no repeat."""
+    any_page, wide = set(), set()
+    for i, on in enumerate(shared):
+        if on is not None:
+            any_page.update(range(i, min(i + RUN, n)))
+        if on:
+            wide.update(range(i, min(i + RUN, n)))
+    gone, start = set(), None
+    for i in range(n + 1):
+        if i in any_page:
+            start = i if start is None else start
+        elif start is not None:
+            repeat = range(start, i)
+            gone.update(repeat if len(repeat) < LONG else wide.intersection(repeat))
+            start = None
+    return gone
+
+
+PAGES = "page_id long, url string, text string, undecided array<struct<kind:int,text:string>>, run binary, a long, b long, bits long"
 LEFT = pa.list_(pa.struct([("kind", pa.int32()), ("text", pa.string())]))
 
 
@@ -244,11 +291,11 @@ def main_text(pages: DataFrame) -> DataFrame:
                     hosts += [host_of(url)] * len(own)
                     ids += [xxhash.xxh64_intdigest("\n".join(t for _, t in found)) - 2**63] * len(own)
                     streams += own
-                hashes, least, most = suffix_runs(hosts, np.array(ids, np.int64), streams)
+                hashes, least, most, bits = suffix_runs(hosts, np.array(ids, np.int64), streams)
                 n, m = part.num_rows, len(hashes)
                 filled = [(part.column(0), pa.int64()), (part.column(1), pa.string()), (pa.array(texts, pa.string()), pa.string()), (pa.array(left, LEFT), LEFT)]
-                more = [(pa.array(hashes, pa.binary()), pa.binary()), (pa.array(least), pa.int64()), (pa.array(most), pa.int64())]
-                names = ["page_id", "url", "text", "undecided", "run", "a", "b"]
+                more = [(pa.array(hashes, pa.binary()), pa.binary()), (pa.array(least), pa.int64()), (pa.array(most), pa.int64()), (pa.array(bits), pa.int64())]
+                names = ["page_id", "url", "text", "undecided", "run", "a", "b", "bits"]
                 yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in filled] + [pa.nulls(n, t) for _, t in more], names)
                 yield pa.RecordBatch.from_arrays([pa.nulls(m, t) for _, t in filled] + [c for c, _ in more], names)
 
@@ -266,13 +313,11 @@ def main_text(pages: DataFrame) -> DataFrame:
             page_id, url, left, shared = (batch.column(k) for k in range(4))
             texts = []
             for u, found, hashes in zip(url.to_pylist(), left.to_pylist(), shared.to_pylist()):
-                host, known, kept = host_of(u), set(hashes or ()), []
+                host, known, kept = host_of(u), {h["run"]: h["wide"] for h in hashes or ()}, []
                 for block in found:
                     tokens, gone = block["text"].split(), set()
                     if block["kind"] != ARTICLE:
-                        for i, h in enumerate(runs(host, tokens)):
-                            if h in known:
-                                gone.update(range(i, min(i + RUN, len(tokens))))
+                        gone = covered([known.get(h) for h in runs(host, tokens)], len(tokens))
                     if block["kind"] == OPEN:
                         tokens = [t for i, t in enumerate(tokens) if i not in gone]
                     elif len(gone) == len(tokens):
@@ -285,8 +330,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     rows = staged(pages.select("page_id", "url", "html").mapInArrow(read, PAGES).withColumn("row", F.monotonically_increasing_id()), "pages")
     decided, undecided = rows.where("run is null and size(undecided) = 0"), rows.where("run is null and size(undecided) > 0")
     # a run's hash holds its host
-    shared = rows.where("run is not null").groupBy("run").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("run")
+    shared = rows.where("run is not null").groupBy("run").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.bit_or("bits").alias("bits")).where("a <> b").select("run", (F.bit_count("bits") >= WIDE).alias("wide"))
     own = staged(undecided.select("row", "url", "undecided").mapInArrow(list_runs, "row long, run binary"), "page-runs")
-    common = looked_up(own, staged(shared, "shared-runs"), "run").groupBy("row").agg(F.collect_set("run").alias("shared"))
+    common = looked_up(own, staged(shared, "shared-runs"), "run").groupBy("row").agg(F.collect_set(F.struct("run", "wide")).alias("shared"))
     settled = undecided.join(common, "row", "left").select("page_id", "url", "undecided", "shared").mapInArrow(settle, "page_id long, url string, text string")
     return decided.select("page_id", "url", "text").union(settled).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
