@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemill.functions import scalars as S
@@ -85,6 +87,26 @@ def browser(path: Column) -> Column:
     return first_rule(F.lower(slashed(path)), BROWSERS)
 
 
+def embedded_browser(path: Column, roots: list[str]) -> Column:
+    """H-14: browser(), else chromium_embedded for a path at or below one of the roots (found by A-44, or given); slashes and case do not count."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(slashed(c)), "/+", "/"), F.lit("/"))
+    own = F.lit(False)
+    for root in roots:
+        if name := re.sub("/+", "/", root.lower().replace("\\", "/")).strip("/"):
+            own = own | (plain(path) == name) | plain(path).startswith(f"{name}/")
+    return F.coalesce(browser(path), F.when(own, "chromium_embedded"))
+
+
+def in_roots(paths: DataFrame, roots: DataFrame) -> DataFrame:
+    """H-14: (id, browser) of paths (id, path) against a table of roots (column root) of any size: each path meets them by its own folders."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(slashed(F.col(c))), "/+", "/"), F.lit("/"))
+    parts = F.split(plain("path"), "/")
+    folders = paths.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("root"))
+    known = roots.select(plain("root").alias("root")).where("root <> ''").distinct()
+    below = folders.join(known, "root").select("id").distinct().withColumn("embedded", F.lit("chromium_embedded"))
+    return paths.join(below, "id", "left").select("id", F.coalesce(browser(F.col("path")), "embedded").alias("browser"))
+
+
 def profile(path: Column) -> Column:
     """H-14: the profile folder; Default where only its contents show."""
     parts = F.split(slashed(path), "/")

@@ -84,6 +84,25 @@ def detected(x: Column) -> Column:
     return F.when(x > 10**16, F.when(x > 10**17, from_filetime(x)).otherwise(from_webkit(x))).when(x > 10**14, from_prtime(x)).when(x > 10**11, from_millis(x)).otherwise(from_seconds(x))
 
 
+#: H-3: where the ranges of the epochs begin and end. Fixed values.
+FILETIME_1970, WEBKIT_1970, UNIX_2100 = 116_444_736_000_000_000, 11_644_473_600_000_000, 4_102_444_800
+
+
+def hinted(x: Column, hint: str | None = None) -> Column:
+    """H-3: a number in the epoch that the hint names (filetime, ole, webkit, unix), else the one that its range speaks for.
+
+    Zero is no time. Without a hint: whole numbers are FILETIME or WebKit values beyond their 1970, Unix seconds up to 2100, or
+    else milliseconds; numbers with a fraction below 100,000 are OLE days; others are no time.
+    """
+    known = {"filetime": from_filetime, "ole": from_ole_days, "webkit": from_webkit, "unix": lambda c: F.timestamp_micros((c.cast("double") * 1_000_000).cast("long"))}
+    if hint is not None:
+        return F.when(x != 0, known[hint](x))
+    whole = x.cast("double") == F.floor(x.cast("double"))
+    n = x.cast("long")
+    by_range = F.when(n > FILETIME_1970, from_filetime(n)).when(n > WEBKIT_1970, from_webkit(n)).when((n > 0) & (n < UNIX_2100), from_seconds(n)).when(n > 10**12, from_millis(n))
+    return F.when(whole, by_range).when((x > 0) & (x < 100_000), from_ole_days(x))
+
+
 LISTING_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "dd.MM.yyyy HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "MM/dd/yyyy hh:mm:ss a", "dd-MMM-yyyy HH:mm:ss", "yyyy-MM-dd")
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casemill.operators import domains, drift, links, logs, matching, merging, similarity, timeline
+from casemill.functions import browser as B
+from casemill.functions import scalars as S
+from casemill.operators import accounts, domains, drift, indicators, links, logs, matching, merging, similarity, stored_values, timeline
 from casemill.plans.standins import SPELLINGS, VIEWS, frame, with_views
 from casemill.queries import prints
 from casemill.queries_sources import new_folder, written
@@ -260,6 +262,110 @@ register("R-3closed", closed_days, f"""
     select ts::date "day", event_type kind, count(*) n from timely, edge where date_trunc('day', ts) + interval 1 day <= edge group by 1, 2""")
 
 
+# -- X-1, X-5: stored values as JSON two levels deep, and as plain texts under keys of tokens
+def stored(s, d):
+    doc = F.concat(F.lit('{"user_id":"u'), F.col("user_id").cast("string"), F.lit('","time":'), (F.col("event_id") + 1_600_000_000).cast("string"), F.lit(',"inner":[{"pageUrl":"https://h'), F.col("event_id").cast("string"), F.lit('.example.com/a?x=1.","email":"U'), F.col("user_id").cast("string"), F.lit('@mail.org","refreshToken":"'), F.repeat(F.lit("ab"), 20), F.col("event_id").cast("string"), F.lit('"}]}'))
+    plain = F.concat(F.repeat(F.lit("x"), 30), F.lit(" http%3A%2F%2Fe.example.org%2Fp "), F.col("event_id").cast("string"))
+    return frame(s, d, "events").select(F.col("event_id").alias("id"), F.lit("o").alias("origin"), F.when(F.col("event_id") % 2 == 0, "state").otherwise("my_session").alias("key"), F.when(F.col("event_id") % 2 == 0, doc).otherwise(plain).alias("value"))
+
+
+register("X-1artifacts", lambda s, d: stored_values.Analysis(stored(s, d)).everything, """
+    with e as (select event_id id, event_id % 2 = 0 json, user_id u from events),
+    rows as (select id, unnest(case when json then [struct_pack(kind := 'url', "type" := null::varchar, found := 'https://h' || id || '.example.com/a?x=1'), struct_pack(kind := 'url', "type" := null, found := 'https://h' || id || '.example.com/a?x=1'), struct_pack(kind := 'email', "type" := null, found := 'u' || u || '@mail.org'), struct_pack(kind := 'email', "type" := null, found := 'u' || u || '@mail.org'),
+        struct_pack(kind := 'identifier', "type" := 'user_id', found := 'u' || u), struct_pack(kind := 'token', "type" := 'refresh_token', found := repeat('ab', 20) || id)]
+        else [struct_pack(kind := 'url', "type" := null, found := 'http://e.example.org/p'), struct_pack(kind := 'token', "type" := 'session', found := repeat('x', 30) || ' http%3A%2F%2Fe.example.org%2Fp ' || id)] end, recursive := true), json from e)
+    select id, 'o' origin, case when json then 'state' else 'my_session' end "key", kind, "type", found from rows""")
+register("X-5risk", lambda s, d: stored_values.Analysis(stored(s, d)).tokens.select("id", "token_type", "risk", "token_hash", "issuer"), """
+    select event_id id, case when event_id % 2 = 0 then 'refresh_token' else 'session' end token_type, case when event_id % 2 = 0 then 'high' else 'medium' end risk, sha256(case when event_id % 2 = 0 then repeat('ab', 20) || event_id else repeat('x', 30) || ' http%3A%2F%2Fe.example.org%2Fp ' || event_id end) token_hash, null::varchar issuer from events""")
+register("X-1identifiers", lambda s, d: stored_values.Analysis(stored(s, d)).identifiers.select("id", "identifier_type", "name", "value", F.unix_timestamp("seen").alias("seen")), "select event_id id, 'user_id' identifier_type, 'user_id' \"name\", 'u' || user_id \"value\", event_id + 1600000000 seen from events where event_id % 2 = 0")
+
+# -- F-25, A-47, F-23, F-10e: indicators and sites with rows for every rule
+INDICATORS = """select l_orderkey * 10 + l_linenumber as id, case l_linenumber % 6 when 0 then 'system:installed_software' when 1 then 'execution:user_assist' when 2 then 'startup:run_key' when 3 then 'startup:run_once_key' when 4 then 'startup:bho' else 'startup:service' end as type,
+    concat('n', l_suppkey % 7) as name, case l_linenumber % 6 when 0 then '' when 1 then concat('Prog', l_partkey, '.exe') when 4 then concat('clsid', l_partkey % 9) else concat('Run', l_partkey % 11) end as value,
+    case l_returnflag when 'A' then concat('HKLM/Run/', l_partkey) when 'N' then concat('NTUSER.DAT/Run/', l_partkey) else concat('Users/HKCU/RunOnce/', l_partkey) end as path, l_linestatus as hive,
+    concat('{open}"name":"Tool ', l_partkey % 13, '","publisher":"Maker ', l_suppkey % 3, '","size_kb":', l_partkey, ',"forensic_interest":', case when l_suppkey % 2 = 0 then 'true' else 'false' end, ',"decoded_path":"C:/Apps/', l_partkey % 5, '.exe","run_count":', l_orderkey, '{close}') as extra_json from {lineitem}"""
+
+
+def found_indicators(s, d):
+    text = INDICATORS.format(open="{{", close="}}", lineitem="{lineitem}")
+    rows = s.sql(text, lineitem=frame(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")]))
+    return rows
+
+
+DUCK_INDICATORS = "with lines as (select l_orderkey, l_linenumber, min(l_partkey) l_partkey, min(l_suppkey) l_suppkey, min(l_returnflag) l_returnflag, min(l_linestatus) l_linestatus from lineitem group by 1, 2), ind as (" + INDICATORS.format(open="{", close="}", lineitem="lines") + ") "
+register("F-25software", lambda s, d: indicators.installed_software(found_indicators(s, d), "MAKER 1", True).select("id", "name", "publisher", "size_kb"),
+         DUCK_INDICATORS + "select id, extra_json->>'name' \"name\", extra_json->>'publisher' publisher, (extra_json->>'size_kb')::bigint size_kb from ind where type = 'system:installed_software' and extra_json->>'publisher' = 'Maker 1' and extra_json->>'forensic_interest' = 'true'")
+register("F-25executions", lambda s, d: indicators.app_executions(found_indicators(s, d), "apps/3").select("id", "decoded_path", "run_count", "forensic_interest"),
+         DUCK_INDICATORS + "select id, extra_json->>'decoded_path' decoded_path, (extra_json->>'run_count')::bigint run_count, extra_json->>'forensic_interest' = 'true' forensic_interest from ind where type = 'execution:user_assist' and extra_json->>'decoded_path' like '%Apps/3%'")
+register("A-47runs", lambda s, d: indicators.run_entries(found_indicators(s, d)), DUCK_INDICATORS + """
+    , r as (select *, case when path like 'HKLM%' then 'HKLM' else 'HKCU' end scope, type = 'startup:run_once_key' or contains(path, 'RunOnce') once from ind where type in ('startup:run_key', 'startup:run_once_key'))
+    select arg_min("name", id) "name", arg_min("value", id) command, case when count(distinct scope) = 1 then min(scope) else 'HKLM+HKCU' end scope, arg_min(once, id) is_run_once, arg_min(path, id) path from r group by lower("name"), lower("value")""")
+register("A-47helpers", lambda s, d: indicators.helper_objects(found_indicators(s, d)), DUCK_INDICATORS + "select \"value\" clsid, arg_min(path, id) path from ind where type = 'startup:bho' group by 1")
+register("A-47services", lambda s, d: indicators.services(found_indicators(s, d)), DUCK_INDICATORS + "select id, \"name\", \"value\" command, path from ind where type = 'startup:service'")
+SITES = "select c_custkey as id, c_nationkey % 2 as evidence_id, c_name as origin, c_custkey % 17 as total_keys, case c_custkey % 4 when 0 then null when 1 then '' else c_mktsegment end as tags, case when c_custkey % 5 = 0 then 'broken' else concat('[\"', c_mktsegment, '\"]') end as browsers from {customer}"
+register("F-23tagged", lambda s, d: indicators.stored_sites(s.sql(SITES, customer=frame(s, d, "customer")), 1, None, True).select("id", "total_keys", F.array_join("browsers", ",").alias("browsers")),
+         f"select id, total_keys, case when id % 5 = 0 then '' else tags end browsers from ({SITES.format(customer='customer')}) where evidence_id = 1 and tags <> ''")
+
+# -- A-38, W-8, A-43, S-15
+DISCOVERIES = "select l_orderkey * 10 + l_linenumber as id, 1 as evidence_id, l_partkey as image_id, case l_suppkey % 4 when 0 then 'filesystem_images' when 1 then 'cache_simple' when 2 then 'safari' else 'carver' end as discovered_by, l_orderkey % 50 as discovered_at, concat('/p/', l_orderkey) as fs_path, case when l_linenumber % 3 = 0 then '' else concat('http://i/', l_orderkey % 9) end as cache_url, case when l_linenumber % 2 = 0 then l_orderkey end as fs_crtime, case when l_linenumber % 3 > 0 then l_orderkey + 1 end as fs_mtime from {lines}"
+
+
+def discoveries(s, d):
+    return s.sql(DISCOVERIES, lines=frame(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey")))
+
+
+DUCK_DISCOVERIES = "with lines as (select l_orderkey, l_linenumber, min(l_partkey) l_partkey, min(l_suppkey) l_suppkey from lineitem group by 1, 2), disc as (" + DISCOVERIES.format(lines="lines") + ") "
+register("A-38view", lambda s, d: indicators.image_sources(discoveries(s, d)), DUCK_DISCOVERIES + """
+    select evidence_id, image_id, arg_min(discovered_by, (discovered_at, discovered_by)) first_discovered_by, string_agg(distinct discovered_by, ',' order by discovered_by) sources, count(distinct discovered_by) source_count, count(*) total_discoveries, max(fs_path) filter (discovered_by = 'filesystem_images') fs_path,
+    bool_or(discovered_by in ('cache_simple', 'safari')) has_browser_source, string_agg(distinct discovered_by, ',' order by discovered_by) filter (discovered_by in ('cache_simple', 'safari')) browser_sources from disc group by 1, 2""")
+register("W-8urls", lambda s, d: indicators.image_urls(discoveries(s, d)).select("image_id", F.array_join("urls", " ").alias("urls"), "file_date"), DUCK_DISCOVERIES + """
+    , u as (select image_id, string_agg(cache_url, ' ' order by at0, id0) urls from (select image_id, cache_url, min((discovered_at, id))[1] at0, min((discovered_at, id))[2] id0 from disc where cache_url <> '' group by 1, 2) group by 1),
+    f as (select image_id, arg_min(coalesce(fs_crtime, fs_mtime), id) file_date from disc where discovered_by = 'filesystem_images' and coalesce(fs_crtime, fs_mtime) is not null group by 1)
+    select image_id, coalesce(urls, '') urls, file_date from u full join f using (image_id)""")
+register("A-43tabs", lambda s, d: indicators.tab_histories(frame(s, d, "documents").selectExpr("doc_id as id", "lang as title"), frame(s, d, "conversations").selectExpr("conv_id as tab_id")), "select doc_id id, lang title, count(conv_id) entries from documents left join conversations on conv_id = doc_id group by 1, 2")
+FAMILY = {"regions": [], "nations": ["regions"], "customers": ["nations"], "orders": ["customers"]}
+
+
+def purged(s, d):
+    path = new_folder(s, "purge")
+    for name, table, key in (("regions", "region", "r_regionkey"), ("nations", "nation", "n_nationkey"), ("customers", "customer", "c_custkey")):
+        frame(s, d, table).selectExpr(f"{key} as id", f"{key} % 3 as evidence_id").write.partitionBy("evidence_id").parquet(f"{path}/{name}")
+    removed = indicators.purge(s, path, FAMILY, 1)
+    left = [s.read.parquet(f"{path}/{name}").agg(F.count("*").alias("kept")).select(F.lit(name).alias("name"), "kept") for name in ("regions", "nations", "customers")]
+    return removed.join(left[0].union(left[1]).union(left[2]), "name", "left")
+
+
+register("S-15purge", purged, "select * from (select 3 place, 'regions' \"name\", count(*) filter (r_regionkey % 3 = 1) removed, count(*) filter (r_regionkey % 3 <> 1) kept from region union all select 2, 'nations', count(*) filter (n_nationkey % 3 = 1), count(*) filter (n_nationkey % 3 <> 1) from nation union all select 1, 'customers', count(*) filter (c_custkey % 3 = 1), count(*) filter (c_custkey % 3 <> 1) from customer union all select 0, 'orders', 0, null)")
+
+# -- H-3 with hints and ranges, H-14 with roots given at run time
+register("H-3hints", lambda s, d: frame(s, d, "orders").select("o_orderkey", *[F.unix_timestamp(S.hinted(F.col("o_orderkey") * 10_000_000 + F.lit(n), hint)).alias(name) for name, n, hint in (("filetime", 132_000_000_000_000_000, "filetime"), ("webkit", 13_000_000_000_000_000, "webkit"), ("by_filetime", 132_000_000_000_000_000, None), ("by_webkit", 13_000_000_000_000_000, None), ("by_millis", 1_600_000_000_000, None))], F.unix_timestamp(S.hinted(F.col("o_orderkey") + 1_500_000_000)).alias("by_seconds"), F.unix_timestamp(S.hinted(F.col("o_orderkey") % 40_000 + F.lit(0.25))).alias("by_days")), """
+    select o_orderkey, o_orderkey + 13200000000 - 11644473600 filetime, o_orderkey * 10 + 13000000000 - 11644473600 webkit, o_orderkey + 13200000000 - 11644473600 by_filetime, o_orderkey * 10 + 13000000000 - 11644473600 by_webkit, o_orderkey * 10000 + 1600000000 by_millis, o_orderkey + 1500000000 by_seconds, (o_orderkey % 40000 - 25569) * 86400 + 21600 by_days from orders""")
+ROOTED = "concat('C:\\\\Apps\\\\tool', cast(o_custkey % 20 as {string}), case o_orderkey % 3 when 0 then '/Cache/x' when 1 then 'x/Cache' else '/Google/Chrome/User Data/x' end)"
+register("H-14roots", lambda s, d: B.in_roots(frame(s, d, "orders").selectExpr("o_orderkey as id", ROOTED.replace("{string}", "string") + " as path"), frame(s, d, "customer").where("c_custkey < 10").selectExpr("concat('c:/apps//TOOL', c_custkey, '/') as root")),
+         "select o_orderkey id, case when o_orderkey % 3 = 2 then 'chrome' when o_orderkey % 3 = 0 and o_custkey % 20 < 10 and o_custkey % 20 in (select c_custkey from customer) then 'chromium_embedded' end browser from orders")
+
+
+# -- N-1 in the second layout, N-9 with accounts and devices
+def place_trees(s, d):
+    place = "named_struct('type', 'text/x-moz-place', 'title', c_name, 'uri', concat('http://c/', c_custkey), 'guid', concat('g', c_custkey), 'dateAdded', c_custkey * 1000000)"
+    return frame(s, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("id")).agg(F.to_json(F.expr(f"named_struct('type', 'text/x-moz-place-container', 'title', '', 'children', array(named_struct('type', 'text/x-moz-place-container', 'title', 'Menu', 'children', collect_list({place}))))")).alias("doc"))
+
+
+register("N-1places", lambda s, d: accounts.place_bookmarks(place_trees(s, d)).select("id", "name", "url", "folder", "guid", F.unix_timestamp("added").alias("added")), "select c_nationkey::bigint id, c_name \"name\", 'http://c/' || c_custkey url, 'Bookmarks Menu' folder, 'g' || c_custkey guid, case when c_custkey > 0 then c_custkey end added from customer")
+
+
+def preference_files(s, d):
+    account = "named_struct('account_id', concat('a', c_custkey), 'email', concat('m', c_custkey, '@x.org'), 'full_name', c_name, 'hd', c_mktsegment, 'is_child_account', c_custkey % 2 = 0)"
+    rows = frame(s, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("id")).agg(F.to_json(F.expr(f"named_struct('account_info', array_sort(collect_list({account})), 'google', named_struct('services', named_struct('username', concat('s', min(c_nationkey), '@x.org'), 'account_id', 'sid')), 'sync', named_struct('bookmarks', true, 'tabs', false, 'autofill', true, 'has_setup_completed', min(c_nationkey) % 2 = 0, 'last_synced_time', cast(13000000000000000 + min(c_nationkey) * 1000000 as string), 'devices', map(concat('dev', min(c_nationkey)), named_struct('name', 'Box', 'os', 'linux'))))")).alias("doc"))
+    return rows
+
+
+register("N-9accounts", lambda s, d: accounts.preference_accounts(preference_files(s, d)).select("id", "account_id", "email", "display_name", "hosted_domain", "is_child", "sync_enabled", "synced_types", F.unix_timestamp("last_sync").alias("last_sync")), """
+    with a as (select c_nationkey::bigint id, 'a' || c_custkey account_id, 'm' || c_custkey || '@x.org' email, c_name display_name, c_mktsegment hosted_domain, c_custkey % 2 = 0 is_child from customer union all select distinct c_nationkey, 'sid', 's' || c_nationkey || '@x.org', '', '', false from customer)
+    select *, id % 2 = 0 sync_enabled, case when id % 2 = 0 then 'autofill,bookmarks,has_setup_completed' else 'autofill,bookmarks' end synced_types, id + 13000000000 - 11644473600 last_sync from a""")
+register("N-9devices", lambda s, d: accounts.preference_devices(preference_files(s, d)).select("id", "device_id", "name", "kind", "system", "account_id"), "select c_nationkey::bigint id, 'dev' || c_nationkey device_id, 'Box' \"name\", 'unknown' kind, 'linux' \"system\", min('a' || c_custkey) account_id from customer group by c_nationkey")
+
+
 def queries():
     return dict(QUERIES)
 
