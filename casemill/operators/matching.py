@@ -167,6 +167,23 @@ def lookup(files: DataFrame, entries: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, by).groupBy("id").agg(F.min(F.struct("list_name", "entry_id")).alias("m")).select("id", "m.*")
 
 
+def match_file_names(files: DataFrame, lists: DataFrame) -> DataFrame:
+    """J-4: (id, list_name, pattern): the first pattern in file order of each list that a file's name fits.
+
+    files: id, file_name; lists: list_name, idx, pattern, is_regex. Names without wildcards, however many, are met by an
+    equal join in lower case; only wildcards and regular expressions are rules that each name is tried with. A null name
+    fits nothing. A regular expression may fit anywhere in the name, other patterns the whole of it.
+    """
+    plain = ~F.col("is_regex") & ~F.col("pattern").rlike(r"[*?\[]")
+    exact = lists.where(plain).groupBy("list_name", F.lower("pattern").alias("name")).agg(F.min(F.struct("idx", "pattern")).alias("m"))
+    hits = files.select("id", F.lower("file_name").alias("name")).join(small(exact), "name").select("id", "list_name", "m.idx", "m.pattern")
+    rest = lists.where(~plain).orderBy("list_name", "idx").collect()  # reference lists, as the caller has read them
+    rules = [(r["list_name"], r["idx"], r["pattern"], url_rule(r["pattern"], True) if r["is_regex"] else S.fnmatch_regex(r["pattern"])) for r in rest]
+    places = lists.where(~plain).groupBy("list_name", "pattern").agg(F.min("idx").alias("idx"))
+    tried = match_patterns(files.select("id", "file_name"), "file_name", rules).join(small(places), ["list_name", "pattern"]).select("id", "list_name", "idx", "pattern")
+    return hits.union(tried).groupBy("id", "list_name").agg(F.min(F.struct("idx", "pattern")).alias("m")).select("id", "list_name", "m.pattern")
+
+
 def match_stats(urls: DataFrame, matches: DataFrame) -> DataFrame:
     """A-41: by list and over all: matched URLs and records, beside the number of URLs."""
     total = urls.agg(F.count("*").alias("urls"))

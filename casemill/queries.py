@@ -90,6 +90,7 @@ for name, table, columns, conditions, extra in (
     ("F-10c", "customer", CUSTOMER, [("browser", "EQ", "MACHINERY")], {"kind": "customer", "tag_names": ["5-low"]}),
     ("F-10d", "part", PART, [], {"kind": "part", "tag_names": ["r"], "order": [("price", "DESC"), ("name", "ASC")]}),
     ("F-10e", "part", PART, [("price", "GTE", 1200)], {"kind": "part"}),
+    ("F-10erows", "part", PART, [("brand", "LIKE", "%1%"), ("price", "GTE", 950)], {"kind": "part", "order": [("price", "DESC"), ("id", "ASC")]}),
     ("F-10f", "part", PART, [], {"kind": "part", "tag_names": ["A", "N"], "prefilter": "p_size < 10"}),
     ("F-10g", "part", PART, [("brand", "EQ", "Brand#11")], {"kind": "part"}),
     ("F-10h", "customer", CUSTOMER, [("name", "LIKE", "%9%"), ("browser", "IN", ("BUILDING", "FURNITURE"))], {"kind": "customer"}),

@@ -9,9 +9,10 @@ from casemill.functions import scalars as S
 from casemill.operators import accounts, domains, drift, indicators, links, logs, matching, merging, similarity, stored_values, timeline
 from casemill.plans.standins import SPELLINGS, VIEWS, frame, with_views
 from casemill.queries import prints
-from casemill.queries_sources import new_folder, written
+from casemill.queries_sources import written
 from casemill.sources import listings, readers
 from casemill.streaming import feeds
+from casemill.tables import new_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -142,6 +143,19 @@ FILE_REGEXES = [(name, k, p, matching.url_rule(p, True)) for k, (name, p) in enu
 register("W-3regex", lambda s, d: matching.match_patterns(frame(s, d, "files"), "file_path", FILE_REGEXES), f"select * from ({first_of('file_path', FILE_REGEXES, 'files')}) where pattern is not null", "files")
 
 
+# -- J-4 with exact names, wildcards and regular expressions in one list
+NAMES = "select 'known' as list_name, cast(doc_id * 10 as int) as idx, upper(concat('f', cast(doc_id as {string}), '.zip')) as pattern, false as is_regex from {documents} where doc_id % 3 = 0 union all select 'known', 5000, '*1.jpg', false union all select 'odd', 1, '^f[0-9]*7$', true union all select 'odd', 2, 'f?', false"
+
+
+def named_files(s, d):
+    return frame(s, d, "files").withColumn("file_name", F.regexp_extract("file_path", "([^/]*)$", 1))
+
+
+register("J-4names", lambda s, d: matching.match_file_names(named_files(s, d), s.sql(NAMES.replace("{string}", "string"), documents=frame(s, d, "documents"))), f"""
+    select id, list_name, arg_min(pattern, idx) pattern from (select n.id, list_name, idx, pattern from (select id, regexp_extract(file_path, '([^/]*)$', 1) file_name from files) n join ({NAMES.format(string='varchar', documents='documents')}) x on not is_regex and not contains(pattern, '*') and not contains(pattern, '?') and lower(pattern) = lower(file_name)
+    union all select id, 'known', 5000, '*1.jpg' from files where file_path ilike '%/%1.jpg' union all select id, 'odd', 1, '^f[0-9]*7$' from files where regexp_matches(file_path, '/f[0-9]*7$', 'i') union all select id, 'odd', 2, 'f?' from files where regexp_matches(file_path, '/f.$', 'i')) group by 1, 2""", "files")
+
+
 # -- S-10 in ranges: pages' URLs in one raw file, cut every 997 bytes
 def raw_file(s, d):
     path = new_folder(s, "raw")

@@ -17,7 +17,7 @@ from casemill.plans.standins import frame, with_views
 from casemill.queries import ALL_OPS, RULES, pattern_sql, posted
 from casemill.sources import readers
 from casemill.streaming import feeds
-from casemill.tables import shared_folder
+from casemill.tables import new_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,10 +29,6 @@ def register(name: str, run, sql: str | None = None, *views: str) -> None:
         ORACLES[name] = with_views(sql, *views) if views else sql
 
 
-def new_folder(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def written(lines, name: str) -> str:
     """A folder of text files with the column value of lines."""
     path = new_folder(lines.sparkSession, name)

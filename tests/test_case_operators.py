@@ -202,3 +202,12 @@ def test_regex_lists_of_any_length(spark, more):
         expected += [(i, "plain", p) for p, hit in wild if hit][:1]
     got = matching.match_patterns(rows, "url", alone + together + plain + filler)
     assert sorted(map(tuple, got.collect())) == sorted(expected)
+
+
+def test_file_names(spark):
+    lists = [("l", 0, "B*.exe", False), ("l", 1, "Beta.EXE", False), ("l", 2, "alpha.exe", False), ("l", 3, "ALPHA.exe", False), ("r", 0, "tool[0-9]+", True), ("r", 1, "(bad", True), ("k", 0, "x[12].txt", False), ("k", 1, "plain", False)]
+    names = ["beta.exe", "ALPHA.EXE", "my-Tool42.zip", "x1.txt", "x3.txt", "plain", "plainer", None, "", "tool"]
+    files = spark.createDataFrame([(i, n, "f") for i, n in enumerate(names)], "id int, file_name string, pattern string")
+    got = matching.match_file_names(files, spark.createDataFrame(lists, "list_name string, idx int, pattern string, is_regex boolean"))
+    assert sorted(map(tuple, got.collect())) == [(0, "l", "B*.exe"), (1, "l", "alpha.exe"), (2, "r", "tool[0-9]+"), (3, "k", "x[12].txt"), (5, "k", "plain")]
+    assert matching.match_file_names(files, spark.createDataFrame(lists[1:2], "list_name string, idx int, pattern string, is_regex boolean")).count() == 1

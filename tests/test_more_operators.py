@@ -154,3 +154,17 @@ def test_entry_without_a_session():
 
     code = "import __spark_entry__ as e; q = e.queries(); o = e.oracle_sql(); assert 'A-3' in q and set(o) <= set(q); print(len(q), len(o))"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, check=True)
+
+
+def test_workspace_leaves_nothing(spark):
+    import os
+
+    from casemill.operators import similarity
+    from casemill.tables import shared_folder, workspace
+
+    images = spark.createDataFrame([(k, f"{k % 7:016x}") for k in range(40)], "id int, phash string")
+    before = set(os.listdir(shared_folder(spark)))
+    with workspace(spark):
+        assert similarity.leader_clusters(images, 3).count() == 40
+        assert set(os.listdir(shared_folder(spark))) != before
+    assert set(os.listdir(shared_folder(spark))) == before
