@@ -27,6 +27,8 @@ from casemill.llm.components import components
 SEED = 42
 #: A group with more fingerprints is cut into smaller ones.
 GROUP = 100_000
+#: Times that a group may be cut; then twelve bits are left to differ, so no group has more than 4,096 fingerprints.
+CUTS = 6
 
 
 def shingle_hashes(words: list[bytes], width: int) -> list[int]:
@@ -162,7 +164,13 @@ def near_links(distinct: DataFrame, budget: int = 3, group: int = GROUP) -> Data
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            held.append(tuple(batch.column(k).to_numpy() for k in range(4)))
+            now = tuple(batch.column(k).to_numpy() for k in range(4))
+            if not len(now[0]):
+                continue
+            within = held and held[-1][1][-1] == now[1][-1] and held[-1][2][-1] == now[2][-1]
+            held.append(now)
+            if within:  # rows come in order, so all of them are of the group that is being read
+                continue
             fp, key, path, bits = (np.concatenate(x) for x in zip(*held))
             ends = np.flatnonzero((key[1:] != key[:-1]) | (path[1:] != path[:-1]))
             whole = ends[-1] + 1 if len(ends) else 0
@@ -170,8 +178,8 @@ def near_links(distinct: DataFrame, budget: int = 3, group: int = GROUP) -> Data
                 yield joined(fp[:whole], key[:whole], path[:whole], bits[:whole])
                 fp, key, path, bits = fp[whole:], key[whole:], path[whole:], bits[whole:]
             held = [(fp, key, path, bits)]
-        for fp, key, path, bits in held:
-            yield joined(fp, key, path, bits)
+        if held:
+            yield joined(*(np.concatenate(x) for x in zip(*held)))
 
     def joined(fp, key, path, bits):
         bits = bits.view(np.uint64)
@@ -182,12 +190,12 @@ def near_links(distinct: DataFrame, budget: int = 3, group: int = GROUP) -> Data
         return pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[j])], ["u", "v"])
 
     rows, fixed, out = distinct.select("fp", F.lit(0).cast("long").alias("path"), F.col("fp").alias("bits")), 0, None
-    for last in (False, False, True):
+    for level in range(CUTS):
         rows = _cut(rows, fixed)
         fixed += (64 - fixed) // 4
         rows = rows.withColumn("key", F.shiftrightunsigned("bits", 64 - fixed))
         calm, hot = rows, None
-        if not last:
+        if level + 1 < CUTS:
             large = rows.groupBy("path", "key").count().where(F.col("count") > group).select("path", "key")
             if not large.isEmpty():
                 hot = staged(rows.join(large, ["path", "key"], "left_semi").select("fp", "path", "bits"), "hot-groups")
