@@ -63,7 +63,8 @@ def _fields(values: DataFrame) -> DataFrame:
         if out is not None and nested.isEmpty():
             return out
         is_object = F.schema_of_variant("v").startswith("OBJECT")
-        times = F.coalesce(*[moment(F.try_variant_get("v", f"$.{f}", "string")) for f in sorted(TIME_FIELDS)])
+        texts = F.array(*[F.try_variant_get("v", f"$.{f}", "string") for f in sorted(TIME_FIELDS)])
+        times = F.get(F.filter(F.transform(F.filter(texts, lambda t: t.isNotNull()), moment), lambda t: t.isNotNull()), 0)
         email = F.coalesce(*[F.nullif(F.try_variant_get("v", f"$.{f}", "string"), F.lit("")) for f in CONTEXT_EMAILS])
         each = nested.withColumns({"at": F.when(is_object, times), "email": F.when(is_object, email)})
         each = each.lateralJoin(each.sparkSession.tvf.variant_explode(F.col("v").outer()).select("pos", F.col("key").alias("name"), F.col("value").alias("inner")))

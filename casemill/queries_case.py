@@ -68,7 +68,7 @@ def places(s, d):
 CHAIN = f"select v.id visit_id, p.url download_url, p2.url referrer_url from ({VISITS.format(pages='pages', events='events')}) v join pages p on p.page_id = v.place_id join ({VISITS.format(pages='pages', events='events')}) v2 on v2.id = v.from_visit join pages p2 on p2.page_id = v2.place_id where v.visit_type = 7"
 register("J-14chain", lambda s, d: links.download_referrers(visits(s, d), places(s, d)), CHAIN)
 register("J-14map", lambda s, d: links.referrer_map(visits(s, d), places(s, d)), f"select download_url, arg_max(referrer_url, visit_id) referrer_url from ({CHAIN}) group by 1")
-ANNOTATIONS = "select (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey as id, l_orderkey as place_id, l_linenumber % 4 as attribute_id, case l_linenumber % 4 when 1 then concat('file:///', l_partkey) when 2 then concat('{{\"state\":', l_suppkey % 5, ',\"endTime\":', l_partkey * 1000, ',\"fileSize\":', l_orderkey, '}}') else 'x' end as content from {lineitem}"
+ANNOTATIONS = "select ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey as id, l_orderkey as place_id, l_linenumber % 4 as attribute_id, case l_linenumber % 4 when 1 then concat('file:///', l_partkey) when 2 then concat('{{\"state\":', l_suppkey % 5, ',\"endTime\":', l_partkey * 1000, ',\"fileSize\":', l_orderkey, '}}') else 'x' end as content from {lineitem}"
 
 
 def annotated(s, d):
