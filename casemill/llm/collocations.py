@@ -37,14 +37,19 @@ LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 
 
 def words_of(raw: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """The words of UTF-8 bytes (A-Z lower-cased), and for each the number of its piece."""
+    """The words of UTF-8 bytes (A-Z lower-cased), and for each the number of its piece. A few bytes of memory for each byte of text."""
     kind = KIND[raw]
     inside = kind == 0
-    starts = np.flatnonzero(inside & np.r_[True, ~inside[:-1]]) if len(raw) else np.zeros(0, np.int64)
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    starts = np.flatnonzero(begins).astype(np.int32)
+    pieces = np.searchsorted(np.flatnonzero(kind == 2).astype(np.int32), starts).astype(np.int32)
     data = LOWER[raw[inside]]
-    offsets = np.r_[np.cumsum(inside)[starts] - 1, len(data)].astype(np.int32)
-    words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-    return words, np.cumsum(kind == 2)[starts]
+    # a word's place in the data: its place in the text less the bytes between words before it
+    offsets = np.empty(len(starts) + 1, np.int32)
+    offsets[:-1] = starts - np.searchsorted(np.flatnonzero(~inside).astype(np.int32), starts)
+    offsets[-1] = len(data)
+    return pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]), pieces
 
 
 def encoded(raw: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
