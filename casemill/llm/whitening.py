@@ -14,6 +14,7 @@ distinct vector alone, or an empty table, gives no rows. A deviation beyond a lo
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -131,21 +132,52 @@ def identity_error(vectors: DataFrame, size: int, w: Whitener) -> float:
     return float(np.abs(covariance - np.eye(k)).max())
 
 
-def whitening(table: DataFrame, components: int = 16) -> DataFrame:
-    """vec_id, component, n, deviation, whitened, explained, identity_error: a row for each usable row and component."""
-    spark = table.sparkSession
+@dataclass(frozen=True)
+class Fit:
+    """A whitening fitted on the distinct vectors of a table: the length of its vectors, its directions, its error."""
+
+    size: int
+    whitener: Whitener
+    error: float
+
+    @property
+    def components(self) -> int:
+        return len(self.whitener.directions)
+
+
+def fit(table: DataFrame, components: int = 16) -> Fit:
+    """The whitening of a vector table (vec_id, embedding) by up to so many components with the largest variance."""
     rows = whole_vectors(table)
     size = common_size(rows)
-    rows = rows.where(F.col("size") == size)
-    distinct = staged(rows.select("x").distinct(), "distinct-vectors")
-    w = Whitener(spark, *exact_sums(distinct, size), components)
-    k = len(w.directions)
-    schema = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
-    if not k:
-        return spark.createDataFrame([], schema)
-    error = identity_error(distinct, size, w)
+    distinct = staged(rows.where(F.col("size") == size).select("x").distinct(), "distinct-vectors")
+    w = Whitener(table.sparkSession, *exact_sums(distinct, size), components)
+    error = identity_error(distinct, size, w) if len(w.directions) else 0.0
     if math.isnan(error):
         raise ArithmeticError("whitened values are not finite")
+    return Fit(size, w, error)
+
+
+def whitened_vectors(table: DataFrame, fitted: Fit) -> DataFrame:
+    """vec_id, whitened (array): every usable row of a table, which need not be the one that was fitted, as whitened vector."""
+    w, size = fitted.whitener, fitted.size
+
+    def run(batches):
+        for batch in batches:
+            x = w.whitened(w.deviations(matrix(batch.column(1), size)))
+            ends = pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], ["vec_id", "whitened"])
+
+    return whole_vectors(table).where(F.col("size") == size).select("vec_id", "x").mapInArrow(run, "vec_id long, whitened array<double>")
+
+
+def whitening(table: DataFrame, components: int = 16) -> DataFrame:
+    """vec_id, component, n, deviation, whitened, explained, identity_error: a row for each usable row and component."""
+    fitted = fit(table, components)
+    w, size, k, error = fitted.whitener, fitted.size, fitted.components, fitted.error
+    schema = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
+    if not k:
+        return table.sparkSession.createDataFrame([], schema)
+    rows = whole_vectors(table).where(F.col("size") == size)
 
     def run(batches):
         for batch in batches:

@@ -11,7 +11,7 @@ import pytest
 from casemill.llm import topk_search
 from casemill.llm.eigen import largest_roots, leading, polynomial_modulo, primes_for, remainders_joined, roots_above, square_free
 from casemill.llm.topk_search import top_products
-from casemill.llm.whitening import Whitener, whitening
+from casemill.llm.whitening import Whitener, fit, whitened_vectors, whitening
 
 SCHEMA = "vec_id long, embedding array<float>, label int, x string, norm string, component int"
 
@@ -185,3 +185,17 @@ def test_polynomial_and_roots(seed):
     vectors = np.array([[float(c) for c in v] for _, v in found]).reshape(len(found), len(m))
     assert np.abs(vectors @ vectors.T - np.eye(len(found))).max(initial=0) < 1e-14
     assert np.abs(np.array(m, float) @ vectors.T - vectors.T * [float(r) for r, _ in found]).max(initial=0) < 1e-12 * max(1, values[0])
+
+
+def test_whitening_of_other_rows(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, list(map(float, v))) for k, v in enumerate(rng.normal(size=(60, 7)) @ np.diag(range(1, 8)))]
+    fitted = fit(table(spark, rows), 4)
+    assert (fitted.size, fitted.components) == (7, 4) and fitted.error < 1e-9
+    own = {r.vec_id: r.whitened for r in whitened_vectors(table(spark, rows), fitted).collect()}
+    for r in whitening(table(spark, rows), 4).collect():
+        assert abs(own[r.vec_id][r.component - 1] - r.whitened) < 1e-12
+    middle = [float(np.mean(c)) for c in zip(*(v for _, v in rows))]
+    new = whitened_vectors(table(spark, [(1, middle), (2, [1.0]), (3, None)]), fitted).collect()
+    assert [r.vec_id for r in new] == [1] and max(map(abs, new[0].whitened)) < 0.1
+    assert whitened_vectors(table(spark, []), fitted).count() == 0
