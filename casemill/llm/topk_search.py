@@ -37,6 +37,7 @@ NO_ID = 2**63 - 1
 #: Below every score, where scores are not doubles.
 LEAST = {"int64": -(2**63), "object": -(2**400)}
 SLACK = 1e-9
+VECTORS = "vec_id long, x binary, norm double, most double"
 #: Coordinate pruning is chosen below this share of a bucket's pairs.
 FEW = 1 / 16
 
@@ -225,8 +226,12 @@ def blocks_of(queries: DataFrame, size: int, blocks: int) -> DataFrame:
     return dealt.mapInArrow(run, "block long, place long, reach double, ids array<long>, bounds array<double>, x binary")
 
 
-def top_products(table: DataFrame, k: int = 20, every: int = 20, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: for each vec_id divisible by `every` its k largest inner products with other rows."""
+def top_products(table: DataFrame, k: int = 20, every: int = 20, block: int = BLOCK, asking: DataFrame | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: for each vec_id divisible by `every` its k largest inner products with other rows.
+
+    asking: queries of a table of their own (vec_id, embedding) instead, each with all rows of another vec_id; a
+    null vec_id is no query there either, and vectors of another length than the candidates' take no part.
+    """
     spark = table.sparkSession
     schema = "query_id long, rank int, vec_id long, score long"
     rows = whole_vectors(table)
@@ -237,17 +242,21 @@ def top_products(table: DataFrame, k: int = 20, every: int = 20, block: int = BL
             x = matrix(batch.column(1), size)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.linalg.norm(x, axis=1)), pa.array(np.abs(x).max(axis=1))], ["vec_id", "x", "norm", "most"])
 
-    vectors = staged(rows.where(F.col("size") == size).select("vec_id", "x").mapInArrow(measured, "vec_id long, x binary, norm double, most double"), "vectors")
-    asked = F.col("vec_id") % every == 0
-    most, n_queries = vectors.agg(F.max("most"), F.count(F.when(asked, 1))).first()
-    if not n_queries:
+    vectors = staged(rows.where(F.col("size") == size).select("vec_id", "x").mapInArrow(measured, VECTORS), "vectors")
+    if asking is None:
+        asked = vectors.where(F.col("vec_id") % every == 0)
+    else:
+        asked = staged(whole_vectors(asking).where((F.col("size") == size) & F.col("vec_id").isNotNull()).select("vec_id", "x").mapInArrow(measured, VECTORS), "asking")
+    most, n = vectors.agg(F.max("most"), F.count("*")).first()
+    most_asked, n_queries = asked.agg(F.max("most"), F.count("*")).first()
+    if not n or not n_queries:
         return spark.createDataFrame([], schema)
-    kind = exact_kind(most, size)
+    kind = exact_kind(max(most, most_asked), size)
     buckets = staged(buckets_of(vectors, size), "buckets")
     top = buckets.orderBy("place").limit(1).first()
     first = Bucket(np.array(top["ids"], np.int64), np.frombuffer(top["x"], "<f8").reshape(-1, size))
     blocks = -(-n_queries // block)
-    queries = staged(blocks_of(bounded(vectors.where(asked), size, first, k, kind), size, blocks), "query-blocks")
+    queries = staged(blocks_of(bounded(asked, size, first, k, kind), size, blocks), "query-blocks")
 
     # cells: which groups of buckets, contiguous in length, a block of queries meets; a row for each block, group and cell
     tasks = partitions(spark)

@@ -199,3 +199,14 @@ def test_whitening_of_other_rows(spark):
     new = whitened_vectors(table(spark, [(1, middle), (2, [1.0]), (3, None)]), fitted).collect()
     assert [r.vec_id for r in new] == [1] and max(map(abs, new[0].whitened)) < 0.1
     assert whitened_vectors(table(spark, []), fitted).count() == 0
+
+
+def test_queries_of_another_table(spark):
+    rows, asking = cluster_rows(3, 90, 4, 0.3), [(5, [1.0, -2.0, 0.5, 0.25]), (1000, [40.0, 0.0, 0.0, 1.0]), (1000, [0.0] * 4), (None, [1.0] * 4), (7, [1.0]), (8, None)]
+    got = sorted(map(tuple, top_products(table(spark, rows), 6, asking=table(spark, asking)).collect()), key=str)
+    expected = []
+    for i, q in usable(asking)[:3]:
+        best = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in usable(rows) if j != i)[:6]
+        expected += [(i, rank, j, -s) for rank, (s, j) in enumerate(best, 1)]
+    assert got == sorted(expected, key=str)
+    assert top_products(table(spark, rows), asking=table(spark, [])).count() == 0 == top_products(table(spark, []), asking=table(spark, asking)).count()
