@@ -28,6 +28,11 @@ def holds(text: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def moment(text: Column) -> Column:
     """A time as text: ISO forms, else a number of milliseconds (beyond 10**12) or seconds (beyond 10**9) in the years 2000 to 2050."""
     plain = F.regexp_replace(F.replace(text, F.lit("+00:00"), F.lit("Z")), "Z+$", "")
@@ -41,7 +46,7 @@ def cleaned_url(url: Column) -> Column:
     """Decoded where it is encoded, without closing punctuation; null if it is no URL with a host."""
     decoded = F.when(F.contains(F.lower(url), F.lit("%3a%2f%2f")), F.coalesce(F.try_url_decode(F.replace(url, F.lit("+"), F.lit("%2B"))), url)).otherwise(url)
     plain = F.rtrim(decoded, F.lit(".,;:!?)]'\""))
-    return F.when(plain.rlike(r"^https?://[^/?#]"), plain)
+    return let(plain, lambda u: F.when(u.rlike(r"^https?://[^/?#]"), u))
 
 
 def token(key: Column, value: Column) -> Column:
@@ -56,24 +61,26 @@ def token(key: Column, value: Column) -> Column:
 
 def _fields(values: DataFrame) -> DataFrame:
     """(id, origin, key, path, name, value, at, email) of the text fields of JSON objects; at, email: of the object they are in."""
-    current = values.select("id", "origin", "key", F.try_parse_json("value").alias("v"), F.lit("").alias("path"))
+    current = values.select("id", "origin", "key", F.col("value").alias("text"), F.try_parse_json("value").alias("v"), F.lit("").alias("path"))
+    # the fields that tell an object's time and email, read in one pass over its text
+    told = ", ".join(f"`{f}` string" for f in dict.fromkeys((*sorted(TIME_FIELDS), *CONTEXT_EMAILS)))
     keep, out = ("id", "origin", "key"), None
     while True:
         nested = current.where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
         if out is not None and nested.isEmpty():
             return out
         is_object = F.schema_of_variant("v").startswith("OBJECT")
-        texts = F.array(*[F.try_variant_get("v", f"$.{f}", "string") for f in sorted(TIME_FIELDS)])
-        times = F.get(F.filter(F.transform(F.filter(texts, lambda t: t.isNotNull()), moment), lambda t: t.isNotNull()), 0)
-        email = F.coalesce(*[F.nullif(F.try_variant_get("v", f"$.{f}", "string"), F.lit("")) for f in CONTEXT_EMAILS])
-        each = nested.withColumns({"at": F.when(is_object, times), "email": F.when(is_object, email)})
+        times = F.filter(F.array(*[F.col(f"told.{f}") for f in sorted(TIME_FIELDS)]), lambda t: t.isNotNull())
+        email = F.coalesce(*[F.nullif(F.col(f"told.{f}"), F.lit("")) for f in CONTEXT_EMAILS])
+        each = nested.withColumn("told", F.when(is_object, F.from_json("text", told)))
+        each = each.withColumns({"at": F.get(F.filter(F.transform(times, moment), lambda t: t.isNotNull()), 0), "email": email}).drop("told", "text")
         each = each.lateralJoin(each.sparkSession.tvf.variant_explode(F.col("v").outer()).select("pos", F.col("key").alias("name"), F.col("value").alias("inner")))
         path = F.when(F.col("name").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("path") == "", F.col("name")).otherwise(F.concat("path", F.lit("."), "name"))
         kind = F.schema_of_variant("inner")
         level = table(each.select(*keep, path.alias("path"), "name", "at", "email", F.when(kind == "STRING", F.try_variant_get("inner", "$", "string")).alias("value"), F.when(kind.rlike("^(OBJECT|ARRAY)"), F.to_json("inner")).alias("json")), "stored-fields")
         found = level.where("value is not null and name is not null").select(*keep, "path", "name", "value", "at", "email")
         out = found if out is None else out.unionByName(found)
-        current = level.where("json is not null").select(*keep, F.try_parse_json("json").alias("v"), "path")
+        current = level.where("json is not null").select(*keep, F.col("json").alias("text"), F.try_parse_json("json").alias("v"), "path")
 
 
 def _url_uses(values: DataFrame) -> DataFrame:
@@ -102,7 +109,7 @@ class Analysis:
     def urls(self) -> DataFrame:
         """(id, origin, key, url, seen, context)."""
         named = self.fields.where("kind = 'url'").select("id", "origin", "key", cleaned_url(F.col("value")).alias("url"), F.col("at").alias("seen"), F.concat(F.lit("json:"), "path").alias("context"))
-        swept = _url_uses(self.values).select("id", "origin", "key", cleaned_url(F.col("raw")).alias("url"), moment(nearest_time(F.col("near"), F.col("inner"))).alias("seen"), F.concat(F.lit("regex:key="), "key").alias("context"))
+        swept = _url_uses(self.values).select("id", "origin", "key", cleaned_url(F.col("raw")).alias("url"), let(nearest_time(F.col("near"), F.col("inner")), moment).alias("seen"), F.concat(F.lit("regex:key="), "key").alias("context"))
         return named.unionByName(swept).where("url is not null")
 
     @property
