@@ -91,7 +91,7 @@ FILETIME_1970, WEBKIT_1970, UNIX_2100 = 116_444_736_000_000_000, 11_644_473_600_
 def hinted(x: Column, hint: str | None = None) -> Column:
     """H-3: a number in the epoch that the hint names (filetime, ole, webkit, unix), else the one that its range speaks for.
 
-    Zero is no time. Without a hint: whole numbers are FILETIME or WebKit values beyond their 1970, Unix seconds up to 2100, or
+    Zero is no time, nor is what comes after the year 3000 (OLE days and hinted Unix seconds have no such end). Without a hint: whole numbers are FILETIME or WebKit values beyond their 1970, Unix seconds up to 2100, or
     else milliseconds; numbers with a fraction below 100,000 are OLE days; others are no time.
     """
     known = {"filetime": from_filetime, "ole": from_ole_days, "webkit": from_webkit, "unix": lambda c: F.timestamp_micros((c.cast("double") * 1_000_000).cast("long"))}

@@ -352,8 +352,18 @@ def purged(s, d):
 register("S-15purge", purged, "select * from (select 3 place, 'regions' \"name\", count(*) filter (r_regionkey % 3 = 1) removed, count(*) filter (r_regionkey % 3 <> 1) kept from region union all select 2, 'nations', count(*) filter (n_nationkey % 3 = 1), count(*) filter (n_nationkey % 3 <> 1) from nation union all select 1, 'customers', count(*) filter (c_custkey % 3 = 1), count(*) filter (c_custkey % 3 <> 1) from customer union all select 0, 'orders', 0, null)")
 
 # -- H-3 with hints and ranges, H-14 with roots given at run time
-register("H-3hints", lambda s, d: frame(s, d, "orders").select("o_orderkey", *[F.unix_timestamp(S.hinted(F.col("o_orderkey") * 10_000_000 + F.lit(n), hint)).alias(name) for name, n, hint in (("filetime", 132_000_000_000_000_000, "filetime"), ("webkit", 13_000_000_000_000_000, "webkit"), ("by_filetime", 132_000_000_000_000_000, None), ("by_webkit", 13_000_000_000_000_000, None), ("by_millis", 1_600_000_000_000, None))], F.unix_timestamp(S.hinted(F.col("o_orderkey") + 1_500_000_000)).alias("by_seconds"), F.unix_timestamp(S.hinted(F.col("o_orderkey") % 40_000 + F.lit(0.25))).alias("by_days")), """
-    select o_orderkey, o_orderkey + 13200000000 - 11644473600 filetime, o_orderkey * 10 + 13000000000 - 11644473600 webkit, o_orderkey + 13200000000 - 11644473600 by_filetime, o_orderkey * 10 + 13000000000 - 11644473600 by_webkit, o_orderkey * 10000 + 1600000000 by_millis, o_orderkey + 1500000000 by_seconds, (o_orderkey % 40000 - 25569) * 86400 + 21600 by_days from orders""")
+def in_years(seconds: str) -> str:
+    """H-2 in SQL: seconds up to the year 3000."""
+    return f"case when {seconds} > 0 and {seconds} <= 32503680000 then {seconds} end"
+
+
+def by_range(n: str) -> str:
+    """H-3 in SQL: the epoch that the range of a whole number speaks for."""
+    return f"case when {n} > 116444736000000000 then {in_years(f'(({n}) // 10000000 - 11644473600)')} when {n} > 11644473600000000 then {in_years(f'(({n}) // 1000000 - 11644473600)')} when {n} > 0 and {n} < 4102444800 then {n} when {n} > 1000000000000 then {in_years(f'(({n}) // 1000)')} end"
+
+
+register("H-3hints", lambda s, d: frame(s, d, "orders").select("o_orderkey", *[F.unix_timestamp(S.hinted(F.col("o_orderkey") * 10_000_000 + F.lit(n), hint)).alias(name) for name, n, hint in (("filetime", 132_000_000_000_000_000, "filetime"), ("webkit", 13_000_000_000_000_000, "webkit"), ("by_filetime", 132_000_000_000_000_000, None), ("by_webkit", 13_000_000_000_000_000, None), ("by_millis", 1_600_000_000_000, None))], F.unix_timestamp(S.hinted(F.col("o_orderkey") + 1_500_000_000)).alias("by_seconds"), F.unix_timestamp(S.hinted(F.col("o_orderkey") % 40_000 + F.lit(0.25))).alias("by_days")), f"""
+    select o_orderkey, {in_years("o_orderkey + 13200000000 - 11644473600")} filetime, {in_years("o_orderkey * 10 + 13000000000 - 11644473600")} webkit, {by_range("o_orderkey * 10000000 + 132000000000000000")} by_filetime, {by_range("o_orderkey * 10000000 + 13000000000000000")} by_webkit, {by_range("o_orderkey * 10000000 + 1600000000000")} by_millis, {by_range("o_orderkey + 1500000000")} by_seconds, (o_orderkey % 40000 - 25569) * 86400 + 21600 by_days from orders""")
 ROOTED = "concat('C:\\\\Apps\\\\tool', cast(o_custkey % 20 as {string}), case o_orderkey % 3 when 0 then '/Cache/x' when 1 then 'x/Cache' else '/Google/Chrome/User Data/x' end)"
 register("H-14roots", lambda s, d: B.in_roots(frame(s, d, "orders").selectExpr("o_orderkey as id", ROOTED.replace("{string}", "string") + " as path"), frame(s, d, "customer").where("c_custkey < 10").selectExpr("concat('c:/apps//TOOL', c_custkey, '/') as root")),
          "select o_orderkey id, case when o_orderkey % 3 = 2 then 'chrome' when o_orderkey % 3 = 0 and o_custkey % 20 < 10 and o_custkey % 20 in (select c_custkey from customer) then 'chromium_embedded' end browser from orders")
