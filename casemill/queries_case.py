@@ -231,12 +231,20 @@ register("A-50all", drifted, """
 
 
 # -- R-1: hashes arrive in three batches, the list grows before each; R-3: days close, late and repeated rows are left out
-def in_turn(s, parts: list):
-    """A stream of tables, one a micro-batch, in their order."""
-    path = new_folder(s, "turns")
-    for df in parts:
-        df.coalesce(1).write.mode("append").parquet(path)
-    return s.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+def in_turn(s, parts: list, start) -> None:
+    """Tables that arrive one after the other, each in as many files as it has tasks: a run of the stream takes one as its next micro-batch.
+
+    Batches without rows, which move the watermark on, come after the last table only.
+    """
+    path, idle = new_folder(s, "turns"), "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = s.conf.get(idle)
+    try:
+        for k, df in enumerate(parts):
+            df.write.mode("append").parquet(path)
+            s.conf.set(idle, str(k + 1 == len(parts)).lower())
+            start(s.readStream.schema(parts[0].schema).parquet(path)).awaitTermination()
+    finally:
+        s.conf.set(idle, before)
 
 
 def hash_matches(s, d):
@@ -249,7 +257,7 @@ def hash_matches(s, d):
         return versioned.where(F.col("version") < len(seen))
 
     path = new_folder(s, "hash-matches")
-    feeds.hash_feed(in_turn(s, [files.where(f"id % 3 = {k}").select("id", "md5", "sha1", "sha256") for k in range(3)]), entries, path, f"{path}-checkpoint").awaitTermination()
+    in_turn(s, [files.where(f"id % 3 = {k}").select("id", "md5", "sha1", "sha256") for k in range(3)], lambda feed: feeds.hash_feed(feed, entries, path, f"{path}-checkpoint"))
     return s.read.schema("id long, list_name string, hash string, batch_id long").parquet(f"{path}/matches").select("id", "list_name", "hash", "batch_id")
 
 
@@ -267,7 +275,7 @@ def closed_days(s, d):
     again = first.where("event_id % 7 = 0").unionByName(second)  # delivered twice
     path = new_folder(s, "days")
     # rows are late by the watermark that the batch before began with, so a batch of repeated rows goes before the late ones
-    feeds.daily_sink(in_turn(s, [first, again, second.where("event_id % 2 = 0"), late]), path, f"{path}-checkpoint", f"{LATE} days", ["event_id"]).awaitTermination()
+    in_turn(s, [first, again, second.where("event_id % 2 = 0"), late], lambda feed: feeds.daily_sink(feed, path, f"{path}-checkpoint", f"{LATE} days", ["event_id"]))
     return s.read.schema("day date, kind string, n long").parquet(path)
 
 
