@@ -13,14 +13,17 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 CHARACTERS = rb"a-zA-Z0-9\-._~:/?#\[\]@!$&'()*+,;=%"
 START = re.compile(rb"(?i)https?://[a-z0-9][" + CHARACTERS + rb"]")
 URL = re.compile(rb"(?i)https?://[a-z0-9][" + CHARACTERS + rb"]+")
-TAIL = re.compile(rb"[" + CHARACTERS + rb"]*\Z")
+RUN = re.compile(rb"[" + CHARACTERS + rb"]*")
+MEMBERS = bytes(b for b in range(256) if RUN.fullmatch(bytes([b])))
 
 #: Longer ones are no URLs, so a range reads so far beyond its end and a little more.
 LONGEST = 2048
-#: Bytes looked at together, and bytes of a range.
-LOOK, SPLIT = 1 << 16, 64 << 20
+#: Bytes that are looked at first, and at most, in one step backwards; bytes of a range.
+GLANCE, LOOK, SPLIT = 1 << 8, 1 << 16, 64 << 20
 #: No URL begins in more bytes.
 HEAD = 16
+#: Bytes that a task gets at least, where there are that many; the opening of a file counts as so many; rows handed over together.
+TOGETHER, OPENING, ROWS = 8 << 20, 1 << 16, 10_000
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -46,24 +49,25 @@ def swept(read, size: int, start: int, end: int):
     `start`, what lies before decides whether one has begun already; it is read backwards, in parts, as far as needed.
     """
     data = read(start, min(size, end + LONGEST + HEAD) - start)
-    crossing = start > 0 and TAIL.search(read(start - 1, 1)).group() != b""
+    crossing = start > 0 and not read(start - 1, 1).rstrip(MEMBERS)
+    run = RUN.match(data).end()
     for m in URL.finditer(data):
         if start + m.start() >= end:
             return
         if len(m.group()) >= LONGEST:
             continue
-        if crossing and TAIL.search(data, 0, m.start()).start() == 0 and begun(read, start, data[:HEAD]):
+        if crossing and m.start() <= run and begun(read, start, data[:HEAD]):
             continue
         yield start + m.start(), m.group().decode("latin-1")
 
 
 def begun(read, start: int, after: bytes) -> bool:
     """Whether a URL begins before `start` in the run of URL characters that goes on there; after: the bytes from there on."""
-    at, rest = start, after
+    at, rest, look = start, after, GLANCE
     while at > 0:
-        n = min(LOOK, at)
+        n, look = min(look, at), min(LOOK, 4 * look)
         part = read(at - n, n)
-        run = TAIL.search(part).start()
+        run = len(part.rstrip(MEMBERS))
         first = START.search(part[run:] + rest)
         if first and first.start() < n - run:
             return True
@@ -73,9 +77,25 @@ def begun(read, start: int, after: bytes) -> bool:
     return False
 
 
-class Range(InputPartition):
-    def __init__(self, path: str, size: int, start: int, end: int):
-        self.path, self.size, self.start, self.end = path, size, start, end
+class Share(InputPartition):
+    """What one task sweeps: (path, size, start, end) of stretches, each cut into its ranges by the task."""
+
+    def __init__(self, stretches: list[tuple[str, int, int, int]]):
+        self.stretches = stretches
+
+
+def shares(files: list[tuple[str, int]], split: int) -> list[Share]:
+    """Files dealt to tasks by their bytes: stretches of whole ranges of large ones, small ones together."""
+    step, out, held, n = split * max(1, TOGETHER // split), [], [], 0
+    for path, size in files:
+        for at in range(0, size, step):
+            end = min(size, at + step)
+            held.append((path, size, at, end))
+            n += end - at + OPENING
+            if n >= TOGETHER:
+                out.append(Share(held))
+                held, n = [], 0
+    return [*out, Share(held)] if held else out
 
 
 class RawUrlReader(DataSourceReader):
@@ -83,22 +103,32 @@ class RawUrlReader(DataSourceReader):
         self.path, self.split = path, split
 
     def partitions(self):
-        return [Range(path, size, at, min(size, at + self.split)) for path, size in files_of(self.path) for at in range(0, size, self.split)]
+        return shares(files_of(self.path), self.split)
 
     def read(self, partition):
         system, _ = opened(self.path)
-        with system.open_input_file(partition.path) as f:
+        found = []
+        for path, size, first, last in partition.stretches:
+            with system.open_input_file(path) as f:
+
+                def read(at, n):
+                    f.seek(at)
+                    return f.read(n)
+
+                for at in range(first, last, self.split):
+                    found += [(path, o, u) for o, u in swept(read, size, at, min(last, at + self.split))]
+                    if len(found) >= ROWS:
+                        yield batch_of(found)
+                        found = []
+        yield batch_of(found)
 
-            def read(at, n):
-                f.seek(at)
-                return f.read(n)
 
-            found = list(swept(read, partition.size, partition.start, partition.end))
-        yield pa.RecordBatch.from_arrays([pa.array([partition.path] * len(found), pa.string()), pa.array([o for o, _ in found], pa.int64()), pa.array([u for _, u in found], pa.string())], ["path", "offset", "url"])
+def batch_of(found: list[tuple[str, int, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.string()))], ["path", "offset", "url"])
 
 
 class RawUrls(DataSource):
-    """Format "raw_urls": path (a file or folder of a file system that all executors see), split (bytes of a range)."""
+    """Format "raw_urls": path (a file or folder of a file system that all executors see), split (bytes of a range; a task has many small ones)."""
 
     @classmethod
     def name(cls):

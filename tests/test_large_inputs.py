@@ -3,6 +3,7 @@
 import glob
 
 from casemill import queries_case, tables
+from casemill.sources import raw
 
 
 def test_arriving_tables_are_not_written_by_one_task(spark, tmp_path):
@@ -14,3 +15,19 @@ def test_arriving_tables_are_not_written_by_one_task(spark, tmp_path):
     turns = [f for f in tables._FOLDERS if "/turns-" in f][-2]
     assert len(glob.glob(f"{turns}/*.parquet")) > 3
     assert sorted(got) == sorted(wanted) and {r.batch_id for r in got} == {0, 1, 2}
+
+
+def test_small_ranges_and_files_share_tasks(spark, tmp_path):
+    texts = [b"".join(b"https://h%d.example.com/p%d\x00" % (k, i) for i in range(3_000 * (k < 2) + 3)) for k in range(40)]
+    for k, text in enumerate(texts):
+        (tmp_path / f"f{k:02}").write_bytes(text)
+    wanted = sorted((f"{tmp_path}/f{k:02}", text.index(b"https://h%d.example.com/p%d\x00" % (k, i)), f"https://h{k}.example.com/p{i}") for k, text in enumerate(texts) for i in range(3_000 * (k < 2) + 3))
+    for split in (7, 997, 1 << 20):
+        got = raw.raw_urls(spark, str(tmp_path), split)
+        assert got.rdd.getNumPartitions() == 1
+        assert sorted(map(tuple, got.collect())) == wanted
+    size = 3 * raw.TOGETHER + 5
+    dealt = raw.shares([("a", size), ("b", 10), ("c", 10)], 997)
+    stretches = [x for share in dealt for x in share.stretches]
+    assert len(dealt) == 4 and [x[2:] for x in stretches if x[0] == "a"] == [(k * 8413 * 997, min(size, (k + 1) * 8413 * 997)) for k in range(4)] and raw.TOGETHER // 997 == 8413
+    assert {x[0] for x in dealt[-1].stretches} == {"a", "b", "c"}
