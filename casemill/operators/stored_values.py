@@ -18,6 +18,8 @@ TOKEN_KEYS = ("token", "auth", "session", "jwt", "oauth", "access", "refresh", "
 SORT_KEYS = ("token", "auth", "session", "bearer", "access", "refresh")
 SHORTEST, LONG_VALUE = 20, 32
 TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
+#: Rows, or characters of their URLs, that go on to Spark together.
+TOGETHER, CHARACTERS = 10_000, 1 << 22
 CONTEXT_EMAILS = ("email", "upn", "userPrincipalName")
 
 
@@ -86,14 +88,24 @@ def _fields(values: DataFrame) -> DataFrame:
 def _url_uses(values: DataFrame) -> DataFrame:
     """(id, origin, key, raw, near, inner): every URL in the texts, and the text around it with its 1-based place in that."""
 
+    names, kinds = ("id", "origin", "key", "raw", "near", "inner"), (pa.int64(), *[pa.string()] * 4, pa.int32())
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], list(names))
+
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             for id_, origin, key, text in zip(*(c.to_pylist() for c in batch.columns)):
-                found = [(m.start(), m.group()) for m in URLS.finditer(text or "")]
-                for k in range(0, len(found), 10_000):
-                    part = found[k : k + 10_000]
-                    columns = [[id_] * len(part), [origin] * len(part), [key] * len(part), [u for _, u in part], [text[max(0, a - 200) : a + 200] for a, _ in part], [min(a, 200) + 1 for a, _ in part]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.string()] * 4, pa.int32()))], ["id", "origin", "key", "raw", "near", "inner"])
+                for m in URLS.finditer(text or ""):
+                    a = m.start()
+                    held.append((id_, origin, key, m.group(), text[max(0, a - 200) : a + 200], min(a, 200) + 1))
+                    size += len(held[-1][3])
+                    if len(held) >= TOGETHER or size >= CHARACTERS:  # the rows of many texts go on together
+                        yield batch_of(held)
+                        held, size = [], 0
+        if held:
+            yield batch_of(held)
 
     return values.select(F.col("id").cast("long"), "origin", "key", "value").mapInArrow(run, "id long, origin string, key string, raw string, near string, inner int")
 

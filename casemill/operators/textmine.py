@@ -82,14 +82,21 @@ def nearest_time(text: Column, at: Column) -> Column:
 def url_times(rows: DataFrame) -> DataFrame:
     """X-8: (id, at, found) of rows (id, text): the 1-based place of every URL of the whole text, the timestamp near it."""
 
+    def batch_of(held):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), (pa.int64(), pa.int32(), pa.string(), pa.int32()))], ["id", "at", "near", "inner"])
+
     def run(batches):
+        held = []
         for batch in batches:
             for id_, text in zip(*(c.to_pylist() for c in batch.columns)):
-                found = [m.start() for m in URLS.finditer(text or "")]
-                for k in range(0, len(found), 10_000):
-                    at = found[k : k + 10_000]
-                    near = [text[max(0, a - 200) : a + 200] for a in at]
-                    yield pa.RecordBatch.from_arrays([pa.array([id_] * len(at), pa.int64()), pa.array([a + 1 for a in at], pa.int32()), pa.array(near, pa.string()), pa.array([min(a, 200) + 1 for a in at], pa.int32())], ["id", "at", "near", "inner"])
+                for m in URLS.finditer(text or ""):
+                    a = m.start()
+                    held.append((id_, a + 1, text[max(0, a - 200) : a + 200], min(a, 200) + 1))
+                    if len(held) >= 10_000:  # the rows of many texts go on together
+                        yield batch_of(held)
+                        held = []
+        if held:
+            yield batch_of(held)
 
     windows = rows.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, "id long, at int, near string, inner int")
     return windows.select("id", "at", nearest_time(F.col("near"), F.col("inner")).alias("found"))

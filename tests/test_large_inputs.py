@@ -2,7 +2,10 @@
 
 import glob
 
+from pyspark.sql import functions as F
+
 from casemill import queries_case, tables
+from casemill.operators import stored_values, textmine
 from casemill.sources import raw
 
 
@@ -31,3 +34,21 @@ def test_small_ranges_and_files_share_tasks(spark, tmp_path):
     stretches = [x for share in dealt for x in share.stretches]
     assert len(dealt) == 4 and [x[2:] for x in stretches if x[0] == "a"] == [(k * 8413 * 997, min(size, (k + 1) * 8413 * 997)) for k in range(4)] and raw.TOGETHER // 997 == 8413
     assert {x[0] for x in dealt[-1].stretches} == {"a", "b", "c"}
+
+
+def test_urls_of_many_texts_go_on_together(spark, monkeypatch):
+    batches = []
+    frame = type(spark.range(1))
+    plain = frame.mapInArrow
+
+    def kept(self, run, schema, *more):
+        batches.append(run)
+        return plain(self, run, schema, *more)
+
+    monkeypatch.setattr(frame, "mapInArrow", kept)
+    rows = spark.range(25_000).select("id", F.lit("o").alias("origin"), F.lit("k").alias("key"), F.concat(F.lit("x http://h"), "id", F.lit(".example.com 1600000000")).alias("value"))
+    assert stored_values._url_uses(rows).where("raw = concat('http://h', id, '.example.com') and inner = 3").count() == 25_000
+    assert textmine.url_times(rows.selectExpr("id", "value as text")).where("found = '1600000000' and at = 3").count() == 25_000
+    table = rows.toArrow()
+    for run, names in zip(batches, (["id", "origin", "key", "value"], ["id", "value"])):
+        assert [b.num_rows for b in run(iter(table.select(names).to_batches(max_chunksize=1_000)))] == [10_000, 10_000, 5_000]
