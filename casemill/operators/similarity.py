@@ -76,6 +76,8 @@ def near_pairs(images: DataFrame, radius: int, group: int = GROUP) -> DataFrame:
     """
     hashes = images.where(F.col("phash").rlike("^[0-9a-fA-F]{16}$")).select(F.lower("phash").alias("phash")).distinct()
     start = hashes.select(F.shiftleft(_half("phash", 1), 32).bitwiseOR(_half("phash", 9)).alias("h"))
+    # few bytes, but each hash makes a thousand probes at a radius of 12: a number of its own keeps adaptive plans from putting them into one task
+    start = start.repartition(int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h")
     own = start.select("h", F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("fixed"), F.col("h").alias("rest"))
     probes, found = own.withColumn("left", F.lit(radius)), []
     for level, (bits, bands) in enumerate(LEVELS):
